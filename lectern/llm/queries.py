@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import code_documents
 from .neardup import near_duplicates
+from .toxicity import score_toxicity
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op7_bpe": op7_bpe,
     "op9_minhash_neardup": op9_minhash_neardup,
 }
 ORACLE_SQL: dict[str, str] = {}
