@@ -6,8 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import code_documents
+from .langid import identify_languages
 from .neardup import near_duplicates
+from .quality import score_quality
+from .tokenfile import token_files
 from .toxicity import score_toxicity
+from .warc import ORACLE as WARC_SQL
+from .warc import archive_pages
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,17 +25,39 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages")).drop("digest_ok")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_toxicity": op4_toxicity,
+    "op5_token_files": op5_token_files,
+    "op6_warc": op6_warc,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
     "op9_minhash_neardup": op9_minhash_neardup,
+    "op10_language": op10_language,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": WARC_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
