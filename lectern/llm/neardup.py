@@ -8,9 +8,9 @@ whole sequence with fewer words; empty without words). Documents link at Jaccard
 2. Equal sets collapse into classes, so groups of exact copies cost one row from then on.
 3. Bands of registers form buckets. In each round every member of a bucket is compared with one pivot of its bucket,
    never with all others. Pairs pass a collision-corrected estimate, then an exact check on the full sets.
-4. After each round the confirmed links become components. The next pivots are other members; members of a pivot's own
-   component are left out. A last round compares what is still apart within a bucket (pairs of different components
-   only), so that no link is lost to the choice of pivots.
+4. The confirmed links become components. Buckets that then still hold two components or more are compared inside tasks
+   by signatures of more registers, block against block. First each document's nearest one of another
+   component is verified; a last round verifies all pairs across components that may link, so no link is lost to the choice of pivots.
 
 Probability that a pair at similarity exactly 0.75 shares no band: (1 - 0.75^4)^32 = 5e-6; it falls fast above.
 """
@@ -30,8 +30,15 @@ MANTISSA = 10
 #: Links: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: The estimate may be below the threshold by so many standard deviations before a pair is dropped unverified.
-SLACK_SD = 6
-PIVOT_ROUNDS = 2
+SLACK_SD = 5
+#: Registers, four bits of each, that documents get which share a bucket with another component.
+SIGNATURE, SIGNATURE_SLACK_SD = 512, 4
+#: Rounds that compare each document of a bucket with its nearest one of another component, before the round that compares all.
+NEAREST_ROUNDS = 1
+#: Larger buckets are dealt into blocks of about so many documents; each task compares two blocks.
+BLOCK = 1024
+#: So many ids at most (24 MB as a hash table) are broadcast to pick documents; above that, documents are shuffled.
+BROADCAST_IDS = 1_000_000
 
 _SEEDS = mix(np.arange(1, 2 * 512 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -128,6 +135,59 @@ def _close(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _signatures(batches):
+    """The low four bits of SIGNATURE registers, by which far pairs can be told."""
+    for batch in sliced(batches, "text"):
+        sets, first = shingle_sets(batch)
+        n = np.diff(first)
+        low = registers(sets, first, SIGNATURE).astype(np.uint8) & 15
+        packed = low[:, ::2] | low[:, 1::2] << 4
+        kept = pa.array(n > 0)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(kept), pa.array([p.tobytes() for p in packed], pa.binary())], names=["doc_id", "sig"])
+
+
+def _compare(every: bool):
+    """Compares members of a bucket, or of two blocks of one, across components.
+
+    It yields pairs that may link and share no earlier band: all of them, or each document's nearest one.
+    """
+    share = (1 - PERCENT / 100) * 15 / 16
+    most = SIGNATURE * share + SIGNATURE_SLACK_SD * (SIGNATURE * share * (1 - share)) ** 0.5
+    nibbles = np.uint64(0x1111111111111111)
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        ids, component, size, block = (np.asarray(table.column(c)) for c in ("doc_id", "component", "n_shingles", "block"))
+        band, i, j = (table.column(c)[0].as_py() for c in ("band", "i", "j"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(n, -1)
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint64).reshape(n, BANDS, -1)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(left), 32):
+            own = left[at : at + 32]
+            z = sig[own][:, None, :] ^ sig[right][None, :, :]
+            z |= z >> np.uint64(1)
+            z |= z >> np.uint64(2)
+            unlike = np.bitwise_count(z & nibbles).sum(2, dtype=np.int64)
+            n_a, n_b = size[own][:, None], size[right][None, :]
+            fits = (unlike <= most) & (component[own][:, None] != component[right][None, :]) & (100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b))
+            if not every:
+                unlike[~fits] = SIGNATURE + 1
+                nearest = np.zeros_like(fits)
+                nearest[np.arange(len(own)), unlike.argmin(1)] = True
+                if i != j:
+                    nearest[unlike.argmin(0), np.arange(len(right))] = True
+                fits &= nearest
+            x, y = np.nonzero(fits)
+            x, y = own[x], right[y]
+            new = ~(regs[x, :band] == regs[y, :band]).all(2).any(1) if every else np.ones(len(x), bool)
+            found.append(np.stack([np.minimum(ids[x], ids[y])[new], np.maximum(ids[x], ids[y])[new]], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return run
+
+
 def _sets(batches):
     for batch in sliced(batches, "text"):
         sets, first = shingle_sets(batch)
@@ -175,12 +235,17 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "text")
 
+    def _of(self, ids: DataFrame) -> DataFrame:
+        """The documents with these distinct ids; they are broadcast if that is proven to be small."""
+        ids = cut(ids, "ids")
+        return self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """Links among candidate pairs (a, b): by estimate, then on full sets, which are made only for documents in close pairs."""
         side = lambda s: self.classes.select(F.col("doc_id").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("n_shingles").alias(f"n_{s}"))
         close = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a long, b long"), "close")
-        ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = cut(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+        ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
+        sets = cut(self._of(ids).mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
         side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"set_{s}"))
         links = cut(close.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed, "a long, b long"), "links")
         drop(sets)
@@ -193,23 +258,30 @@ class NearDuplicates:
         self.classes = cut(
             sketch.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("c")).select("digest", "c.*"), "classes"
         )
-        bands = self.classes.select("doc_id", _band_keys()).select("doc_id", F.col("col").alias("key"))
-        shared = bands.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last")
-        members = cut(bands.join(shared, "key").select("key", "doc_id", "pivot"), "members")
+        bands = self.classes.select("doc_id", _band_keys()).select(F.col("pos").alias("band"), F.col("col").alias("key"), "doc_id")
+        shared = bands.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last")
+        members = cut(bands.join(shared, ["band", "key"]).select("band", "key", "doc_id", "pivot"), "members")
         links = self._verify(members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
-        members = members.select("key", "doc_id")
+        members = members.select("band", "key", "doc_id")
         label = components(links)
-        for k in range(PIVOT_ROUNDS + 1):
+        spark, marks = self.docs.sparkSession, None
+        tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        for every in (*[False] * NEAREST_ROUNDS, True):
             placed = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("doc_id", "component"), F.xxhash64("doc_id", F.lit(k))).alias("p")).filter("lo < hi")
-            apart = cut(placed.join(apart.select("key", "p"), "key"), "apart")
+            split = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+            apart = cut(placed.join(split.select("band", "key", blocks.alias("blocks")), ["band", "key"]), "apart")
             if apart.isEmpty():
                 break
-            if k < PIVOT_ROUNDS:
-                pairs = apart.filter("component <> p.component").select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"))
-            else:
-                other = apart.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-                pairs = apart.withColumnRenamed("doc_id", "a").join(other, "key").filter("a < b and component <> component_b").select("a", "b")
+            if marks is None:
+                ids = apart.select("doc_id").distinct()
+                marks = self._of(ids).mapInArrow(_signatures, "doc_id long, sig binary").join(self.classes.select("doc_id", "n_shingles", "regs"), "doc_id")
+                marks = cut(marks, "marks")
+            block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+            dealt = apart.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            dealt = dealt.join(marks, "doc_id").withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+            # comparing costs more than the rows' bytes tell, so the number of tasks is stated
+            pairs = dealt.drop("blocks", "other").repartition(tasks, "band", "key", "i", "j").groupBy("band", "key", "i", "j").applyInArrow(_compare(every), "a long, b long")
             new = self._verify(pairs.distinct())
             drop(apart)
             if not new.isEmpty():
@@ -227,6 +299,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Nulls: null or blank text has an empty set, is linked with nothing and kept; a null doc_id is passed through with
     kept null and takes no part in links unless it is its class's only id. Very long texts are read whole. Repeated
-    rows fall into one class and each gets its row. An empty table gives an empty result.
+    rows fall into one class and each gets its row; rows that share an id count as one document. An empty table gives an
+    empty result.
     """
     return NearDuplicates(docs).run()
