@@ -123,12 +123,23 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     return np.frombuffer(bytes(made.collect()[0].model), np.float32)
 
 
+def _scores(weights: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    z = np.array([weights[rows] @ values for rows, values in vectors(batch)], np.float64) + float(weights[-1])
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def _scorer(model):
     def run(batches):
-        weights = model.value
         for batch in sliced(batches, "text"):
-            z = np.array([weights[rows] @ values for rows, values in vectors(batch)], np.float64) + float(weights[-1])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(model.value, batch))], names=["doc_id", "score"])
+
+    return run
+
+
+def _filter(model, threshold: float):
+    def run(batches):
+        for batch in sliced(batches, "text"):
+            yield batch.filter(pa.array(_scores(model.value, batch) >= threshold))
 
     return run
 
@@ -142,3 +153,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
     out = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, that score of at least the threshold. Nulls and empty texts as in score_quality()."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
+    return docs.mapInArrow(_filter(model, threshold), docs.schema)

@@ -6,9 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import code_documents
+from .decontaminate import contaminated
+from .hamming import ORACLE as HAMMING_SQL
+from .hamming import search
 from .langid import identify_languages
 from .neardup import near_duplicates
 from .quality import score_quality
+from .sharding import ORACLE as SHARDING_SQL
+from .sharding import shard
 from .tokenfile import token_files
 from .toxicity import score_toxicity
 from .warc import ORACLE as WARC_SQL
@@ -21,6 +26,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents"))
+
+
+def op2_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,6 +67,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op2_hamming_topk": op2_hamming_topk,
+    "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_token_files": op5_token_files,
     "op6_warc": op6_warc,
@@ -59,5 +79,7 @@ QUERIES = {
     "op10_language": op10_language,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": SHARDING_SQL,
+    "op2_hamming_topk": HAMMING_SQL,
     "op6_warc": WARC_SQL,
 }
