@@ -303,3 +303,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty result.
     """
     return NearDuplicates(docs).run()
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are kept: of each group the document with the least id.
+
+    Of rows that repeat an id one stays. Only the ids that go are joined with docs, broadcast if they are proven to be few.
+    """
+    found = cut(near_duplicates(docs), "found")
+
+    def ids(df: DataFrame) -> DataFrame:
+        df = cut(df.select("doc_id").distinct(), "ids")
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    kept = docs.join(ids(found.filter("not kept")), "doc_id", "left_anti")
+    twice = ids(found.filter("kept").groupBy("doc_id").count().filter("count > 1"))
+    if not twice.isEmpty():
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(docs.columns)
