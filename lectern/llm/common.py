@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; it bounds a task's memory, not the input.
@@ -139,3 +139,29 @@ def words(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.nda
     data = _LOWER[data]
     starts, ends, first = word_spans(data, offsets)
     return span_hashes(data, starts, ends), first
+
+
+def most_frequent(counted: DataFrame, size: int, by: list[str] = ()) -> Column:
+    """A condition that holds for at most `size` rows of counted (a column n of counts), for each value of `by`: those of the largest counts.
+
+    Counts fall into classes, eight to each doubling. The classes' sizes, a few hundred numbers a value of `by`, tell which
+    of them fit; so no row has to be ranked, and rows of equal counts stay or go together.
+    """
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes: dict[tuple, list[tuple[int, int]]] = {}
+    for r in counted.groupBy(*by, step.alias("step")).agg(F.count("*").alias("k")).collect():
+        sizes.setdefault(tuple(r[c] for c in by), []).append((r.step, r.k))
+    rule = F.lit(False)
+    for values, found in sizes.items():
+        left, least = size, None
+        for k, n in sorted(found, reverse=True):
+            left -= n
+            if left < 0:
+                break
+            least = k
+        if least is not None:
+            own = step >= least
+            for c, v in zip(by, values, strict=True):
+                own &= F.col(c).eqNullSafe(F.lit(v))
+            rule |= own
+    return rule
