@@ -240,10 +240,14 @@ class NearDuplicates:
         ids = cut(ids, "ids")
         return self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs (a, b): by estimate, then on full sets, which are made only for documents in close pairs."""
+    def _estimated(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose estimate by the banded registers leaves room for a link."""
         side = lambda s: self.classes.select(F.col("doc_id").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("n_shingles").alias(f"n_{s}"))
-        close = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a long, b long"), "close")
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a long, b long")
+
+    def _verify(self, close: DataFrame) -> DataFrame:
+        """Links among close pairs (a, b), on full sets, which are made only for the documents of these pairs."""
+        close = cut(close, "close")
         ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
         sets = cut(self._of(ids).mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
         side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"set_{s}"))
@@ -261,7 +265,7 @@ class NearDuplicates:
         bands = self.classes.select("doc_id", _band_keys()).select(F.col("pos").alias("band"), F.col("col").alias("key"), "doc_id")
         shared = bands.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last")
         members = cut(bands.join(shared, ["band", "key"]).select("band", "key", "doc_id", "pivot"), "members")
-        links = self._verify(members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
+        links = self._verify(self._estimated(members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()))
         members = members.select("band", "key", "doc_id")
         label = components(links)
         spark, marks = self.docs.sparkSession, None
