@@ -31,6 +31,7 @@ class Settings:
     negatives: int = 3500
     dims: int = 8
     epochs: int = 10
+    steps: int = 1200
     batch: int = 64
     rate: float = 30.0
     seed: int = 7
@@ -106,8 +107,10 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np
         held[:] = False
     used = np.flatnonzero(~held)
     importance = np.where(label == 1, 0.5 / label[used].mean(), 0.5 / (1 - label[used].mean()))
-    for epoch in range(s.epochs):
-        rate, order = s.rate * (1 - epoch / s.epochs), rng.permutation(used)
+    # a small sample is gone over more often, so that it gets as many steps
+    epochs = max(s.epochs, -(-s.steps * s.batch // len(used)))
+    for epoch in range(epochs):
+        rate, order = s.rate * (1 - epoch / epochs), rng.permutation(used)
         for at in range(0, len(order), s.batch):
             some = order[at : at + s.batch]
             rows, share = np.concatenate([examples[i][1] for i in some]), np.concatenate([examples[i][2] for i in some])
