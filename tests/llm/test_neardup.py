@@ -56,7 +56,7 @@ def test_chain_and_star_of_near_copies(spark):
     _, expected = brute(texts)
     out = N.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in out} == expected
-    assert len(set(expected.values())) < 30
+    assert len({expected[i] for i in range(80, 100)}) == 1 and len(set(expected.values())) < 60
 
 
 def test_edge_cases(edge, empty):
