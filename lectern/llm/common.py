@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return re.sub("^file:/+", "file:///", found).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
