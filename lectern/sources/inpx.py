@@ -25,8 +25,7 @@ SEGMENT_SCHEMA = "inp_entry_name string, archive_name string, segment_order long
 
 def open_file(uri: str):
     """A seekable file of any store that pyarrow knows."""
-    if "://" not in uri:
-        uri = "file://" + uri
+    uri = re.sub("^file:/+", "/", uri)
     fs, path = pafs.FileSystem.from_uri(uri)
     return fs.open_input_file(path)
 

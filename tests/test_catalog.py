@@ -1,5 +1,6 @@
 """A small source from end to end: segments, payloads, first scan, search, rescan, stream, export."""
 
+import os
 import zipfile
 
 import pytest
@@ -35,6 +36,8 @@ def source(folder, name, segments, books):
 
 @pytest.fixture
 def catalogue(folder):
+    folder = f"{folder}/drop"
+    os.mkdir(folder)
     books = {"a": {1: payload("Пикник на обочине", "Аркадий", "Стругацкий", "rus"), 2: payload("Roadside Picnic")}, "b": {3: payload("Hard to be a God", lang="")}}
     path = source(folder, "one", {"a": [line(1, "Пикник", lang="ru"), line(2, "Picnic")], "b": [line(3, "God", lang="en"), line(9, "Gone", deleted="1")]}, books)
     return folder, path
@@ -103,10 +106,10 @@ def test_refused_snapshot_leaves_the_old_one(spark, catalogue):
         ingest.rescan(spark, broken, folder, f"{folder}/root", "s3", F.lit("2024-06-01").cast("timestamp"))
 
 
-def test_stream_publishes_each_source_once(spark, catalogue):
-    folder, path = catalogue
+def test_stream_publishes_each_source_once(spark, catalogue, folder):
+    drop, _ = catalogue
     for _ in range(2):
-        watch(spark, folder, folder, f"{folder}/root", f"{folder}/checkpoint").awaitTermination()
+        watch(spark, drop, drop, f"{folder}/root", f"{folder}/checkpoint").awaitTermination()
     assert Catalog(spark, f"{folder}/root").count(CatalogQuery()) == 3
 
 
