@@ -32,7 +32,7 @@ PERCENT = 75
 #: The estimate may be below the threshold by so many standard deviations before a pair is dropped unverified.
 SLACK_SD = 5
 #: Registers, four bits of each, that documents get which share a bucket with another component.
-SIGNATURE, SIGNATURE_SLACK_SD = 512, 4
+SIGNATURE, SIGNATURE_SLACK_SD = 1024, 4
 #: Rounds that compare each document of a bucket with its nearest one of another component, before the round that compares all.
 NEAREST_ROUNDS = 1
 #: Larger buckets are dealt into blocks of about so many documents; each task compares two blocks.
@@ -40,7 +40,7 @@ BLOCK = 1024
 #: So many ids at most (24 MB as a hash table) are broadcast to pick documents; above that, documents are shuffled.
 BROADCAST_IDS = 1_000_000
 
-_SEEDS = mix(np.arange(1, 2 * 512 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SEEDS = mix(np.arange(1, 2 * 1024 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
