@@ -11,11 +11,15 @@ A task writes under a name of its own and renames at the end, so that a lost or
 
 from __future__ import annotations
 
+import array
 import json
 import re
+import string
+import sys
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,54 +29,99 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import vocabulary
+from .bpe import _byte_letters, vocabulary
 from .common import mix, new_folder, sliced
 
 END_ID = 0
-#: Entries of a worker's memo of encoded chunks; it is emptied when full.
-MEMO = 400_000
+#: Entries of a worker's memo of encoded chunks; once it is full, further chunks are remembered for their batch only.
+MEMO = 1_000_000
 #: Bits of a level for each key that is still unsettled.
 GAMMA = 2
 
-_UNEVEN = re.compile(r"\s\s|\A\s|\s\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Memo(dict):
+    """Ids of chunks that were met early, mostly the frequent ones; `extra` has those of the present batch."""
+
+    def __init__(self):
+        self.extra: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.extra[chunk]
+
+
 class LibraryEncoder:
-    """Encodes texts with the tokenizers library, each distinct chunk once.
+    """Encodes texts with the tokenizers library, each distinct chunk of a batch once.
 
     A text is cut at every single space between two other characters, which stays with the chunk it leads. The pattern of
-    the byte-level pre-tokenizer always starts a word there, so the chunks' ids joined are the text's ids.
+    the byte-level pre-tokenizer always starts a word there, so the chunks' ids joined are the text's ids. A chunk of
+    letters is one word of that pattern, so the library's model alone encodes it, and so it is with one mark after letters.
     """
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.lengths = vocabulary(path).lengths
         self.kind = np.dtype("<u2" if len(self.lengths) <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in _byte_letters().items()}
+        self.marks = {m: self._pack(self.library.encode(m, add_special_tokens=False).ids) for m in string.punctuation}
+        self.memo = _Memo()
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes() if sys.byteorder == "big" else array.array(self.kind.char, ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and a run of letters."""
+        found = self.memo.get(word)
+        if found is None:
+            form = self.letters[0x20] + (word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+            found = self._pack([t.id for t in self.model.tokenize(form)])
+        return found
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks without their leading spaces; a run of chunks is one call, whose ids part where the bytes do."""
-        for at in range(0, len(chunks), 2000):
-            some = chunks[at : at + 2000]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, np.int64)
-            ends = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([1 + len(c.encode()) for c in some]), side="right")
+        """Encodes chunks with the space that leads them. What has several words goes through the whole library, in runs whose ids part where the bytes do."""
+        target = self.memo if len(self.memo) < MEMO else self.memo.extra
+        odd, rest = self.memo.extra, []
+        for c in chunks:
+            if c.isalpha():
+                target[c] = self._word(c)
+            elif c[-1:] in self.marks and c[:-1].isalpha():
+                target[c] = self._word(c[:-1]) + self.marks[c[-1]]
+            else:
+                rest.append(c)
+        runs = [rest[at : at + 100] for at in range(0, len(rest), 100)]
+        for run, found in zip(runs, self.library.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.int64)
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([1 + len(c.encode()) for c in run]), side="right")
             raw, last = ids.astype(self.kind).tobytes(), 0
-            for chunk, end in zip(some, cuts.tolist(), strict=True):
-                self.memo[chunk] = raw[last * self.kind.itemsize : end * self.kind.itemsize]
+            for chunk, end in zip(run, cuts.tolist(), strict=True):
+                (odd if chunk[-1].isspace() else target)[chunk] = raw[last * self.kind.itemsize : end * self.kind.itemsize]
                 last = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [(_CUT.split(t) if _UNEVEN.search(t) else t.split(" ")) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         memo = self.memo
-        self._learn(list({c for p in parts for c in p[1:] if c not in memo}))
-        heads = self.library.encode_batch([p[0] if p else "" for p in parts], add_special_tokens=False)
-        return [np.array(h.ids, self.kind).tobytes() + b"".join([memo[c] for c in p[1:]]) for h, p in zip(heads, parts, strict=True)]
+        memo.extra.clear()
+        parts = [t.split(" ") if t else [""] for t in texts]
+        new = {c for p in parts for c in p[1:] if c not in memo}
+        # a space beside other white space is no cut; such pieces are never remembered, so they are among the new ones
+        wrong = {c for c in new if not c or c[0].isspace() or c[-1].isspace()}
+        uneven = [i for i, p in enumerate(parts) if (len(p) > 1 and (not p[0] or p[0][-1].isspace())) or (wrong and not wrong.isdisjoint(p))]
+        new -= wrong
+        for i in uneven:
+            parts[i] = _CUT.split(texts[i])
+            new.update(c for c in parts[i][1:] if c not in memo)
+        self._learn(list(new))
+        heads = self.library.encode_batch_fast([p[0] for p in parts], add_special_tokens=False)
+        return [self._pack(h.ids) + b"".join([memo[c] for c in p[1:]]) for h, p in zip(heads, parts, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> LibraryEncoder:
+    """One encoder for a worker's life, so that its memo serves task after task."""
+    return LibraryEncoder(path)
 
 
 def keys_of(ids: np.ndarray, copies: np.ndarray) -> np.ndarray:
@@ -164,7 +213,7 @@ class ShardIndex:
 
 def _writer(path: str, folder: str):
     def run(batches):
-        encoder = LibraryEncoder(path)
+        encoder = encoder_of(path)
         task = TaskContext.get()
         fs, where = pafs.FileSystem.from_uri(folder)
         fs.create_dir(where, recursive=True)
