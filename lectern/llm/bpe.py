@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import new_folder, sliced, span_hashes
+from .common import cut, most_frequent, new_folder, sliced, span_hashes
 
 #: Words of the lexicon: its size bound.
 LEXICON_WORDS = 1 << 16
@@ -443,7 +443,8 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
     """
     spark = docs.sparkSession
     counted = docs.select("text").mapInArrow(_counter(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counted = cut(counted.filter("n > 1"), "words")
+    top = [bytes(r.word) for r in counted.filter(most_frequent(counted, size)).select("word").collect()]
     uri = new_folder(spark, "lexicon")
     folder, name = uri.rsplit("/", 1)
     fs, where = pafs.FileSystem.from_uri(folder)
