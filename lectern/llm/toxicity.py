@@ -31,7 +31,7 @@ class Settings:
     negatives: int = 3500
     dims: int = 8
     epochs: int = 10
-    steps: int = 1200
+    steps: int = 600
     batch: int = 64
     rate: float = 30.0
     seed: int = 7
