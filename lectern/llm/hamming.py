@@ -53,7 +53,8 @@ def _postings(classes: DataFrame) -> DataFrame:
     """(piece, value, entries): blocks of codes that share a piece's value, each code with its least id."""
     rows = classes.select("code", "least", F.explode(F.array(*[F.struct(F.lit(i).alias("piece"), _piece(F.col("code"), i).alias("value")) for i in range(SEGMENTS)])).alias("p")).select("code", "least", "p.*")
     blocks = rows.groupBy("piece", "value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    salted = rows.join(blocks, ["piece", "value"]).withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")))
+    # Spark takes exploded rows to be as few as their source, so joins of them must be kept from broadcasting them
+    salted = rows.hint("merge").join(blocks, ["piece", "value"]).withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")))
     return salted.groupBy("piece", "value", "block").agg(F.collect_list(F.struct("least", "code")).alias("entries")).drop("block")
 
 
@@ -85,7 +86,7 @@ def search(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
             probes = own if probes is None else probes.unionAll(own)
         measured = F.transform("entries", lambda e: F.struct(F.bit_count(e["code"].bitwiseXOR(F.col("query"))).alias("distance"), e["least"].alias("least"), e["code"].alias("code")))
         best = F.slice(F.array_sort(F.filter(measured, lambda e: e["distance"] <= bound)), 1, k + 1)
-        hits = probes.join(postings, ["piece", "value"]).select("query", best.alias("best")).filter(F.size("best") > 0)
+        hits = probes.hint("merge").join(postings, ["piece", "value"]).select("query", best.alias("best")).filter(F.size("best") > 0)
         hits = hits.select("query", F.explode("best").alias("hit")).select("query", "hit.*").distinct()
         top = _least(hits, "query", [F.col("distance"), F.col("least")], k + 1).join(classes.select("code", "ids"), "code")
         top = cut(top.select("query", "distance", "ids"), "top")
