@@ -8,7 +8,9 @@ Windows that share a repetition's sample with an item are verified: the item's l
 text around the window must be at most MAX_EDITS of its length.
 
 Walks of one text never cross: once two stand on one character at the same step, they stay together. So after each
-stretch the windows that met are carried on as one, which leaves a small share of them after the first stretches.
+stretch the windows that met are carried on as one, which leaves a small share of them after the first stretches. A hit
+is placed by where its stretch starts in the text and in the item. A window ends with its row, so what is found in a row
+does not depend on the rows beside it.
 """
 
 from __future__ import annotations
@@ -51,14 +53,15 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def walk(data: np.ndarray, starts: np.ndarray, turn: int):
-    """For each stretch: (samples, their hashes, first window of each group, place of each group at the end).
+def walk(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int):
+    """For each stretch: (samples, their hashes, first window of each group, its place at the stretch's start, whether it stayed in its text).
 
-    Samples are a row of bytes for each sampled output. data needs STRETCHES * SPAN bytes after the last start.
+    ends are where the windows' texts end. Samples are a row of bytes for each sampled output. data needs STRETCHES * SPAN bytes after the last start.
     """
     at, lead = starts.astype(np.int64), np.arange(len(starts))
     for s in range(STRETCHES):
         read, move = np.empty(len(at), np.uint8), np.empty(len(at), np.uint8)
+        begin = at.copy()
         samples, key, taken = np.empty((SAMPLED, len(at)), np.uint8), np.zeros(len(at), np.uint32), 0
         for k in range(SPAN):
             np.take(data, at, out=read, mode="clip")
@@ -71,7 +74,9 @@ def walk(data: np.ndarray, starts: np.ndarray, turn: int):
             move += _SHIFT[turn, s * SPAN + k]
             move >>= np.uint8(7)
             np.add(at, move, out=at, casting="unsafe")
-        yield samples, key * _STEP, lead, at
+        inside = at < ends[lead]
+        yield samples, key * _STEP, lead, begin, inside
+        at, lead = at[inside], lead[inside]
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1]
         at, lead = at[fresh], lead[fresh]
@@ -79,11 +84,11 @@ def walk(data: np.ndarray, starts: np.ndarray, turn: int):
 
 @dataclass
 class Items:
-    """Normalised items, and for each walk and stretch the (ascending hashes, samples, items) of those whose walk stays inside the item."""
+    """Normalised items, and for each walk and stretch the (ascending hashes, samples, items, places in them) of those whose walk stays inside the item."""
 
     ids: list[int]
     texts: list[bytes]
-    tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+    tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
     short: list[int]
 
     @staticmethod
@@ -101,10 +106,10 @@ class Items:
         for turn in range(WALKS):
             tables.append([])
             # each item walks by itself, as groups of windows are for one text
-            for samples, key, lead, at in walk(data, starts, turn):
-                inside = np.flatnonzero(at < (starts + sizes)[lead])
+            for samples, key, lead, begin, stays in walk(data, starts, starts + sizes, turn):
+                inside = np.flatnonzero(stays)
                 inside = inside[np.argsort(key[inside])]
-                tables[-1].append((key[inside], samples[:, inside], np.array(long, np.int64)[lead[inside]]))
+                tables[-1].append((key[inside], samples[:, inside], np.array(long, np.int64)[lead[inside]], (begin - starts[lead])[inside]))
         return Items([i for i, _ in rows], texts, tables, [k for k, t in enumerate(texts) if 0 < len(t) < LEAST_ITEM])
 
 
@@ -136,6 +141,24 @@ def least_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
+def _regions(wanted: set[tuple[int, int, int]], items: Items, offsets: np.ndarray):
+    """(row, item, from, to) of the parts to verify for (row, item, place of the item's start); parts that overlap are one."""
+    open_: list[int] = []
+    for row, k, start in sorted(wanted):
+        size = len(items.texts[k])
+        # edits shift the item, and two walks may agree before they are in step
+        slack = int(MAX_EDITS * size) + SPAN
+        low, high = max(int(offsets[row]), start - slack), min(int(offsets[row + 1]), start + size + slack)
+        if open_ and open_[:2] == [row, k] and low <= open_[3]:
+            open_[3] = max(open_[3], high)
+            continue
+        if open_:
+            yield tuple(open_)
+        open_ = [row, k, low, high]
+    if open_:
+        yield tuple(open_)
+
+
 def _finder(shared, drop: bool = False):
     """Yields the hits, or, with drop, the rows that have none."""
 
@@ -144,7 +167,7 @@ def _finder(shared, drop: bool = False):
         filters = []
         for turn in items.tables:
             filters.append([])
-            for keys, _, _ in turn:
+            for keys, *_ in turn:
                 seen = np.zeros(1 << 20, bool)
                 seen[keys >> np.uint32(12)] = True
                 filters[-1].append(seen)
@@ -156,28 +179,25 @@ def _finder(shared, drop: bool = False):
             head[1:] = blank[:-1]
             head[offsets[:-1][np.diff(offsets) > 0]] = True
             starts = np.flatnonzero(head & ~blank)
+            rows_of = np.searchsorted(offsets, starts, "right") - 1
             wanted = set()
             for turn in range(WALKS):
-                for s, (samples, key, lead, _) in enumerate(walk(data, starts, turn)):
-                    keys, known, who = items.tables[turn][s]
+                for s, (samples, key, lead, begin, inside) in enumerate(walk(data, starts, offsets[1:][rows_of], turn)):
+                    keys, known, who, place = items.tables[turn][s]
                     if not len(keys):
                         break
-                    hit = np.flatnonzero(filters[turn][s].take(key >> np.uint32(12)))
+                    hit = np.flatnonzero(filters[turn][s].take(key >> np.uint32(12)) & inside)
                     lo, hi = np.searchsorted(keys, key[hit]), np.searchsorted(keys, key[hit], "right")
                     for g, a, b in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                        last = lead[g + 1] - 1 if g + 1 < len(lead) else len(starts) - 1
-                        same = (known[:, a:b] == samples[:, g : g + 1]).all(0)
-                        wanted.update((int(starts[lead[g]]), int(starts[last]), int(k)) for k in who[a:b][same])
+                        same = np.flatnonzero((known[:, a:b] == samples[:, g : g + 1]).all(0)) + a
+                        wanted.update((int(rows_of[lead[g]]), int(k), int(begin[g] - at)) for k, at in zip(who[same], place[same], strict=True))
             text = raw.tobytes()
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for first, last, k in sorted(wanted):
-                item = items.texts[k]
-                most = int(MAX_EDITS * len(item))
-                row = int(np.searchsorted(offsets, first, "right")) - 1
+            for row, k, low, high in _regions(wanted, items, offsets):
+                most = int(MAX_EDITS * len(items.texts[k]))
                 own = best.get((row, k), (most + 1, 0))
                 if own[0]:
-                    low, high = max(int(offsets[row]), first - most), min(int(offsets[row + 1]), last + len(item) + most)
-                    distance, end = least_distance(item, text[low:high], most)
+                    distance, end = least_distance(items.texts[k], text[low:high], most)
                     if distance < own[0]:
                         best[row, k] = distance, low + end - int(offsets[row])
             for k in items.short:
