@@ -2,10 +2,12 @@
 
 The CGK walk reads a text from a start: at step i it puts out the character under it, then moves on or stays as a random
 table says for (i, character). Walks over texts that differ by few edits fall into step again after each edit, so edit
-distance turns into Hamming distance of the outputs. Every word of a document starts a window that walks as far as the
-longest item's walk may; each repetition of the LSH samples SAMPLED of the SPAN outputs of one stretch of the walk.
+distance turns into Hamming distance of the outputs. Every word of a document and of an item starts a window of STRETCHES
+stretches, so an item is sampled over its whole length, whatever it is; each repetition of the LSH samples SAMPLED of the
+SPAN outputs of one stretch of the walk.
 Windows that share a repetition's sample with an item are verified: the item's least edit distance to any part of the
-text around the window must be at most MAX_EDITS of its length.
+text around the window must be at most MAX_EDITS of its length. An edit spoils at most GRAM of the item's n-grams, so
+parts that lack more of them than all edits can spoil are left without working the distance out.
 
 Walks of one text never cross: once two stand on one character at the same step, they stay together. So after each
 stretch the windows that met are carried on as one, which leaves a small share of them after the first stretches. A hit
@@ -30,8 +32,14 @@ WALKS = 2
 MAX_EDITS = 0.2
 #: Shorter items (bytes) have no whole stretch; they are looked for as they are.
 LEAST_ITEM = 48
+#: Bytes of the n-grams that are counted before a distance is worked out.
+GRAM = 3
+#: Distances that are worked out side by side.
+LANES = 512
 #: Items of one pass over the documents; more items take more passes, so what is sent to the tasks stays bounded.
 ITEMS_PER_PASS = 50_000
+#: The same for the bytes of their texts, as each word of an item has walks.
+BYTES_PER_PASS = 2 << 20
 
 _SEED = np.random.default_rng(20240229)
 #: A step's random table: a character c moves on if the top bit of factor * c + shift (in a byte) is set.
@@ -53,6 +61,24 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places of the words of normalised texts."""
+    blank = data == 0x20
+    head = np.ones(len(data), bool)
+    head[1:] = blank[:-1]
+    head[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(head & ~blank)
+
+
+def gram_codes(data: np.ndarray) -> np.ndarray:
+    """16-bit codes of the n-grams at each place; equal n-grams have equal codes."""
+    size = max(0, len(data) - GRAM + 1)
+    code = np.zeros(size, np.uint32)
+    for k in range(GRAM):
+        code = code * np.uint32(0x01000193) + data[k : k + size]
+    return (code * _STEP >> np.uint32(16)).astype(np.uint16)
+
+
 def walk(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int):
     """For each stretch: (samples, their hashes, first window of each group, its place at the stretch's start, whether it stayed in its text).
 
@@ -90,6 +116,7 @@ class Items:
     texts: list[bytes]
     tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
     short: list[int]
+    grams: list[np.ndarray]
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
@@ -98,19 +125,20 @@ class Items:
             raw = np.frombuffer(text.encode(), np.uint8)
             texts.append(normalised(raw, np.array([0, len(raw)]))[0].tobytes().strip(b" "))
         tables = []
-        pad = bytes(STRETCHES * SPAN + 1)
         long = [k for k, t in enumerate(texts) if len(t) >= LEAST_ITEM]
-        data = np.frombuffer(b"".join(texts[k] + pad for k in long), np.uint8)
-        sizes = np.array([len(texts[k]) for k in long], np.int64)
-        starts = np.cumsum(sizes + len(pad)) - sizes - len(pad)
+        raw = np.frombuffer(b"".join(texts[k] for k in long), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(texts[k]) for k in long])]).astype(np.int64)
+        data = np.concatenate([raw, np.zeros(STRETCHES * SPAN + 1, np.uint8)])
+        starts = word_starts(raw, offsets)
+        item_of = np.searchsorted(offsets, starts, "right") - 1
         for turn in range(WALKS):
             tables.append([])
-            # each item walks by itself, as groups of windows are for one text
-            for samples, key, lead, begin, stays in walk(data, starts, starts + sizes, turn):
+            for samples, key, lead, begin, stays in walk(data, starts, offsets[1:][item_of], turn):
                 inside = np.flatnonzero(stays)
                 inside = inside[np.argsort(key[inside])]
-                tables[-1].append((key[inside], samples[:, inside], np.array(long, np.int64)[lead[inside]], (begin - starts[lead])[inside]))
-        return Items([i for i, _ in rows], texts, tables, [k for k, t in enumerate(texts) if 0 < len(t) < LEAST_ITEM])
+                item = item_of[lead[inside]]
+                tables[-1].append((key[inside], samples[:, inside], np.array(long, np.int64)[item], begin[inside] - offsets[item]))
+        return Items([i for i, _ in rows], texts, tables, [k for k, t in enumerate(texts) if 0 < len(t) < LEAST_ITEM], [gram_codes(np.frombuffer(t, np.uint8)) for t in texts])
 
 
 def least_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
@@ -141,15 +169,55 @@ def least_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
+def least_distances(tasks: list[tuple[bytes, bytes]]) -> list[tuple[int, int]]:
+    """least_distance() of many (item, text). Items lie side by side in one number, a spare bit above each, so that a step serves all."""
+    out: list[tuple[int, int]] = [(0, 0)] * len(tasks)
+    order = sorted(range(len(tasks)), key=lambda i: len(tasks[i][1]))
+    for at in range(0, len(order), LANES):
+        own = order[at : at + LANES]
+        if len(own) < 8:
+            for i in own:
+                out[i] = least_distance(*tasks[i], 0)
+            continue
+        sizes, lengths = (np.array([len(tasks[i][j]) for i in own], np.int64) for j in (0, 1))
+        width, longest, lanes = int(sizes.max()) // 8 + 1, int(lengths.max()), np.arange(len(own))
+        masks, text = np.zeros((len(own), 256, width), np.uint8), np.zeros((longest, len(own)), np.uint8)
+        for lane, i in enumerate(own):
+            item, part = (np.frombuffer(x, np.uint8) for x in tasks[i])
+            place = np.arange(len(item))
+            np.bitwise_or.at(masks[lane], (item, place >> 3), np.uint8(1) << (place & 7).astype(np.uint8))
+            text[: len(part), lane] = part
+        bits = np.arange(width * 8) < sizes[:, None]
+        full = int.from_bytes(np.packbits(bits, axis=1, bitorder="little").tobytes(), "little")
+        top, top_bit = lanes * width + (sizes - 1 >> 3), np.uint8(1) << (sizes - 1 & 7).astype(np.uint8)
+        plus, minus, score, best, end = full, 0, sizes.copy(), sizes.copy(), np.zeros(len(own), np.int64)
+        total = width * len(own)
+        for j in range(longest):
+            eq = int.from_bytes(masks[lanes, text[j]].tobytes(), "little")
+            x = eq | minus
+            d = ((((eq & plus) + plus) ^ plus) | x) & full
+            up, down = minus | full ^ (d | plus), plus & d
+            score += (np.frombuffer(up.to_bytes(total, "little"), np.uint8)[top] & top_bit) != 0
+            score -= (np.frombuffer(down.to_bytes(total, "little"), np.uint8)[top] & top_bit) != 0
+            up, down = up << 1 & full, down << 1 & full
+            plus, minus = down | full ^ (x | up), up & x
+            less = (score < best) & (j < lengths)
+            if less.any():
+                best[less], end[less] = score[less], j + 1
+        for i, b, e in zip(own, best.tolist(), end.tolist(), strict=True):
+            out[i] = b, e
+    return out
+
+
 def _regions(wanted: set[tuple[int, int, int]], items: Items, offsets: np.ndarray):
-    """(row, item, from, to) of the parts to verify for (row, item, place of the item's start); parts that overlap are one."""
+    """(row, item, from, to) of the parts to verify for (row, item, place of the item's start); parts that overlap are one, up to a length."""
     open_: list[int] = []
     for row, k, start in sorted(wanted):
         size = len(items.texts[k])
         # edits shift the item, and two walks may agree before they are in step
         slack = int(MAX_EDITS * size) + SPAN
         low, high = max(int(offsets[row]), start - slack), min(int(offsets[row + 1]), start + size + slack)
-        if open_ and open_[:2] == [row, k] and low <= open_[3]:
+        if open_ and open_[:2] == [row, k] and low <= open_[3] and high - open_[2] <= 4 * (size + 2 * slack):
             open_[3] = max(open_[3], high)
             continue
         if open_:
@@ -174,11 +242,7 @@ def _finder(shared, drop: bool = False):
         for batch in sliced(batches, "text", 1 << 20):
             raw, offsets = normalised(*text_column(batch, "text"))
             data = np.concatenate([raw, np.zeros(STRETCHES * SPAN + 1, np.uint8)])
-            blank = raw == 0x20
-            head = np.ones(len(raw), bool)
-            head[1:] = blank[:-1]
-            head[offsets[:-1][np.diff(offsets) > 0]] = True
-            starts = np.flatnonzero(head & ~blank)
+            starts = word_starts(raw, offsets)
             rows_of = np.searchsorted(offsets, starts, "right") - 1
             wanted = set()
             for turn in range(WALKS):
@@ -188,18 +252,25 @@ def _finder(shared, drop: bool = False):
                         break
                     hit = np.flatnonzero(filters[turn][s].take(key >> np.uint32(12)) & inside)
                     lo, hi = np.searchsorted(keys, key[hit]), np.searchsorted(keys, key[hit], "right")
-                    for g, a, b in zip(hit[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                        same = np.flatnonzero((known[:, a:b] == samples[:, g : g + 1]).all(0)) + a
-                        wanted.update((int(rows_of[lead[g]]), int(k), int(begin[g] - at)) for k, at in zip(who[same], place[same], strict=True))
+                    many = hi - lo
+                    group = np.repeat(hit, many)
+                    entry = np.arange(len(group)) + np.repeat(lo - np.cumsum(many) + many, many)
+                    same = (known[:, entry] == samples[:, group]).all(0)
+                    group, entry = group[same], entry[same]
+                    wanted.update(zip(rows_of[lead[group]].tolist(), who[entry].tolist(), (begin[group] - place[entry]).tolist(), strict=True))
             text = raw.tobytes()
             best: dict[tuple[int, int], tuple[int, int]] = {}
+            codes, present = gram_codes(raw), np.zeros(1 << 16, bool)
+            parts = []
             for row, k, low, high in _regions(wanted, items, offsets):
-                most = int(MAX_EDITS * len(items.texts[k]))
-                own = best.get((row, k), (most + 1, 0))
-                if own[0]:
-                    distance, end = least_distance(items.texts[k], text[low:high], most)
-                    if distance < own[0]:
-                        best[row, k] = distance, low + end - int(offsets[row])
+                near = codes[low : max(low, high - GRAM + 1)]
+                present[near] = True
+                if np.count_nonzero(present[items.grams[k]]) >= len(items.grams[k]) - GRAM * int(MAX_EDITS * len(items.texts[k])):
+                    parts.append((row, k, low, text[low:high]))
+                present[near] = False
+            for (row, k, low, _), (distance, end) in zip(parts, least_distances([(items.texts[k], part) for _, k, _, part in parts]), strict=True):
+                if distance < best.get((row, k), (int(MAX_EDITS * len(items.texts[k])) + 1, 0))[0]:
+                    best[row, k] = distance, low + end - int(offsets[row])
             for k in items.short:
                 at = text.find(items.texts[k])
                 while at >= 0:
@@ -228,13 +299,14 @@ def _finder(shared, drop: bool = False):
 
 
 def _passes(docs: DataFrame, benchmark: DataFrame):
-    """Broadcasts of at most ITEMS_PER_PASS items each; at least one."""
-    sent, some = False, []
+    """Broadcasts of at most ITEMS_PER_PASS items and about BYTES_PER_PASS bytes each; at least one."""
+    sent, some, size = False, [], 0
     for r in benchmark.select("item_id", "text").filter("text is not null").toLocalIterator():
         some.append((r.item_id, r.text))
-        if len(some) == ITEMS_PER_PASS:
+        size += len(r.text)
+        if len(some) == ITEMS_PER_PASS or size >= BYTES_PER_PASS:
             yield docs.sparkSession.sparkContext.broadcast(Items.of(some))
-            sent, some = True, []
+            sent, some, size = True, [], 0
     if some or not sent:
         yield docs.sparkSession.sparkContext.broadcast(Items.of(some))
 

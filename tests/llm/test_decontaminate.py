@@ -37,3 +37,24 @@ def test_rows_before_do_not_matter():
     alone = set().union(*(found([d], items) for d in docs))
     together = found(docs, items)
     assert alone == together and len(together) > 0.9 * 120
+
+
+def test_long_items_without_their_head():
+    rng = random.Random(9)
+    items = [(k, words(rng, 150)) for k in range(20)]
+    docs = [(k, f"{words(rng, 30)} {text[len(text) // 5 :]} {words(rng, 30)}") for k, text in items]
+    assert {(d, i) for d, i, _ in found(docs, items)} == {(k, k) for k, _ in items}
+
+
+def test_items_edited_to_the_limit():
+    rng = random.Random(10)
+    items = [(k, words(rng, 40)) for k in range(60)]
+    docs = [(k, f"{words(rng, 30)} {edited(rng, text, len(text) // 5)} {words(rng, 30)}") for k, text in items]
+    got = {(d, i) for d, i, _ in found(docs, items)}
+    assert got <= {(k, k) for k, _ in items} and len(got) >= 0.85 * 60
+
+
+def test_distances_side_by_side():
+    rng = random.Random(1)
+    some = [(bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 90))), bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 150)))) for _ in range(600)]
+    assert D.least_distances(some) == [D.least_distance(i, t, 0) for i, t in some]
