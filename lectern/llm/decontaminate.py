@@ -30,7 +30,7 @@ STRETCHES = 12
 WALKS = 2
 #: Share of an item's length that may be edited.
 MAX_EDITS = 0.2
-#: Shorter items (bytes) have no whole stretch; they are looked for as they are.
+#: Shorter items (bytes) have no whole stretch; they are cut into one piece more than edits may hit, and each place of a piece is verified.
 LEAST_ITEM = 48
 #: Bytes of the n-grams that are counted before a distance is worked out.
 GRAM = 3
@@ -169,6 +169,13 @@ def least_distance(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, end
 
 
+def pieces(item: bytes) -> list[tuple[int, bytes]]:
+    """(place, bytes) of the pieces of a short item, of which one at least is in every text that holds the item within MAX_EDITS."""
+    n = int(MAX_EDITS * len(item)) + 1
+    cuts = [len(item) * k // n for k in range(n + 1)]
+    return [(a, item[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
 def least_distances(tasks: list[tuple[bytes, bytes]]) -> list[tuple[int, int]]:
     """least_distance() of many (item, text). Items lie side by side in one number, a spare bit above each, so that a step serves all."""
     out: list[tuple[int, int]] = [(0, 0)] * len(tasks)
@@ -261,6 +268,14 @@ def _finder(shared, drop: bool = False):
             text = raw.tobytes()
             best: dict[tuple[int, int], tuple[int, int]] = {}
             codes, present = gram_codes(raw), np.zeros(1 << 16, bool)
+            for k in items.short:
+                for begin, piece in pieces(items.texts[k]):
+                    at = text.find(piece)
+                    while at >= 0:
+                        row = int(np.searchsorted(offsets, at, "right")) - 1
+                        if at + len(piece) <= offsets[row + 1]:
+                            wanted.add((row, k, at - begin))
+                        at = text.find(piece, at + 1)
             parts = []
             for row, k, low, high in _regions(wanted, items, offsets):
                 near = codes[low : max(low, high - GRAM + 1)]
@@ -271,13 +286,6 @@ def _finder(shared, drop: bool = False):
             for (row, k, low, _), (distance, end) in zip(parts, least_distances([(items.texts[k], part) for _, k, _, part in parts]), strict=True):
                 if distance < best.get((row, k), (int(MAX_EDITS * len(items.texts[k])) + 1, 0))[0]:
                     best[row, k] = distance, low + end - int(offsets[row])
-            for k in items.short:
-                at = text.find(items.texts[k])
-                while at >= 0:
-                    row = int(np.searchsorted(offsets, at, "right")) - 1
-                    if at + len(items.texts[k]) <= offsets[row + 1]:
-                        best.setdefault((row, k), (0, at + len(items.texts[k]) - int(offsets[row])))
-                    at = text.find(items.texts[k], at + 1)
             rows = sorted(best)
             if drop:
                 clean = np.ones(batch.num_rows, bool)
@@ -316,8 +324,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     distance is in bytes of the normalised texts (A-Z lowered, white space runs as one blank); end_byte is where the part
     nearest to the item ends there. Null or blank texts and items match nothing; a null doc_id is passed through; texts
-    are read whole; repeated rows and repeated items are each reported; items of under LEAST_ITEM bytes match exactly
-    only; empty tables give no rows. Other columns are ignored.
+    are read whole; repeated rows and repeated items are each reported; items of under LEAST_ITEM bytes are
+    found without fail; empty tables give no rows. Other columns are ignored.
     """
     out = None
     for shared in _passes(docs, benchmark):

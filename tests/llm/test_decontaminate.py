@@ -58,3 +58,14 @@ def test_distances_side_by_side():
     rng = random.Random(1)
     some = [(bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 90))), bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 150)))) for _ in range(600)]
     assert D.least_distances(some) == [D.least_distance(i, t, 0) for i, t in some]
+
+
+def test_short_items_edited():
+    rng = random.Random(11)
+    items = [(k, words(rng, 8)[: rng.randint(12, 47)].strip()) for k in range(60)]
+    docs = [(k, f"{words(rng, 30)} {edited(rng, text, len(text) // 5)} {words(rng, 30)}") for k, text in items]
+    docs += [(100 + k, edited(rng, text, len(text) // 5)) for k, text in items]
+    got = {(d, i) for d, i, _ in found(docs, items)}
+    assert {(k + far, k) for k, _ in items for far in (0, 100)} <= got
+    truth = {(d, i) for d, t in docs for i, x in items if D.least_distance(x.encode(), t.encode(), 0)[0] <= len(x) // 5}
+    assert got == truth
