@@ -260,7 +260,12 @@ class NearDuplicates:
         """(doc_id, n_shingles, component_id, kept), one row for each input row."""
         sketch = cut(self.docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, regs binary"), "sketch")
         self.classes = cut(
-            sketch.filter("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "regs")).alias("c")).select("digest", "c.*"), "classes"
+            # in a struct null comes first, so a flag puts null ids last
+            sketch.filter("digest is not null")
+            .groupBy("digest")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n_shingles", "regs")).alias("c"))
+            .select("digest", "c.doc_id", "c.n_shingles", "c.regs"),
+            "classes",
         )
         bands = self.classes.select("doc_id", _band_keys()).select(F.col("pos").alias("band"), F.col("col").alias("key"), "doc_id")
         shared = bands.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last")

@@ -81,3 +81,13 @@ def test_estimate_is_corrected(share):
     x, y = (N.registers(s, np.array([0, len(s)]), 512)[0] for s in (a, b))
     truth = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     assert abs(N.estimate(np.array([(x == y).mean()]), np.array([len(a)]), np.array([len(b)]))[0] - truth) < 0.08
+
+
+def test_null_id_among_copies(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(5, text), (None, text), (7, text), (9, text + " more"), (None, "alone with no id at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = N.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None} == {(5, 5, True), (7, 5, False), (9, 5, False)}
+    assert len(got) == 5 and all(r.kept is None for r in got if r.doc_id is None)
+    assert sorted(r.text for r in N.drop_near_duplicates(docs).collect() if r.doc_id is not None) == [text]
