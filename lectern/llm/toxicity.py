@@ -5,7 +5,8 @@ embedding table. Documents are averages of their rows; a linear softmax over two
 softmax are trained together, in numpy. As the score is linear before the softmax, a trained model folds into one weight
 a row: log-odds = bias + mean of the weights of the document's n-grams, so scoring reads each text once. The mean weighs
 a distinct n-gram by the square root of its count, so that a long text's common n-grams don't drown a few rare ones. A
-fifth of the sample, never trained on, calibrates the log-odds.
+fifth of the sample, never trained on, calibrates the log-odds; they are then moved from the sample's share of toxic rows
+to that of all learning rows, so a score means the same whether or not the sample's bounds bite.
 """
 
 from __future__ import annotations
@@ -140,23 +141,38 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> np
     return np.append(weights, shift)
 
 
-def _trainer(s: Settings):
+def moved(weights: np.ndarray, sample: float, share: float) -> np.ndarray:
+    """weights with the bias moved from the sample's share of class 1 to its share of all learning rows; both shares lie between 0 and 1."""
+    out = weights.copy()
+    out[-1] += np.log(share / (1 - share)) - np.log(sample / (1 - sample))
+    return out
+
+
+def _trainer(s: Settings, share: float | None):
     def run(batches):
         rows = [(r["doc_id"], r["label"], r["ids"], r["weights"]) for b in batches for r in b.to_pylist()]
         rows.sort(key=lambda r: r[0])
         weights = train([(y, np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for _, y, i, w in rows], s)
+        own = np.mean([y for _, y, _, _ in rows]) if rows else 0.0
+        if share is not None and 0 < share < 1 and 0 < own < 1:
+            weights = moved(weights, own, share)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["model"])
 
     return run
 
 
+def learning_rows(labels: DataFrame, column: str, mod: int, held: int) -> DataFrame:
+    """(doc_id, label) of each id with a label of 0 or 1 that is not held out; 1 where its labels differ."""
+    known = labels.select("doc_id", F.col(column).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket_of("doc_id", mod) != held))
+    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, held: int, most: dict[int, int]) -> DataFrame:
     """(doc_id, text, label) of at most most[c] learning rows of each class c, those with the least hashed ids.
 
     Rows without an id, a text or a label of 0 or 1 are left out; so are held-out rows.
     """
-    known = labels.select("doc_id", F.col(column).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket_of("doc_id", mod) != held))
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = learning_rows(labels, column, mod, held)
     some = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in most.items()]
     picked = some[0].union(some[1])
     # picked has at most sum(most) rows of two numbers
@@ -165,8 +181,12 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, held: int,
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """The folded model. It learns from rows whose crc32(doc_id) mod 3 is not 1; the sample is bounded by s and trained in one task."""
+    n = {r.label: r.n for r in learning_rows(labels, "toxic", 3, 1).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    # unless a bound bites, the sample's own share is that of all learning rows
+    bites = n.get(1, 0) > s.positives or n.get(0, 0) > s.negatives
+    share = n.get(1, 0) / (n.get(1, 0) + n.get(0, 0)) if bites else None
     examples = sample(docs, labels, "toxic", 3, 1, {1: s.positives, 0: s.negatives})
-    made = examples.mapInArrow(_features, "doc_id long, label int, ids binary, weights binary").repartition(1).mapInArrow(_trainer(s), "model binary")
+    made = examples.mapInArrow(_features, "doc_id long, label int, ids binary, weights binary").repartition(1).mapInArrow(_trainer(s, share), "model binary")
     return np.frombuffer(bytes(made.collect()[0].model), np.float32)
 
 

@@ -151,3 +151,14 @@ def test_pipeline_equals_its_stages(spark):
         assert docs.columns == tables["documents"].columns and {r.doc_id for r in docs.collect()} == expected
     last = sorted(tuple(r) for r in bpe.code_documents(docs, path).collect())
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SMALL).collect()) == last and last
+
+
+def test_toxicity_keeps_its_meaning_when_the_sample_is_bounded(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    rate = lambda s: toxicity.score_toxicity(docs, labels, s).agg(F.avg("predicted")).first()[0]
+    assert abs(rate(toxicity.Settings()) - rate(toxicity.Settings(positives=300, negatives=300))) < 0.02
+
+
+def test_log_odds_move_to_the_real_share():
+    out = toxicity.moved(np.array([0.5, 0.0]), 0.5, 0.1)
+    assert out[0] == 0.5 and abs(1 / (1 + np.exp(-out[1])) - 0.1) < 1e-9
