@@ -3,10 +3,11 @@
 The CGK walk reads a text from a start: at step i it puts out the character under it, then moves on or stays as a random
 table says for (i, character). Walks over texts that differ by few edits fall into step again after each edit, so edit
 distance turns into Hamming distance of the outputs. Every word of a document and of an item starts a window of STRETCHES
-stretches, so an item is sampled over its whole length, whatever it is; each repetition of the LSH samples SAMPLED of the
-SPAN outputs of one stretch of the walk.
-Windows that share a repetition's sample with an item are verified: the item's least edit distance to any part of the
-text around the window must be at most MAX_EDITS of its length. An edit spoils at most GRAM of the item's n-grams, so
+stretches, and so do places inside text without blanks; so an item is sampled over its whole length, whatever it is. Each
+repetition of the LSH samples SAMPLED of the SPAN outputs of one stretch of the walk.
+Windows that share a repetition's sample with an item are hits. The NEAR bytes of the item around a hit are compared with
+the text first, which leaves few hits of common phrases. Then the whole item is verified: its least edit distance to any
+part of the text around must be at most MAX_EDITS of its length. An edit spoils at most GRAM of the item's n-grams, so
 parts that lack more of them than all edits can spoil are left without working the distance out.
 
 Walks of one text never cross: once two stand on one character at the same step, they stay together. So after each
@@ -32,10 +33,14 @@ WALKS = 2
 MAX_EDITS = 0.2
 #: Shorter items (bytes) have no whole stretch; they are cut into one piece more than edits may hit, and each place of a piece is verified.
 LEAST_ITEM = 48
+#: Bytes without a blank after which windows start inside a word too.
+RUN = 16
+#: A hit is looked at closely first: so many bytes of the item around it must be in the text within so many edits, twice the share of whole items.
+NEAR, NEAR_EDITS = 64, 26
 #: Bytes of the n-grams that are counted before a distance is worked out.
 GRAM = 3
 #: Distances that are worked out side by side.
-LANES = 512
+LANES = 1024
 #: Items of one pass over the documents; more items take more passes, so what is sent to the tasks stays bounded.
 ITEMS_PER_PASS = 50_000
 #: The same for the bytes of their texts, as each word of an item has walks.
@@ -61,13 +66,28 @@ def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, np.concatenate([[0], np.cumsum(keep)])[offsets]
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Places of the words of normalised texts."""
+def window_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places where windows of normalised texts start: at words, and inside of text without blanks at some of its places.
+
+    Which ones, the bytes around them tell (RUN bytes before and four after without a blank), so that a passage and its
+    copy have the same ones.
+    """
     blank = data == 0x20
     head = np.ones(len(data), bool)
     head[1:] = blank[:-1]
     head[offsets[:-1][np.diff(offsets) > 0]] = True
-    return np.flatnonzero(head & ~blank)
+    head &= ~blank
+    # bytes since the last blank or start of a row
+    place = np.arange(len(data), dtype=np.int32)
+    since = place - np.maximum.accumulate(np.where(blank | head, place, np.int32(0)))
+    inside = np.flatnonzero((since[:-3] >= RUN) & ~blank[3:]) if len(data) > 3 else place[:0]
+    if len(inside):
+        inside = inside[(since[inside + 3] == since[inside] + 3)]
+        code = np.zeros(len(inside), np.uint32)
+        for k in range(4):
+            code = (code ^ data[inside + k]) * np.uint32(0x01000193)
+        head[inside[(code * _STEP >> np.uint32(29)) < 2]] = True
+    return np.flatnonzero(head)
 
 
 def gram_codes(data: np.ndarray) -> np.ndarray:
@@ -80,20 +100,18 @@ def gram_codes(data: np.ndarray) -> np.ndarray:
 
 
 def walk(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int):
-    """For each stretch: (samples, their hashes, first window of each group, its place at the stretch's start, whether it stayed in its text).
+    """For each stretch: (hashes of the samples, first window of each group, its place at the stretch's start, whether it stayed in its text).
 
-    ends are where the windows' texts end. Samples are a row of bytes for each sampled output. data needs STRETCHES * SPAN bytes after the last start.
+    ends are where the windows' texts end. data needs STRETCHES * SPAN bytes after the last start.
     """
-    at, lead = starts.astype(np.int64), np.arange(len(starts))
+    at, lead = starts.astype(np.int64), np.arange(len(starts), dtype=np.int32)
     for s in range(STRETCHES):
         read, move = np.empty(len(at), np.uint8), np.empty(len(at), np.uint8)
         begin = at.copy()
-        samples, key, taken = np.empty((SAMPLED, len(at)), np.uint8), np.zeros(len(at), np.uint32), 0
+        key = np.zeros(len(at), np.uint32)
         for k in range(SPAN):
             np.take(data, at, out=read, mode="clip")
             if _PICKED[turn, s, k]:
-                samples[taken] = read
-                taken += 1
                 key *= _STEP
                 key += read
             np.multiply(read, _FACTOR[turn, s * SPAN + k], out=move)
@@ -101,7 +119,7 @@ def walk(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int):
             move >>= np.uint8(7)
             np.add(at, move, out=at, casting="unsafe")
         inside = at < ends[lead]
-        yield samples, key * _STEP, lead, begin, inside
+        yield key * _STEP, lead, begin, inside
         at, lead = at[inside], lead[inside]
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1]
@@ -110,11 +128,11 @@ def walk(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int):
 
 @dataclass
 class Items:
-    """Normalised items, and for each walk and stretch the (ascending hashes, samples, items, places in them) of those whose walk stays inside the item."""
+    """Normalised items, and for each walk and stretch the (ascending hashes, items, places in them) of those whose walk stays inside the item."""
 
     ids: list[int]
     texts: list[bytes]
-    tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+    tables: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]
     short: list[int]
     grams: list[np.ndarray]
 
@@ -129,15 +147,15 @@ class Items:
         raw = np.frombuffer(b"".join(texts[k] for k in long), np.uint8)
         offsets = np.concatenate([[0], np.cumsum([len(texts[k]) for k in long])]).astype(np.int64)
         data = np.concatenate([raw, np.zeros(STRETCHES * SPAN + 1, np.uint8)])
-        starts = word_starts(raw, offsets)
+        starts = window_starts(raw, offsets)
         item_of = np.searchsorted(offsets, starts, "right") - 1
         for turn in range(WALKS):
             tables.append([])
-            for samples, key, lead, begin, stays in walk(data, starts, offsets[1:][item_of], turn):
+            for key, lead, begin, stays in walk(data, starts, offsets[1:][item_of], turn):
                 inside = np.flatnonzero(stays)
                 inside = inside[np.argsort(key[inside])]
                 item = item_of[lead[inside]]
-                tables[-1].append((key[inside], samples[:, inside], np.array(long, np.int64)[item], begin[inside] - offsets[item]))
+                tables[-1].append((key[inside], np.array(long, np.int32)[item], (begin[inside] - offsets[item]).astype(np.int32)))
         return Items([i for i, _ in rows], texts, tables, [k for k, t in enumerate(texts) if 0 < len(t) < LEAST_ITEM], [gram_codes(np.frombuffer(t, np.uint8)) for t in texts])
 
 
@@ -177,45 +195,100 @@ def pieces(item: bytes) -> list[tuple[int, bytes]]:
 
 
 def least_distances(tasks: list[tuple[bytes, bytes]]) -> list[tuple[int, int]]:
-    """least_distance() of many (item, text). Items lie side by side in one number, a spare bit above each, so that a step serves all."""
+    """least_distance() of many (item, text), side by side: a number of each array belongs to one of them.
+
+    A column of the table takes one 64-bit word for each 64 bytes of the item; what leaves a word enters the next.
+    """
     out: list[tuple[int, int]] = [(0, 0)] * len(tasks)
-    order = sorted(range(len(tasks)), key=lambda i: len(tasks[i][1]))
-    for at in range(0, len(order), LANES):
-        own = order[at : at + LANES]
+    words = lambda i: len(tasks[i][0]) + 63 >> 6
+    order = sorted(range(len(tasks)), key=lambda i: (words(i), len(tasks[i][1])))
+    at = 0
+    while at < len(order):
+        width = words(order[at])
+        own = [i for i in order[at : at + max(8, min(LANES, (1 << 16) // width))] if words(i) == width]
+        at += len(own)
         if len(own) < 8:
             for i in own:
                 out[i] = least_distance(*tasks[i], 0)
             continue
-        sizes, lengths = (np.array([len(tasks[i][j]) for i in own], np.int64) for j in (0, 1))
-        width, longest, lanes = int(sizes.max()) // 8 + 1, int(lengths.max()), np.arange(len(own))
-        masks, text = np.zeros((len(own), 256, width), np.uint8), np.zeros((longest, len(own)), np.uint8)
-        for lane, i in enumerate(own):
-            item, part = (np.frombuffer(x, np.uint8) for x in tasks[i])
-            place = np.arange(len(item))
-            np.bitwise_or.at(masks[lane], (item, place >> 3), np.uint8(1) << (place & 7).astype(np.uint8))
-            text[: len(part), lane] = part
-        bits = np.arange(width * 8) < sizes[:, None]
-        full = int.from_bytes(np.packbits(bits, axis=1, bitorder="little").tobytes(), "little")
-        top, top_bit = lanes * width + (sizes - 1 >> 3), np.uint8(1) << (sizes - 1 & 7).astype(np.uint8)
-        plus, minus, score, best, end = full, 0, sizes.copy(), sizes.copy(), np.zeros(len(own), np.int64)
-        total = width * len(own)
-        for j in range(longest):
-            eq = int.from_bytes(masks[lanes, text[j]].tobytes(), "little")
-            x = eq | minus
-            d = ((((eq & plus) + plus) ^ plus) | x) & full
-            up, down = minus | full ^ (d | plus), plus & d
-            score += (np.frombuffer(up.to_bytes(total, "little"), np.uint8)[top] & top_bit) != 0
-            score -= (np.frombuffer(down.to_bytes(total, "little"), np.uint8)[top] & top_bit) != 0
-            up, down = up << 1 & full, down << 1 & full
-            plus, minus = down | full ^ (x | up), up & x
-            less = (score < best) & (j < lengths)
-            if less.any():
-                best[less], end[less] = score[less], j + 1
-        for i, b, e in zip(own, best.tolist(), end.tolist(), strict=True):
+        found, ends = _columns([tasks[i] for i in own], width)
+        for i, b, e in zip(own, found.tolist(), ends.tolist(), strict=True):
             out[i] = b, e
     return out
 
 
+def _columns(tasks: list[tuple[bytes, bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ends) of tasks whose items all take `width` words."""
+    number: dict[bytes, int] = {}
+    base = np.array([number.setdefault(item, len(number)) for item, _ in tasks], np.int64) * 256
+    masks = np.zeros((width, len(number) * 256), np.uint64)
+    for item, k in number.items():
+        place = np.arange(len(item))
+        codes = k * 256 + np.frombuffer(item, np.uint8).astype(np.int64)
+        np.bitwise_or.at(masks, (place >> 6, codes), np.uint64(1) << (place & 63).astype(np.uint64))
+    sizes, lengths = (np.array([len(t[j]) for t in tasks], np.int64) for j in (0, 1))
+    text = np.zeros((int(lengths.max()), len(tasks)), np.uint8)
+    for lane, (_, part) in enumerate(tasks):
+        text[: len(part), lane] = np.frombuffer(part, np.uint8)
+    last = np.uint64(1) << (sizes - 1 & 63).astype(np.uint64)
+    one, high = np.uint64(1), np.uint64(63)
+    plus, minus = np.full((width, len(tasks)), ~np.uint64(0)), np.zeros((width, len(tasks)), np.uint64)
+    eq, x, d, up, down = (np.empty(len(tasks), np.uint64) for _ in range(5))
+    score, best, end = sizes.copy(), sizes.copy(), np.zeros(len(tasks), np.int64)
+    for j in range(len(text)):
+        code = base + text[j]
+        # what comes in from the row above, which is 0 everywhere: the part may start at any place
+        up_in = down_in = None
+        for w in range(width):
+            p, m = plus[w], minus[w]
+            masks[w].take(code, out=eq, mode="clip")
+            np.bitwise_or(eq, m, out=x)
+            if down_in is not None:
+                eq |= down_in
+            np.bitwise_and(eq, p, out=d)
+            d += p
+            d ^= p
+            d |= eq
+            np.bitwise_or(d, p, out=up)
+            np.invert(up, out=up)
+            up |= m
+            np.bitwise_and(p, d, out=down)
+            if w == width - 1:
+                score += (up & last) != 0
+                score -= (down & last) != 0
+                up_out = down_out = None
+            else:
+                up_out, down_out = up >> high, down >> high
+            up <<= one
+            down <<= one
+            if up_in is not None:
+                up |= up_in
+                down |= down_in
+            np.bitwise_or(x, up, out=p)
+            np.invert(p, out=p)
+            p |= down
+            np.bitwise_and(up, x, out=m)
+            up_in, down_in = up_out, down_out
+        less = (score < best) & (j < lengths)
+        if less.any():
+            best[less], end[less] = score[less], j + 1
+    return best, end
+
+
+def _near(hits: list[tuple[int, int, int, int]], items: Items, text: bytes, offsets: list[int]):
+    """(row, item, place of the item's start) of hits (row, item, place in the text, place in the item) that the bytes around bear out."""
+    tasks, wanted = [], set()
+    for row, k, at, place in hits:
+        item = items.texts[k]
+        low = max(0, min(place - NEAR // 4, len(item) - NEAR))
+        begin = at - place + low
+        tasks.append((item[low : low + NEAR], text[max(offsets[row], begin - NEAR // 4) : max(offsets[row], min(offsets[row + 1], begin + NEAR * 5 // 4))]))
+    for (row, k, at, place), (distance, _) in zip(hits, least_distances(tasks), strict=True):
+        if distance <= NEAR_EDITS:
+            wanted.add((row, k, at - place))
+    return wanted
+
+
 def _regions(wanted: set[tuple[int, int, int]], items: Items, offsets: np.ndarray):
     """(row, item, from, to) of the parts to verify for (row, item, place of the item's start); parts that overlap are one, up to a length."""
     open_: list[int] = []
@@ -249,12 +322,12 @@ def _finder(shared, drop: bool = False):
         for batch in sliced(batches, "text", 1 << 20):
             raw, offsets = normalised(*text_column(batch, "text"))
             data = np.concatenate([raw, np.zeros(STRETCHES * SPAN + 1, np.uint8)])
-            starts = word_starts(raw, offsets)
+            starts = window_starts(raw, offsets)
             rows_of = np.searchsorted(offsets, starts, "right") - 1
-            wanted = set()
+            hits = set()
             for turn in range(WALKS):
-                for s, (samples, key, lead, begin, inside) in enumerate(walk(data, starts, offsets[1:][rows_of], turn)):
-                    keys, known, who, place = items.tables[turn][s]
+                for s, (key, lead, begin, inside) in enumerate(walk(data, starts, offsets[1:][rows_of], turn)):
+                    keys, who, place = items.tables[turn][s]
                     if not len(keys):
                         break
                     hit = np.flatnonzero(filters[turn][s].take(key >> np.uint32(12)) & inside)
@@ -262,10 +335,9 @@ def _finder(shared, drop: bool = False):
                     many = hi - lo
                     group = np.repeat(hit, many)
                     entry = np.arange(len(group)) + np.repeat(lo - np.cumsum(many) + many, many)
-                    same = (known[:, entry] == samples[:, group]).all(0)
-                    group, entry = group[same], entry[same]
-                    wanted.update(zip(rows_of[lead[group]].tolist(), who[entry].tolist(), (begin[group] - place[entry]).tolist(), strict=True))
+                    hits.update(zip(rows_of[lead[group]].tolist(), who[entry].tolist(), begin[group].tolist(), place[entry].tolist(), strict=True))
             text = raw.tobytes()
+            wanted = _near(sorted(hits), items, text, offsets.tolist())
             best: dict[tuple[int, int], tuple[int, int]] = {}
             codes, present = gram_codes(raw), np.zeros(1 << 16, bool)
             for k in items.short:

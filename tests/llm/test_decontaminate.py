@@ -2,6 +2,7 @@ import random
 import types
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate as D
 
@@ -69,3 +70,45 @@ def test_short_items_edited():
     assert {(k + far, k) for k, _ in items for far in (0, 100)} <= got
     truth = {(d, i) for d, t in docs for i, x in items if D.least_distance(x.encode(), t.encode(), 0)[0] <= len(x) // 5}
     assert got == truth
+
+
+def test_text_without_blanks():
+    rng = random.Random(12)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 800)]
+    run = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(k, run(60)) for k in range(40)]
+    docs = [(k, run(100) + text + run(100)) for k, text in items]
+    docs += [(100 + k, run(50) + text[:20] + "x" + text[21:40] + text[42:] + run(70)) for k, text in items]
+    docs += [(200 + k, run(300)) for k in range(40)]
+    got = found(docs, items)
+    assert {(k, k, 0) for k, _ in items} <= got
+    assert {(d % 100, i) for d, i, _ in got} == {(k, k) for k, _ in items} and len(got) >= 40 + 38
+
+
+def test_equals_all_distances():
+    """Every (document, item) distance, worked out one by one: no pair beyond the limit is reported, and at least 95 in 100 within it are."""
+    rng = random.Random(13)
+    items = [(k, words(rng, rng.randint(5, 60))) for k in range(40)]
+    docs = []
+    for k, text in items:
+        for share in (0, 5, 10, 15, 19):
+            docs.append((len(docs), f"{words(rng, 20)} {edited(rng, text, len(text) * share // 100)} {words(rng, 20)}"))
+    docs += [(len(docs) + k, words(rng, 60)) for k in range(40)]
+    truth = {}
+    for d, text in docs:
+        for i, item in items:
+            distance = D.least_distance(item.encode(), text.encode(), 0)[0]
+            if distance <= int(D.MAX_EDITS * len(item)):
+                truth[d, i] = distance
+    got = {(d, i): n for d, i, n in found(docs, items)}
+    assert got.keys() <= truth.keys() and len(got) >= 0.95 * len(truth)
+    assert all(truth[p] == n for p, n in got.items())
+
+
+def test_columns_with_clashing_names(spark, edge):
+    docs = edge.withColumns({"item_id": F.lit("x"), "distance": F.lit("y")})
+    items = spark.createDataFrame([(1, "one two three four", 5)], "item_id long, text string, doc_id int")
+    rows = D.contaminated(docs, items).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in rows} == {(1, 1, 0), (2, 1, 0), (8, 1, 0)}
+    kept = D.decontaminated(docs, items)
+    assert kept.columns == docs.columns and kept.filter("doc_id in (1, 2, 8)").isEmpty() and kept.count() == docs.count() - 4
