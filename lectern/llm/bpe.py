@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers.pre_tokenizers import ByteLevel
 
-from .common import cut, most_frequent, new_folder, sliced, span_hashes
+from .common import cut, drop, map_batches, most_frequent, new_folder, sliced, span_hashes
 
 #: Words of the lexicon: its size bound.
 LEXICON_WORDS = 1 << 16
@@ -338,7 +338,7 @@ class Lexicon:
         return (head + b" " * (-len(head) % 8 + 7) + b"\n") + b"".join(arrays[n].astype(np.int64).tobytes() for n in Lexicon.NAMES)
 
     @staticmethod
-    @lru_cache(maxsize=4)
+    @lru_cache(maxsize=1)
     def load(uri: str) -> Lexicon:
         if urlparse(uri).scheme in ("", "file"):
             raw = np.asarray(np.memmap(urlparse(uri).path, np.uint8, "r"))
@@ -442,9 +442,10 @@ def build_lexicon(docs: DataFrame, path: str, size: int = LEXICON_WORDS) -> str:
     At most `size` words of LEXICON_BYTES bytes come to the driver.
     """
     spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(_counter(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = map_batches(docs.select("text"), _counter(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = cut(counted.filter("n > 1"), "words")
-    top = [bytes(r.word) for r in counted.filter(most_frequent(counted, size)).select("word").collect()]
+    top = [bytes(r.word) for r in counted.filter(most_frequent(counted, size, "word")).select("word").collect()]
+    drop(counted)
     uri = new_folder(spark, "lexicon")
     folder, name = uri.rsplit("/", 1)
     fs, where = pafs.FileSystem.from_uri(folder)
@@ -491,12 +492,12 @@ def _decoder(path: str):
 
 def encode_documents(docs: DataFrame, path: str, lexicon: str | None = None) -> DataFrame:
     """(doc_id, ids): ids of each whole text, null as empty. `lexicon` is what build_lexicon returned; without it the same ids take longer."""
-    return docs.select("doc_id", "text").mapInArrow(_encoder(path, lexicon), "doc_id long, ids array<int>")
+    return map_batches(docs.select("doc_id", "text"), _encoder(path, lexicon), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids), special tokens written out; bytes that aren't UTF-8 become U+FFFD."""
-    return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), _decoder(path), "doc_id long, text string")
 
 
 def code_documents(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
@@ -507,4 +508,4 @@ def code_documents(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORD
     tokens inside a text become their ids, as the tokenizers library does by default.
     """
     lexicon = build_lexicon(docs, path, lexicon_words)
-    return docs.select("doc_id", "text").mapInArrow(_codec(path, lexicon), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), _codec(path, lexicon), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass works on; it bounds a task's memory, not the input.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return re.sub("^file:/+", "file:///", found).rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
+from lectern.storage import cut, delete, drop, new_folder, shared_dir  # noqa: F401
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so that its lineage ends there."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that one numpy pass works on; it bounds a task's memory, not the input.
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 4 << 20
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes the files that a table made by cut() is read from; the caller no longer needs it."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow() over batches of bounded bytes, not of rows alone; a longer row is a batch of its own."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
 
 
 def bucket_of(column: str, mod: int):
@@ -93,19 +71,20 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+#: Bytes of a block of span_hashes(); powers of the base begin anew in each.
+_BLOCK = 1 << 18
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse, up to n."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+@lru_cache(maxsize=1)
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2^64 and of its inverse, for the places of a block."""
+    tables = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(_BLOCK + 1, base, dtype=np.uint64)
+        steps[0] = 1
+        tables.append(np.multiply.accumulate(steps))
+    return tables[0], tables[1]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,11 +106,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, all in a few passes: differences of a running polynomial, scaled back to position 0."""
-    up, down = _power_tables(len(data) + 1)
-    running = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=running[1:])
-    return mix((running[ends] - running[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans with ascending starts: differences of a running polynomial, scaled back to position 0.
+
+    It goes block by block; a span that leaves its block is summed up part by part.
+    """
+    up, down = _power_tables()
+    out = np.empty(len(starts), np.uint64)
+    blocks = range(0, len(data), _BLOCK)
+    first = np.searchsorted(starts, [*blocks, len(data)]).tolist()
+    for b, lo, hi in zip(blocks, first[:-1], first[1:], strict=True):
+        if lo == hi:
+            continue
+        part = data[b : b + _BLOCK]
+        running = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE_VALUE[part] * up[: len(part)], out=running[1:])
+        begin, end = starts[lo:hi] - b, ends[lo:hi] - b
+        out[lo:hi] = (running[np.minimum(end, len(part))] - running[begin]) * down[begin]
+        for i in (lo + np.flatnonzero(end > len(part))).tolist():
+            at, total = b + len(part), int(out[i])
+            while at < ends[i]:
+                more = data[at : min(at + _BLOCK, int(ends[i]))]
+                own = int(np.sum(_BYTE_VALUE[more] * up[: len(more)], dtype=np.uint64))
+                total += own * pow(_BASE, at - int(starts[i]), 1 << 64)
+                at += len(more)
+            out[i] = np.uint64(total & (1 << 64) - 1)
+    tail = first[-1]
+    out[tail:] = 0  # empty spans at the end of the data
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def words(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -142,27 +143,26 @@ def words(batch: pa.RecordBatch, name: str = "text") -> tuple[np.ndarray, np.nda
     return span_hashes(data, starts, ends), first
 
 
-def most_frequent(counted: DataFrame, size: int, by: list[str] = ()) -> Column:
-    """A condition that holds for at most `size` rows of counted (a column n of counts), for each value of `by`: those of the largest counts.
+def binary_views(column: pa.Array, kind: type) -> list[np.ndarray]:
+    """The values of a binary column as arrays over its own buffer."""
+    if not len(column):
+        return []
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = memoryview(data) if data is not None else b""
+    return [np.frombuffer(raw[a:b], kind) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def most_frequent(counted: DataFrame, size: int, key: str) -> Column:
+    """A condition that holds for about `size` rows of counted (columns key, n) with the largest counts, or for all if there are fewer.
 
-    Counts fall into classes, eight to each doubling. The classes' sizes, a few hundred numbers a value of `by`, tell which
-    of them fit; so no row has to be ranked, and rows of equal counts stay or go together.
+    Counts fall into classes, eight to each doubling. The classes' sizes, a few hundred numbers, tell which of them fit;
+    so no row has to be ranked. Of the first class that doesn't fit whole, rows are taken by their keys' hashes.
     """
     step = F.floor(F.log2("n") * 8).cast("int")
-    sizes: dict[tuple, list[tuple[int, int]]] = {}
-    for r in counted.groupBy(*by, step.alias("step")).agg(F.count("*").alias("k")).collect():
-        sizes.setdefault(tuple(r[c] for c in by), []).append((r.step, r.k))
-    rule = F.lit(False)
-    for values, found in sizes.items():
-        left, least = size, None
-        for k, n in sorted(found, reverse=True):
-            left -= n
-            if left < 0:
-                break
-            least = k
-        if least is not None:
-            own = step >= least
-            for c, v in zip(by, values, strict=True):
-                own &= F.col(c).eqNullSafe(F.lit(v))
-            rule |= own
+    left, rule = size, F.lit(False)
+    for r in sorted(counted.groupBy(step.alias("step")).agg(F.count("*").alias("k")).collect(), reverse=True):
+        if r.k > left:
+            return rule | ((step == r.step) & (F.pmod(F.xxhash64(key), F.lit(r.k)) < left))
+        rule, left = step >= r.step, left - r.k
     return rule

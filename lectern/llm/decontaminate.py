@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import _LOWER, _SPACE, sliced, text_column
+from .common import _LOWER, _SPACE, map_batches, sliced, text_column
 
 SPAN, SAMPLED = 32, 20
 STRETCHES = 12
@@ -401,7 +401,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     out = None
     for shared in _passes(docs, benchmark):
-        own = docs.select("doc_id", "text").mapInArrow(_finder(shared), "doc_id long, item_id long, distance int, item_bytes int, end_byte long")
+        own = map_batches(docs.select("doc_id", "text"), _finder(shared), "doc_id long, item_id long, distance int, item_bytes int, end_byte long")
         out = own if out is None else out.unionAll(own)
     return out
 
@@ -409,5 +409,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that contaminated() finds nothing in."""
     for shared in _passes(docs, benchmark):
-        docs = docs.mapInArrow(_finder(shared, drop=True), docs.schema)
+        docs = map_batches(docs, _finder(shared, drop=True), docs.schema)
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, mix, sliced, words
+from .common import cut, drop, map_batches, mix, sliced, words
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -243,22 +243,22 @@ class NearDuplicates:
     def _estimated(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose estimate by the banded registers leaves room for a link."""
         side = lambda s: self.classes.select(F.col("doc_id").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("n_shingles").alias(f"n_{s}"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_close, "a long, b long")
+        return map_batches(pairs.join(side("a"), "a").join(side("b"), "b"), _close, "a long, b long")
 
     def _verify(self, close: DataFrame) -> DataFrame:
         """Links among close pairs (a, b), on full sets, which are made only for the documents of these pairs."""
         close = cut(close, "close")
         ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
-        sets = cut(self._of(ids).mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+        sets = cut(map_batches(self._of(ids), _sets, "doc_id long, shingles binary"), "sets")
         side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"set_{s}"))
-        links = cut(close.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirmed, "a long, b long"), "links")
+        links = cut(map_batches(close.join(side("a"), "a").join(side("b"), "b"), _confirmed, "a long, b long"), "links")
         drop(sets)
         drop(close)
         return links
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept), one row for each input row."""
-        sketch = cut(self.docs.mapInArrow(_sketch, "doc_id long, n_shingles long, digest binary, regs binary"), "sketch")
+        sketch = cut(map_batches(self.docs, _sketch, "doc_id long, n_shingles long, digest binary, regs binary"), "sketch")
         self.classes = cut(
             # in a struct null comes first, so a flag puts null ids last
             sketch.filter("digest is not null")
@@ -284,7 +284,7 @@ class NearDuplicates:
                 break
             if marks is None:
                 ids = apart.select("doc_id").distinct()
-                marks = self._of(ids).mapInArrow(_signatures, "doc_id long, sig binary").join(self.classes.select("doc_id", "n_shingles", "regs"), "doc_id")
+                marks = map_batches(self._of(ids), _signatures, "doc_id long, sig binary").join(self.classes.select("doc_id", "n_shingles", "regs"), "doc_id")
                 marks = cut(marks, "marks")
             block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
             dealt = apart.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, bucket_of, mix, sliced, span_hashes, text_column
-from .toxicity import calibrate, sample
+from .common import _LOWER, _SPACE, bucket_of, map_batches, mix, sliced, span_hashes, text_column
+from .toxicity import SPREAD, calibrate, learning_rows, read_examples, sample
 
 BITS = 20
 
@@ -27,10 +27,12 @@ _KIND[_SPACE] = 0
 
 @dataclass(frozen=True)
 class Settings:
-    """good and poor bound the training sample; the rest are the learner's."""
+    """good and poor bound the training sample's rows, sample_bytes its texts, of which none is over longest; the rest are the learner's."""
 
     good: int = 4000
     poor: int = 4000
+    sample_bytes: int = 64 << 20
+    longest: int = 1 << 20
     epochs: int = 4
     alpha: float = 0.5
     beta: float = 1.0
@@ -106,9 +108,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], share: float, s: S
 
 def _trainer(share: float, s: Settings):
     def run(batches):
-        rows = [(r["doc_id"], r["label"], r["rows"], r["values"]) for b in batches for r in b.to_pylist()]
-        rows.sort(key=lambda r: r[0])
-        weights = train([(y, np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for _, y, i, v in rows], share, s)
+        weights = train(read_examples(batches, "rows", "values"), share, s)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["model"])
 
     return run
@@ -116,10 +116,10 @@ def _trainer(share: float, s: Settings):
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """The weights. It learns from rows whose crc32(doc_id) mod 5 is not 0; the sample is bounded by s and trained in one task."""
-    known = labels.filter((bucket_of("doc_id", 5) != 0) & F.col("quality").isin(0, 1))
-    share = known.agg(F.avg(F.col("quality").cast("double")).alias("share")).first().share
-    examples = sample(docs, labels, "quality", 5, 0, {1: s.good, 0: s.poor})
-    made = examples.mapInArrow(_features, "doc_id long, label int, rows binary, values binary").repartition(1).mapInArrow(_trainer(0.5 if share is None else share, s), "model binary")
+    share = learning_rows(labels, "quality", 5, 0).agg(F.avg(F.col("label").cast("double")).alias("share")).first().share
+    examples = sample(docs, labels, "quality", 5, 0, {1: s.good, 0: s.poor}, s.sample_bytes, s.longest)
+    hashed = map_batches(examples.repartition(SPREAD), _features, "doc_id long, label int, rows binary, values binary")
+    made = map_batches(hashed.repartition(1), _trainer(0.5 if share is None else share, s), "model binary")
     return np.frombuffer(bytes(made.collect()[0].model), np.float32)
 
 
@@ -151,11 +151,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     are read whole; repeated rows each get their row; without labels of both classes the score is the classes' share.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
-    out = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
+    out = map_batches(docs.select("doc_id", "text"), _scorer(model), "doc_id long, score double")
     return out.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
     """The rows of docs, with all their columns, that score of at least the threshold. Nulls and empty texts as in score_quality()."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
-    return docs.mapInArrow(_filter(model, threshold), docs.schema)
+    return map_batches(docs, _filter(model, threshold), docs.schema)

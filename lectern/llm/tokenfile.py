@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import _byte_letters, vocabulary
-from .common import mix, new_folder, sliced
+from .common import map_batches, mix, new_folder, sliced
 
 END_ID = 0
 #: Entries of a worker's memo of encoded chunks; once it is full, further chunks are remembered for their batch only.
@@ -255,7 +255,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, shards: int | None = N
     spark = docs.sparkSession
     count = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id")
-    dealt.mapInArrow(_writer(path, folder), "shard int, docs long, ids long, first long, last long, kind string").write.mode("overwrite").parquet(f"{folder}/manifest")
+    map_batches(dealt, _writer(path, folder), "shard int, docs long, ids long, first long, last long, kind string").write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 

@@ -15,21 +15,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, bucket_of, mix, sliced, text_column
+from .common import _LOWER, _SPACE, SLICE_BYTES, binary_views, bucket_of, map_batches, mix, sliced, text_column
 
 BITS = 18
 GRAMS = (3, 4, 5)
+#: Tasks that make the sample's bags.
+SPREAD = 16
+#: Bytes of a pass inside a text that is longer than a slice.
+PASS_BYTES = 1 << 18
+
+#: A-Z lowered, all white space as blank.
+_FOLD = np.where(_SPACE, np.uint8(0x20), _LOWER)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """positives and negatives bound the training sample; the rest are the learner's."""
+    """positives and negatives bound the training sample's rows, sample_bytes its texts, of which none is over longest; the rest are the learner's."""
 
     positives: int = 1500
     negatives: int = 3500
+    sample_bytes: int = 64 << 20
+    longest: int = 1 << 20
     dims: int = 8
     epochs: int = 10
     steps: int = 600
@@ -38,38 +47,55 @@ class Settings:
     seed: int = 7
 
 
-def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Table rows of all n-grams, row after row, and each row's first, with the total at the end. Order within a row is by place and size."""
-    data, offsets = text_column(batch, "text")
-    n = len(offsets) - 1
-    padded = np.full(len(data) + n + 1 + max(GRAMS), 0x20, np.uint8)
-    padded[np.arange(len(data)) + 1 + np.repeat(np.arange(n), np.diff(offsets))] = _LOWER[data]
+def _rows_at(padded: np.ndarray, n: int):
+    """(table rows, validity) of the n-grams at the first n places, one size of GRAMS after another."""
     space = _SPACE[padded]
-    size = len(padded) - max(GRAMS)
-    code = np.zeros(size, np.uint64)
-    inner = np.ones(size, bool)
-    out, valid = np.empty((size, len(GRAMS)), np.int64), np.empty((size, len(GRAMS)), bool)
+    code, inner = np.zeros(n, np.uint64), np.ones(n, bool)
     for k in range(max(GRAMS)):
-        code |= padded[k : k + size].astype(np.uint64) << np.uint64(8 * k)
+        code |= padded[k : k + n].astype(np.uint64) << np.uint64(8 * k)
         if k >= 2:
-            inner &= ~space[k - 1 : k - 1 + size]
+            inner &= ~space[k - 1 : k - 1 + n]
         if k + 1 in GRAMS:
-            g = GRAMS.index(k + 1)
-            out[:, g] = (mix(code * np.uint64(2 * k + 1)) >> np.uint64(64 - BITS)).astype(np.int64)
-            valid[:, g] = inner
-    counts = np.concatenate([[0], np.cumsum(valid.sum(1))])
-    return out[valid], counts[np.minimum(offsets + np.arange(n + 1), size)]
+            yield (mix(code * np.uint64(2 * k + 1)) >> np.uint64(64 - BITS)).astype(np.int32), inner
+
+
+def _weights(count: np.ndarray) -> np.ndarray:
+    weight = np.sqrt(count, dtype=np.float32)
+    return weight / max(1e-9, weight.sum())
+
+
+def _long_bag(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bag of one long text, counted pass by pass in a table of all rows."""
+    count = np.zeros(1 << BITS, np.int64)
+    for at in range(-1, len(data), PASS_BYTES):
+        n = min(PASS_BYTES, len(data) - at)
+        part = data[max(0, at) : at + n + max(GRAMS)]
+        padded = np.full(n + max(GRAMS), 0x20, np.uint8)
+        padded[max(0, -at) : max(0, -at) + len(part)] = _FOLD[part]
+        for rows, valid in _rows_at(padded, n):
+            count += np.bincount(rows[valid], minlength=1 << BITS)
+    rows = np.flatnonzero(count).astype(np.int32)
+    return rows, _weights(count[rows])
 
 
 def bags(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
     """(distinct table rows, weights that add to 1) of each text; both are empty without n-grams."""
-    rows, first = grams(batch)
+    data, offsets = text_column(batch, "text")
+    n = len(offsets) - 1
+    if len(data) > SLICE_BYTES:
+        return [_long_bag(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    padded = np.full(len(data) + n + 1 + max(GRAMS), 0x20, np.uint8)
+    padded[np.arange(len(data)) + 1 + np.repeat(np.arange(n), np.diff(offsets))] = _FOLD[data]
+    size = len(padded) - max(GRAMS)
+    places = np.minimum(offsets + np.arange(n + 1), size)
+    found = []
+    for rows, valid in _rows_at(padded, size):
+        found.append((rows[valid], np.concatenate([[0], np.cumsum(valid, dtype=np.int32)])[places].tolist()))
     out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        own = np.sort(rows[a:b].astype(np.int32))
-        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if b > a else np.zeros(0, np.int64)
-        weight = np.sqrt(np.diff(np.append(starts, b - a)), dtype=np.float32)
-        out.append((own[starts], weight / max(1e-9, weight.sum())))
+    for i in range(n):
+        own = np.sort(np.concatenate([rows[first[i] : first[i + 1]] for rows, first in found]))
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+        out.append((own[starts], _weights(np.diff(np.append(starts, len(own))))))
     return out
 
 
@@ -148,12 +174,20 @@ def moved(weights: np.ndarray, sample: float, share: float) -> np.ndarray:
     return out
 
 
+def read_examples(batches, rows: str, values: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, rows, values) in the order of the ids, as views of the batches' own buffers."""
+    found = []
+    for b in batches:
+        found += zip(b.column("doc_id").to_pylist(), b.column("label").to_pylist(), binary_views(b.column(rows), np.int32), binary_views(b.column(values), np.float32), strict=True)
+    found.sort(key=lambda r: r[0])
+    return [r[1:] for r in found]
+
+
 def _trainer(s: Settings, share: float | None):
     def run(batches):
-        rows = [(r["doc_id"], r["label"], r["ids"], r["weights"]) for b in batches for r in b.to_pylist()]
-        rows.sort(key=lambda r: r[0])
-        weights = train([(y, np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for _, y, i, w in rows], s)
-        own = np.mean([y for _, y, _, _ in rows]) if rows else 0.0
+        examples = read_examples(batches, "ids", "weights")
+        weights = train(examples, s)
+        own = np.mean([y for y, _, _ in examples]) if examples else 0.0
         if share is not None and 0 < share < 1 and 0 < own < 1:
             weights = moved(weights, own, share)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["model"])
@@ -167,16 +201,21 @@ def learning_rows(labels: DataFrame, column: str, mod: int, held: int) -> DataFr
     return known.groupBy("doc_id").agg(F.max("label").alias("label"))
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, held: int, most: dict[int, int]) -> DataFrame:
-    """(doc_id, text, label) of at most most[c] learning rows of each class c, those with the least hashed ids.
+def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, held: int, most: dict[int, int], sample_bytes: int, longest: int) -> DataFrame:
+    """(doc_id, text, label) of at most most[c] learning rows of each class c, those with the least hashed ids, up to sample_bytes of text.
 
-    Rows without an id, a text or a label of 0 or 1 are left out; so are held-out rows.
+    Rows without an id, a text or a label of 0 or 1 are left out, so are held-out rows and texts over `longest` bytes. An
+    id that has several rows gives one, with the least text.
     """
     known = learning_rows(labels, column, mod, held)
     some = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in most.items()]
     picked = some[0].union(some[1])
     # picked has at most sum(most) rows of two numbers
-    return docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
+    texts = docs.select("doc_id", "text").filter(F.octet_length("text") <= longest).join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    # a window over the sample alone
+    used = F.sum(F.octet_length("text").cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return texts.withColumn("_used", used).filter(F.col("_used") <= sample_bytes).drop("_used")
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
@@ -185,8 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     # unless a bound bites, the sample's own share is that of all learning rows
     bites = n.get(1, 0) > s.positives or n.get(0, 0) > s.negatives
     share = n.get(1, 0) / (n.get(1, 0) + n.get(0, 0)) if bites else None
-    examples = sample(docs, labels, "toxic", 3, 1, {1: s.positives, 0: s.negatives})
-    made = examples.mapInArrow(_features, "doc_id long, label int, ids binary, weights binary").repartition(1).mapInArrow(_trainer(s, share), "model binary")
+    examples = sample(docs, labels, "toxic", 3, 1, {1: s.positives, 0: s.negatives}, s.sample_bytes, s.longest)
+    bagged = map_batches(examples.repartition(SPREAD), _features, "doc_id long, label int, ids binary, weights binary")
+    made = map_batches(bagged.repartition(1), _trainer(s, share), "model binary")
     return np.frombuffer(bytes(made.collect()[0].model), np.float32)
 
 
@@ -218,11 +258,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     are read whole; repeated rows each get their row; without labels of both classes the score is the classes' share.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
-    out = docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
+    out = map_batches(docs.select("doc_id", "text"), _scorer(model), "doc_id long, score double")
     return out.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), threshold: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that score under the threshold. Nulls and empty texts as in score_toxicity()."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
-    return docs.mapInArrow(_filter(model, threshold), docs.schema)
+    return map_batches(docs, _filter(model, threshold), docs.schema)

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, sliced
+from .common import map_batches, new_folder, sliced
 
 #: Payloads of fewer bytes are always stored.
 LEAST_SHARED = 1000
@@ -160,7 +160,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     # only payloads that occur again; the aggregate is combined before it is shuffled, so copies cost a row a task
     first = known.filter("shared").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
     placed = known.join(first, "digest", "left").select("page_id", "url", "html", F.expr("case when page_id <> response or (page_id is null and response is not null) then response end").alias("refers_to"))
-    placed.mapInArrow(_writer(folder), "file string, records long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    map_batches(placed, _writer(folder), "file string, records long").write.mode("overwrite").parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 
