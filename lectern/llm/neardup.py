@@ -9,8 +9,9 @@ whole sequence with fewer words; empty without words). Documents link at Jaccard
 3. Bands of registers form buckets. In each round every member of a bucket is compared with one pivot of its bucket,
    never with all others. Pairs pass a collision-corrected estimate, then an exact check on the full sets.
 4. The confirmed links become components. Buckets that then still hold two components or more are compared inside tasks
-   by signatures of more registers, block against block. First each document's nearest one of another
-   component is verified; a last round verifies all pairs across components that may link, so no link is lost to the choice of pivots.
+   by signatures of more registers, block against block. First each document's nearest one of another component is
+   verified; a last round verifies all pairs across components that may link, so no link is lost to the choice of pivots.
+   A document that no other one came near to in the first of these rounds has no such pair, so the last round leaves it out.
 
 Probability that a pair at similarity exactly 0.75 shares no band: (1 - 0.75^4)^32 = 5e-6; it falls fast above.
 """
@@ -234,10 +235,16 @@ class NearDuplicates:
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_id", "text")
+        self.made: list[DataFrame] = []
+
+    def _cut(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that is deleted once the result is written."""
+        self.made.append(cut(df, name))
+        return self.made[-1]
 
     def _of(self, ids: DataFrame) -> DataFrame:
         """The documents with these distinct ids; they are broadcast if that is proven to be small."""
-        ids = cut(ids, "ids")
+        ids = self._cut(ids, "ids")
         return self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def _estimated(self, pairs: DataFrame) -> DataFrame:
@@ -251,15 +258,15 @@ class NearDuplicates:
         ids = close.select(F.col("a").alias("doc_id")).union(close.select("b")).distinct()
         sets = cut(map_batches(self._of(ids), _sets, "doc_id long, shingles binary"), "sets")
         side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"set_{s}"))
-        links = cut(map_batches(close.join(side("a"), "a").join(side("b"), "b"), _confirmed, "a long, b long"), "links")
+        links = self._cut(map_batches(close.join(side("a"), "a").join(side("b"), "b"), _confirmed, "a long, b long"), "links")
         drop(sets)
         drop(close)
         return links
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, kept), one row for each input row."""
-        sketch = cut(map_batches(self.docs, _sketch, "doc_id long, n_shingles long, digest binary, regs binary"), "sketch")
-        self.classes = cut(
+        sketch = self._cut(map_batches(self.docs, _sketch, "doc_id long, n_shingles long, digest binary, regs binary"), "sketch")
+        self.classes = self._cut(
             # in a struct null comes first, so a flag puts null ids last
             sketch.filter("digest is not null")
             .groupBy("digest")
@@ -269,7 +276,7 @@ class NearDuplicates:
         )
         bands = self.classes.select("doc_id", _band_keys()).select(F.col("pos").alias("band"), F.col("col").alias("key"), "doc_id")
         shared = bands.groupBy("band", "key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).filter("pivot < last")
-        members = cut(bands.join(shared, ["band", "key"]).select("band", "key", "doc_id", "pivot"), "members")
+        members = self._cut(bands.join(shared, ["band", "key"]).select("band", "key", "doc_id", "pivot"), "members")
         links = self._verify(self._estimated(members.filter("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()))
         members = members.select("band", "key", "doc_id")
         label = components(links)
@@ -285,22 +292,29 @@ class NearDuplicates:
             if marks is None:
                 ids = apart.select("doc_id").distinct()
                 marks = map_batches(self._of(ids), _signatures, "doc_id long, sig binary").join(self.classes.select("doc_id", "n_shingles", "regs"), "doc_id")
-                marks = cut(marks, "marks")
+                marks = self._cut(marks, "marks")
             block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
             dealt = apart.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             dealt = dealt.join(marks, "doc_id").withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
             # comparing costs more than the rows' bytes tell, so the number of tasks is stated
             pairs = dealt.drop("blocks", "other").repartition(tasks, "band", "key", "i", "j").groupBy("band", "key", "i", "j").applyInArrow(_compare(every), "a long, b long")
-            new = self._verify(pairs.distinct())
+            pairs = self._cut(pairs.distinct(), "pairs")
+            new = self._verify(pairs)
             drop(apart)
+            near = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+            members = members.join(near, "doc_id", "left_semi")
             if not new.isEmpty():
-                links = cut(links.union(new), "links")
+                links = self._cut(links.union(new), "links")
+                drop(label)
                 label = components(links)
+        self.made.append(label)
         label = label.select(F.col("id").alias("class_id"), "component")
         place = self.classes.select("digest", F.col("doc_id").alias("class_id")).join(label, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
         out = sketch.select("doc_id", "n_shingles", "digest").join(place, "digest", "left")
         own = F.coalesce("component_id", "doc_id")
-        return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+        result = cut(out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept")), "groups")
+        drop(*self.made)
+        return result
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -319,7 +333,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat an id one stays. Only the ids that go are joined with docs, broadcast if they are proven to be few.
     """
-    found = cut(near_duplicates(docs), "found")
+    found = near_duplicates(docs)
 
     def ids(df: DataFrame) -> DataFrame:
         df = cut(df.select("doc_id").distinct(), "ids")

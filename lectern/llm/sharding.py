@@ -85,11 +85,13 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", limit: int =
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = SHARD_BYTES) -> None:
     """Writes docs as Parquet under path, a folder for each shard (depth, prefix), rows in the order of their hashes.
 
-    Keys must not repeat. The shuffle is on the shard, so each shard is one file.
+    Rows that repeat a key are all written, to their key's shard. The shuffle is on the shard, so each shard is one file.
+    docs may have any columns: they are written as one struct, `row`, so that they don't meet the names of the shards.
     """
-    placed = shard(docs, key, text, limit).select(F.col("doc_id").alias(key), "depth", "prefix")
-    own = docs.withColumn("_hash", hash_of(F.col(key))).join(placed, docs[key].eqNullSafe(placed[key])).drop(placed[key])
-    own.repartition("depth", "prefix").sortWithinPartitions("depth", "prefix", "_hash").drop("_hash").write.partitionBy("depth", "prefix").parquet(path)
+    placed = shard(docs, key, text, limit).select("doc_id", "depth", "prefix").distinct()
+    own = docs.select(F.col(key).alias("doc_id"), F.struct("*").alias("row"))
+    own = own.join(placed, own.doc_id.eqNullSafe(placed.doc_id)).select("depth", "prefix", hash_of(own.doc_id).alias("hash"), "row")
+    own.repartition("depth", "prefix").sortWithinPartitions("depth", "prefix", "hash").drop("hash").write.partitionBy("depth", "prefix").parquet(path)
 
 
 ORACLE = f"""

@@ -6,7 +6,8 @@ an index. The index is a minimal perfect hash over the shard's document keys: le
 meets no other one settles, ranks of the bits as slots, and for each slot a fingerprint of its key, the offset and the
 number of ids. A manifest with each shard's first key and ids finds the shard; the hash finds the place in constant time.
 
-A task writes under a name of its own and renames at the end, so that a lost or repeated task does no harm.
+A task writes under names of its own; the manifest, of which Spark commits one attempt's row for each shard, tells which
+count, so that a lost or repeated task does no harm.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from .common import map_batches, mix, new_folder, sliced
 END_ID = 0
 #: Entries of a worker's memo of encoded chunks; once it is full, further chunks are remembered for their batch only.
 MEMO = 1_000_000
+#: Bytes of text of a shard, about.
+SHARD_BYTES = 64 << 20
 #: Bits of a level for each key that is still unsettled.
 GAMMA = 2
 
@@ -217,16 +220,18 @@ def _writer(path: str, folder: str):
         task = TaskContext.get()
         fs, where = pafs.FileSystem.from_uri(folder)
         fs.create_dir(where, recursive=True)
-        shard, own = task.partitionId(), f"{where}/.{uuid.uuid4().hex}"
+        shard = task.partitionId()
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}"
+        own = f"{where}/{name}"
         end = np.array([END_ID], encoder.kind).tobytes()
-        ids, known, counts = [], [], []
-        with fs.open_output_stream(own) as out:
+        ids, known, counts = array.array("q"), array.array("b"), array.array("q")
+        with fs.open_output_stream(f"{own}.{encoder.kind.str[1:]}") as out:
             for batch in sliced(batches, "text"):
                 for raw in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
                     out.write(raw + end)
                     counts.append(len(raw) // encoder.kind.itemsize + 1)
-                ids += batch.column("doc_id").fill_null(0).to_pylist()
-                known += batch.column("doc_id").is_valid().to_pylist()
+                ids.extend(batch.column("doc_id").fill_null(0).to_pylist())
+                known.extend(batch.column("doc_id").is_valid().to_pylist())
         ids, known, counts = np.array(ids, np.int64), np.array(known, np.uint8), np.array(counts, np.int64)
         # equal ids follow each other; a row without an id is a copy of a key of its own
         same = np.concatenate([[False], (ids[1:] == ids[:-1]) & (known[1:] == known[:-1])]) if len(ids) else np.zeros(0, bool)
@@ -235,16 +240,14 @@ def _writer(path: str, folder: str):
         copies = np.where(known == 1, copies, -1 - copies)
         with fs.open_output_stream(f"{own}.mph") as out:
             out.write(ShardIndex.pack(ids, known, copies, np.cumsum(counts) - counts, counts))
-        fs.move(own, f"{where}/shard-{shard:06d}.{encoder.kind.str[1:]}")
-        fs.move(f"{own}.mph", f"{where}/shard-{shard:06d}.mph")
         real = ids[known == 1]
         first, last = (int(real[0]), int(real[-1])) if len(real) else (None, None)
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "docs": len(ids), "ids": int(counts.sum()), "first": first, "last": last, "kind": encoder.kind.str[1:]}], _MANIFEST)
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "name": name, "docs": len(ids), "ids": int(counts.sum()), "first": first, "last": last, "kind": encoder.kind.str[1:]}], _MANIFEST)
 
     return run
 
 
-_MANIFEST = pa.schema([("shard", pa.int32()), ("docs", pa.int64()), ("ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("kind", pa.string())])
+_MANIFEST = pa.schema([("shard", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("kind", pa.string())])
 
 
 def write_tokens(docs: DataFrame, path: str, folder: str, shards: int | None = None) -> DataFrame:
@@ -253,9 +256,11 @@ def write_tokens(docs: DataFrame, path: str, folder: str, shards: int | None = N
     The manifest lies beside the shards; it is as long as there are shards.
     """
     spark = docs.sparkSession
-    count = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id")
-    map_batches(dealt, _writer(path, folder), "shard int, docs long, ids long, first long, last long, kind string").write.mode("overwrite").parquet(f"{folder}/manifest")
+    own = docs.select(F.col("doc_id").cast("long"), "text")
+    size = own.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
+    count = shards or max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    dealt = own.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id")
+    map_batches(dealt, _writer(path, folder), "shard int, name string, docs long, ids long, first long, last long, kind string").write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
@@ -264,7 +269,7 @@ def _reader(folder: str):
         fs, where = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                name = f"{where}/shard-{row['shard']:06d}"
+                name = f"{where}/{row['name']}"
                 with fs.open_input_file(f"{name}.mph") as f:
                     index = ShardIndex(f.read())
                 ids, known, copies = (index.parts[n] for n in ("ids", "known", "copies"))
@@ -285,9 +290,9 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     shards = sorted(spark.read.parquet(f"{folder}/manifest").collect(), key=lambda r: r.shard)  # a row for each shard
     start, rows = 0, []
     for r in shards:
-        rows.append((r.shard, start, r.kind))
+        rows.append((r.shard, r.name, start, r.kind))
         start += r.ids
-    listed = spark.createDataFrame(rows, "shard int, start long, kind string").repartition(max(1, len(rows)), "shard")
+    listed = spark.createDataFrame(rows, "shard int, name string, start long, kind string").repartition(max(1, len(rows)), "shard")
     return listed.mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
@@ -295,11 +300,11 @@ def lookup(spark: SparkSession, folder: str, doc_id: int, copy: int = 0) -> list
     """The ids of one document: the manifest's ranges tell its shard, the perfect hash its place; None where it isn't held."""
     fs, where = pafs.FileSystem.from_uri(folder)
     for r in spark.read.parquet(f"{folder}/manifest").filter((F.col("first") <= doc_id) & (F.col("last") >= doc_id)).collect():
-        with fs.open_input_file(f"{where}/shard-{r.shard:06d}.mph") as f:
+        with fs.open_input_file(f"{where}/{r.name}.mph") as f:
             offset, count = ShardIndex(f.read()).find(np.array([doc_id], np.int64), np.array([copy]))
         if count[0] >= 0:
             kind = np.dtype(f"<{r.kind}")
-            with fs.open_input_file(f"{where}/shard-{r.shard:06d}.{r.kind}") as f:
+            with fs.open_input_file(f"{where}/{r.name}.{r.kind}") as f:
                 f.seek(int(offset[0]) * kind.itemsize)
                 return np.frombuffer(f.read(int(count[0]) * kind.itemsize), kind).tolist()
     return None

@@ -43,13 +43,13 @@ def _hex(digest: str) -> str:
     return base64.b32decode(digest.removeprefix("sha1:")).hex()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """One record as a gzip member. With refers_to it is a revisit and its block holds the HTTP header only."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE, own: str = "0") -> bytes:
+    """One record as a gzip member. With refers_to it is a revisit and its block holds the HTTP header only. own tells records of one page id, or of none, apart."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:x-page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:x-page:{'' if page_id is None else page_id}:{own}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", url and quote(url, safe=":/?#[]@!$&'()*+,;=%~-._")),
         ("WARC-Payload-Digest", _digest(payload)),
@@ -131,7 +131,7 @@ def read_records(source) -> Iterator[dict]:
 
 
 def _page(urn: str | None) -> int | None:
-    digits = (urn or "").removeprefix("<urn:x-page:").removesuffix(">")
+    digits = (urn or "").removeprefix("<urn:x-page:").removesuffix(">").split(":")[0]
     return int(digits) if digits else None
 
 
@@ -139,14 +139,14 @@ def _writer(folder: str):
     def run(batches):
         fs, where = pafs.FileSystem.from_uri(folder)
         fs.create_dir(where, recursive=True)
-        own, name = f"{where}/.{uuid.uuid4().hex}", f"part-{TaskContext.get().partitionId():06d}.warc.gz"
+        # the attempt's own name: only what the manifest lists counts, and Spark commits one attempt's row of it
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         count = 0
-        with fs.open_output_stream(own) as out:
+        with fs.open_output_stream(f"{where}/{name}") as out:
             for batch in sliced(batches, "html"):
                 for r in batch.to_pylist():
-                    out.write(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["refers_to"]))
+                    out.write(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["refers_to"], own=f"{name[5:-8]}-{count}"))
                     count += 1
-        fs.move(own, f"{where}/{name}")
         yield pa.RecordBatch.from_pylist([{"file": name, "records": count}])
 
     return run
@@ -159,7 +159,10 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     known = pages.withColumns({"digest": F.sha1(html.cast("binary")), "shared": F.octet_length(html) >= LEAST_SHARED})
     # only payloads that occur again; the aggregate is combined before it is shuffled, so copies cost a row a task
     first = known.filter("shared").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    placed = known.join(first, "digest", "left").select("page_id", "url", "html", F.expr("case when page_id <> response or (page_id is null and response is not null) then response end").alias("refers_to"))
+    refers = F.expr("case when page_id <> response or (page_id is null and response is not null) then response end").alias("refers_to")
+    # small payloads, of which very many may be equal, take no part in the join
+    large = known.filter("shared").join(first, "digest", "left").select("page_id", "url", "html", refers)
+    placed = large.unionAll(known.filter("not shared").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
     map_batches(placed, _writer(folder), "file string, records long").write.mode("overwrite").parquet(f"{folder}/manifest")
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
