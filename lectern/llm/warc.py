@@ -142,7 +142,7 @@ def _writer(folder: str):
         # the attempt's own name: only what the manifest lists counts, and Spark commits one attempt's row of it
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
         count = 0
-        with fs.open_output_stream(f"{where}/{name}") as out:
+        with fs.open_output_stream(f"{where}/{name}", compression=None) as out:
             for batch in sliced(batches, "html"):
                 for r in batch.to_pylist():
                     out.write(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["refers_to"], own=f"{name[5:-8]}-{count}"))
