@@ -120,9 +120,9 @@ ANONYMOUS = "Аноним"
 
 
 def author_from_xml(first: Column, middle: Column, last: Column, nickname: Column) -> Column:
-    """First, middle and last name, else the nickname, else the anonymous name."""
-    full = F.concat_ws(" ", *[blank_to_null(x) for x in (first, middle, last)])
-    return F.coalesce(F.nullif(full, F.lit("")), blank_to_null(nickname), F.lit(ANONYMOUS))
+    """First, middle and last name and nickname, those that aren't blank; else the anonymous name."""
+    full = F.concat_ws(" ", *[blank_to_null(x) for x in (first, middle, last, nickname)])
+    return F.coalesce(F.nullif(full, F.lit("")), F.lit(ANONYMOUS))
 
 
 def has_replacement(c: Column) -> Column:
@@ -134,14 +134,31 @@ def is_anonymous(authors: Column) -> Column:
 
 
 def annotation_text(markup: Column) -> Column:
-    """First text of each element in an annotation, trimmed, blanks left out, one a line."""
-    runs = F.regexp_extract_all(markup, F.lit(r"<[A-Za-z][^<>]*[^/<>]?>([^<]*)<"), 1)
-    return F.array_join(F.filter(F.transform(runs, trim_ascii), lambda x: x != ""), "\n")
+    """First text of each direct child of an annotation, trimmed, blanks left out, one a line. markup: what is inside of it.
+
+    Tags are gone through in order with the depth they leave; a text counts where it is the first one right inside a child.
+    """
+    parts = F.regexp_extract_all(F.regexp_replace(markup, r"(?s)<!--.*?-->|<\?.*?\?>", ""), F.lit(r"(?s)<([^<>]*)>([^<]*)"), 0)
+    tag = lambda x: F.regexp_extract(x, r"(?s)^<([^<>]*)>", 1)
+    after = lambda x: trim_ascii(F.regexp_replace(x, r"(?s)^<[^<>]*>", ""))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.array().cast("array<string>").alias("lines"))
+
+    def step(state: Column, part: Column) -> Column:
+        name = tag(part)
+        depth = (state["depth"] + F.when(name.startswith("/"), -1).when(name.endswith("/"), 0).otherwise(1)).cast("int")
+        waits = ((depth == 1) & (state["depth"] == 0)) | state["open"]
+        found = (depth == 1) & waits & (after(part) != "")
+        return F.struct(depth.alias("depth"), (waits & ~found).alias("open"), F.when(found, F.concat(state["lines"], F.array(after(part)))).otherwise(state["lines"]).alias("lines"))
+
+    text = F.aggregate(parts, start, step, lambda s: F.array_join(s["lines"], "\n"))
+    for mark, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{mark};"), F.lit(c))
+    return text
 
 
 def strict_int(c: Column, kind: str = "int") -> Column:
-    """The whole text as an integer: digits with a minus at most; else null."""
-    return F.when(c.rlike("^-?[0-9]+$"), c.try_cast(kind))
+    """The whole text as an integer: digits with a minus at most, 32 bytes in all; else null."""
+    return F.when(c.rlike("^-?[0-9]+$") & (F.octet_length(c) <= 32), c.try_cast(kind))
 
 
 def strict_double(c: Column) -> Column:
@@ -157,10 +174,9 @@ def strict_base64(c: Column) -> Column:
 
 
 def cover_extension(mime: Column, binary_id: Column) -> Column:
-    """File extension by MIME type, else by the id's own suffix."""
-    kind = lower_ascii(trim_ascii(mime))
-    suffix = F.nullif(lower_ascii(F.regexp_extract(binary_id, r"\.([A-Za-z0-9]+)$", 1)), F.lit(""))
-    return F.when(kind.isin("image/jpeg", "image/jpg", "image/pjpeg"), "jpg").when(kind == "image/png", "png").when(kind == "image/gif", "gif").when(kind == "image/webp", "webp").otherwise(suffix)
+    """File extension by MIME type, exactly as it is written, else by what follows the id's last dot, unless that is its first character."""
+    suffix = F.nullif(lower_ascii(F.regexp_extract(binary_id, r"(?s)^.+\.([^.]+)$", 1)), F.lit(""))
+    return F.when(mime.isin("image/jpeg", "image/jpg"), "jpg").when(mime == "image/png", "png").when(mime == "image/gif", "gif").otherwise(suffix)
 
 
 def archive_name(entry: Column) -> Column:
@@ -174,9 +190,12 @@ def entry_name(file: Column, ext: Column) -> Column:
 
 
 def is_safe_path(c: Column) -> Column:
-    """A relative path that stays below its root."""
-    parts = F.split(F.translate(c, "\\", "/"), "/")
-    return (c != "") & ~c.rlike(r"^([/\\]|[A-Za-z]:)") & ~F.exists(parts, lambda p: p == "..") & ~c.contains("\x00")
+    """A relative path that stays below its root once `.` and `..` are worked out; a backslash is a character like others."""
+    parts = F.split(c, "/")
+    step = lambda p: F.when(p == "..", -1).when(p.isin("", "."), 0).otherwise(1)
+    # a `..` with nothing before it stays, whatever follows
+    low = F.aggregate(parts, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")), lambda s, p: F.struct((s["depth"] + step(p)).alias("depth"), F.least(s["least"], s["depth"] + step(p)).alias("least")), lambda s: s["least"])
+    return (c != "") & ~c.startswith("/") & (low >= 0)
 
 
 def is_content_path(c: Column) -> Column:

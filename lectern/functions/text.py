@@ -73,9 +73,17 @@ def _plain_letters() -> tuple[str, str]:
     return "".join(table), "".join(table.values())
 
 
+@lru_cache(maxsize=1)
+def _plain_folds() -> tuple[str, str]:
+    """The fold and the letters without marks in one table, so that a text is gone through once."""
+    folds, plain = (dict(zip(*pair, strict=True)) for pair in (fold_pairs(), _plain_letters()))
+    table = {c: plain.get(folds.get(c, c), folds.get(c, c)) for c in [*folds, *plain]}
+    return "".join(table), "".join(table.values())
+
+
 def tokens(c: Column) -> Column:
     """Words of a text: runs of letters, numbers and private-use characters, folded, Latin letters without their marks."""
-    plain = F.translate(normalize(c), *_plain_letters())
+    plain = F.replace(F.translate(c, *_plain_folds()), F.lit("ß"), F.lit("ss"))
     return F.filter(F.split(plain, r"[^\p{L}\p{N}\p{Co}]+"), lambda x: x != "")
 
 

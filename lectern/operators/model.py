@@ -47,10 +47,10 @@ def bridge(lists: DataFrame, owner: str, names: str) -> DataFrame:
     return rows.groupBy(owner, "normalized_name").agg(F.min("ord").alias("ord"))
 
 
-def cap_log(log: DataFrame, group: str, order: str, most: int = 1000) -> DataFrame:
-    """The first rows of each group (K8)."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return log.withColumn("_r", place).filter(F.col("_r") <= most).drop("_r")
+def cap_log(log: DataFrame, group: str, order: str, most: int = 1000, place: str | None = None) -> DataFrame:
+    """The first rows of each group (K8), with their place if it is named."""
+    ranked = log.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("_r") <= most)
+    return ranked.withColumnRenamed("_r", place) if place else ranked.drop("_r")
 
 
 def content_store(blobs: DataFrame, content: str, extension: Column) -> DataFrame:

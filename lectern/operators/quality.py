@@ -13,7 +13,7 @@ class Rejected(ValueError):
     """A snapshot that must not be published."""
 
 
-def schema_differences(spark: SparkSession, actual: T.StructType, declared: T.StructType) -> DataFrame:
+def schema_problems(actual: T.StructType, declared: T.StructType) -> list[tuple[str, str]]:
     """(column, problem): missing, unexpected, type or nullability (Q1)."""
     have, want = ({f.name: f for f in s.fields} for s in (actual, declared))
     rows = [(c, "missing") for c in want if c not in have] + [(c, "unexpected") for c in have if c not in want]
@@ -22,7 +22,11 @@ def schema_differences(spark: SparkSession, actual: T.StructType, declared: T.St
             rows.append((c, "type"))
         elif have[c].nullable and not want[c].nullable:
             rows.append((c, "nullability"))
-    return spark.createDataFrame(sorted(rows), "column string, problem string")
+    return sorted(rows)
+
+
+def schema_differences(spark: SparkSession, actual: T.StructType, declared: T.StructType) -> DataFrame:
+    return spark.createDataFrame(schema_problems(actual, declared), "column string, problem string")
 
 
 def dangling(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:

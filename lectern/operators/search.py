@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.fields import LOWER, UPPER
 from lectern.functions.text import normalize, tokens
+from lectern.storage import cut
 
 FIELDS = ("title", "authors", "description")
 
@@ -84,14 +86,21 @@ def postings(books: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return out
 
 
+def write_postings(index: DataFrame, path: str) -> None:
+    """Stores an index in the order of its tokens, so that a search reads the row groups of its prefixes alone."""
+    index.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+
+
 def search_postings(index: DataFrame, key: str, wanted: list[str], fields: list[str]) -> DataFrame:
     """Distinct keys that have, for every wanted token, a token that starts with it in some of the fields.
 
-    One scan serves all tokens, and the hits meet in a count, so there is one shuffle for any number of tokens.
+    One scan serves all tokens, and the hits meet in a count, so there is one shuffle for any number of tokens. The
+    prefixes are also a filter of the scan.
     """
     if not wanted:
         return index.select(key).limit(0)
-    own = index.filter(F.col("field").isin(fields))
+    any_of = reduce(lambda a, b: a | b, [F.col("token").startswith(t) for t in wanted])
+    own = index.filter(F.col("field").isin(fields) & any_of)
     hits = [F.when(F.col("token").startswith(t), F.lit(i)) for i, t in enumerate(sorted(set(wanted)))]
     found = own.select(key, F.explode(F.array_compact(F.array(*hits))).alias("_t"))
     return found.groupBy(key).agg(F.count_distinct("_t").alias("_n")).filter(F.col("_n") == len(hits)).select(key)
@@ -116,9 +125,14 @@ def facet(rows: DataFrame, value: str, key: str) -> DataFrame:
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
-    """df with its place in the order, from 1. Ranks are local to range partitions and shifted by the partitions before, so no task sees all rows."""
+    """df with its place in the order, from 1. Ranks are local to range partitions and shifted by the partitions before, so no task sees all rows.
+
+    The dealt rows are written once, as another evaluation may draw other bounds between the partitions. Rows that are
+    equal in all of the order get places in no order of their own.
+    """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    dealt = cut(dealt, "ranked")
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = counts.select("_p", "_first", before.alias("_before"))  # a row for each partition

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +68,12 @@ def outliers(events: DataFrame, elapsed: str, threshold: float = 5000) -> DataFr
     return events.filter(F.col(elapsed) >= threshold)
 
 
+def fallback_counters(books: DataFrame, flags: dict[str, Column]) -> DataFrame:
+    """One row: books for which each field was taken from the record, and books with any such field."""
+    any_of = reduce(lambda a, b: a | b, flags.values())
+    return books.agg(*[F.count_if(c).alias(f"{name}_fallbacks") for name, c in flags.items()], F.count_if(any_of).alias("books_with_fallback"))
+
+
 def latest(log: DataFrame, order: str, most: int) -> DataFrame:
     """The last rows with their place, newest first."""
     top = log.orderBy(F.desc(order)).limit(most)

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import model, reconcile, search, stats
+from lectern.functions.text import tokens
+from lectern.operators import model, search, stats
 from lectern.operators.search import CatalogQuery
-from lectern.sources import archives
+from lectern.sources import archives, inpx
 
 from . import snapshot as store
+from .ingest import archive_states
+
+
+@dataclass(frozen=True)
+class Page:
+    """A page of results. The total and the facets come with the first page only; they are None on later ones."""
+
+    rows: DataFrame
+    cursor: search.Cursor | None
+    total: int | None = None
+    languages: DataFrame | None = None
+    genres: DataFrame | None = None
 
 
 class Catalog:
@@ -28,12 +43,35 @@ class Catalog:
         return self.table(f"book_{kind}").join(self.table(kind), "normalized_name")
 
     def books(self) -> DataFrame:
-        """Books with their authors' names in one column for search."""
-        names = search.ordered_names(self._names("authors"), "book_id", ["ord"], "display_name", "author_names")
-        return self.table("books").join(names, "book_id", "left").withColumn("authors", F.array_join("author_names", " "))
+        """Books that have a location (F12), with its state: availability, is_available, can_download, label."""
+        placed = self.table("locations").select("book_id", "lib_id", "archive_name", "entry_name", "file_size_bytes", "availability")
+        on = F.col("availability") == "available"
+        label = F.when(on, "Available").otherwise("Missing from index")
+        return self.table("books").join(placed, "book_id").withColumns({"is_available": on, "can_download": on, "label": label})
+
+    def _lists(self, books: DataFrame) -> DataFrame:
+        for kind in ("authors", "genres"):
+            books = books.join(search.ordered_names(self._names(kind).join(books.select("book_id"), "book_id", "left_semi"), "book_id", ["ord"], "display_name", kind), "book_id", "left")
+        return books
+
+    def listed(self, books: DataFrame) -> DataFrame:
+        """What a list shows of books (P1); other columns of books, such as pos, stay in front."""
+        extra = [c for c in ("pos",) if c in books.columns]
+        return self._lists(books).select(*extra, "book_id", "title", "authors", "genres", "language", "series", "series_index", "year", "cover_path", "added_at", "availability", "is_available", "can_download", "label")
+
+    def details(self, book_id: int) -> DataFrame:
+        """All that is known of one book."""
+        if book_id <= 0:
+            raise ValueError("ids are greater than 0")
+        return self._lists(self.books().filter(F.col("book_id") == book_id))
 
     def _matched(self, q: CatalogQuery, languages: bool = True, genres: bool = True) -> DataFrame:
-        found = search.match_tokens(self.books(), q.text, list(q.fields or search.FIELDS))
+        """Books that the query finds: keys come from the stored index, and its hits alone are joined with the books."""
+        found = self.books()
+        if q.text != "":
+            wanted = self.spark.range(1).select(tokens(F.lit(q.text)).alias("t")).first().t
+            hits = search.search_postings(self.table("postings"), "book_id", wanted, list(q.fields or search.FIELDS))
+            found = found.join(hits, "book_id", "left_semi")
         if languages:
             found = search.filter_languages(found, list(q.languages))
         if genres:
@@ -46,9 +84,9 @@ class Catalog:
         return found, search.order_of(q.sort, q.ascending)
 
     def search(self, q: CatalogQuery) -> DataFrame:
-        """The rows of a page, with `pos`."""
+        """The rows of a page, with `pos`; only its books get their names."""
         found, order = self._sorted(self._matched(q), q)
-        return search.page(found, order, q.offset, q.limit)
+        return self.listed(search.page(found, order, q.offset, q.limit))
 
     def count(self, q: CatalogQuery) -> int:
         return self._matched(q).count()
@@ -60,46 +98,68 @@ class Catalog:
         rows = self._names("genres").select("book_id", F.col("display_name").alias("genre"))
         return search.facet(rows.join(self._matched(q, genres=False).select("book_id"), "book_id", "left_semi"), "genre", "book_id")
 
-    def page(self, q: CatalogQuery, cursor: search.Cursor | None = None) -> tuple[DataFrame, search.Cursor]:
-        """(rows, next cursor): the first call ranks and publishes the order, later ones slice it."""
-        path, total = f"{self.root}/rankings", None
-        if cursor is None:
+    def page(self, q: CatalogQuery, cursor: search.Cursor | None = None, languages: bool = True, genres: bool = True) -> Page:
+        """The first call ranks and publishes the order, counts, and works out the facets that are asked for; later ones slice the order."""
+        path = f"{self.root}/rankings"
+        first = cursor is None
+        if first:
             found, order = self._sorted(self._matched(q), q)
             total = search.publish_ranking(found, order, "book_id", self.snapshot, q, path)
-            cursor = search.Cursor(self.snapshot, q.fingerprint(), 0)
-        if total is None:
+            cursor = search.Cursor(self.snapshot, q.fingerprint(), min(q.offset, total))
+        else:
             if cursor.snapshot != self.snapshot or cursor.query != q.fingerprint():
                 raise search.StaleCursor("the cursor doesn't belong to this snapshot and query")
             total = self.spark.read.parquet(f"{path}/snapshot_id={self.snapshot}/query={cursor.query}").count()
-        rows = search.read_slice(self.spark, path, cursor, self.snapshot, q, q.limit, total)
-        return rows.join(self.table("books"), "book_id").orderBy("pos"), search.Cursor(self.snapshot, cursor.query, min(total, cursor.position + q.limit))
+        slice_ = search.read_slice(self.spark, path, cursor, self.snapshot, q, q.limit, total)
+        rows = self.listed(search.fetch(slice_, self.books())).orderBy("pos")
+        at = min(total, cursor.position + q.limit)
+        after = replace(cursor, position=at) if at < total else None
+        if not first:
+            return Page(rows, after)
+        return Page(rows, after, total, self.facet_languages(q) if languages else None, self.facet_genres(q) if genres else None)
 
     def get(self, book_id: int) -> DataFrame:
-        if book_id <= 0:
-            raise ValueError("ids are greater than 0")
-        return self.books().filter(F.col("book_id") == book_id)
+        return self.details(book_id)
 
     def availability(self) -> DataFrame:
-        segments = self.table("segments").withColumn("availability", F.lit("available"))
-        located = self.table("books").select("lib_id", "segment_id").withColumn("present_in_segment", F.lit(True))
-        return reconcile.availability(located, self.table("deletions"), segments)
+        return self.table("locations").select("lib_id", "availability")
 
     def statistics(self) -> DataFrame:
-        located = self.table("books").select("lib_id", "file_size_bytes").join(self.availability(), "lib_id")
-        none = located.select(F.lit(0).cast("long").alias("size_bytes")).limit(0)
-        return stats.catalogue_statistics(located, none)
+        return self.table("statistics")
 
     def source_overview(self) -> DataFrame:
         return stats.source_overview(self.availability().withColumn("source", F.lit(1)), "source")
 
-
-def export(catalog: Catalog, lib_ids: DataFrame, archive_root: str) -> DataFrame:
-    """(lib_id, export_status, content): payloads of available books whose size is as published; others say why not."""
-    own = catalog.table("books").join(lib_ids, "lib_id", "left_semi").select("lib_id", "archive_name", "entry_name", "file_size_bytes").join(catalog.availability(), "lib_id", "left")
-    place = own.withColumns({"archive": F.concat(F.lit(archive_root.rstrip("/") + "/"), "archive_name", F.lit(".zip")), "entry": F.col("entry_name")})
-    read = archives.payloads(place.filter("availability = 'available'").select("archive", "entry").distinct())
-    joined = place.join(read, ["archive", "entry"], "left")
-    size = (F.col("file_size_bytes") == 0) | (F.octet_length("content") == F.col("file_size_bytes"))
-    checked = joined.withColumns({"source_ok": F.lit(True), "archive_ok": F.lit(True), "manifest_ok": F.lit(True), "size_ok": size})
-    status = model.export_status(checked)
-    return checked.select("lib_id", status.alias("export_status"), F.when(status == "ready", F.col("content")).alias("content"))
+    def counters(self) -> DataFrame:
+        """The counters of the scan that published this snapshot."""
+        return self.table("scans").filter(F.col("scan_id") == self.snapshot)
+
+    def warnings(self, most: int = 50) -> DataFrame:
+        return stats.latest(self.table("scan_warnings"), "id", most)
+
+
+def export(catalog: Catalog, lib_ids: DataFrame, source: str, archive_root: str) -> DataFrame:
+    """(lib_id, export_status, content): payloads of available books; others say why not.
+
+    The source's hash, each archive's place, size and time, its manifest, and the payload's size must be as published.
+    """
+    spark = catalog.spark
+    own = catalog.table("locations").join(lib_ids.select("lib_id").distinct(), "lib_id", "left_semi").select("lib_id", "segment_id", "entry_name", "file_size_bytes", "availability")
+    published = catalog.table("segments").select("segment_id", F.col("archive_name").alias("archive"), F.col("resolved_archive_path").alias("_path"), F.col("archive_size").alias("_size"), F.col("archive_modified").alias("_time"), F.col("manifest").alias("_manifest"))
+    own = own.join(published, "segment_id")
+    same_source = inpx.source_fingerprint(source) == catalog.table("sources").first().source_fingerprint
+    now = archive_states(spark, archive_root, own)
+    same_file = (F.col("resolved_archive_path") == F.col("_path")) & (F.col("archive_size") == F.col("_size")) & (F.col("archive_modified") == F.col("_time"))
+    checked = own.join(now, "archive", "left").withColumns({"source_ok": F.lit(same_source), "archive_ok": F.coalesce(same_file, F.lit(False))})
+    paths = [r.p for r in checked.filter("availability = 'available' and source_ok and archive_ok").select(F.col("_path").alias("p")).distinct().collect()]  # names of archives
+    if paths:
+        entries = archives.manifests(spark, paths)
+        prints = stats.manifest_fingerprint(entries, "archive", "name", "size", "crc").select(F.col("archive").alias("_path"), "fingerprint")
+        checked = checked.join(prints, "_path", "left").withColumn("manifest_ok", F.col("fingerprint") == F.col("_manifest"))
+    else:
+        checked = checked.withColumn("manifest_ok", F.lit(False))
+    wanted = checked.filter("availability = 'available' and source_ok and archive_ok and manifest_ok").select(F.col("_path").alias("archive"), F.col("entry_name").alias("entry")).distinct()
+    read = archives.payloads(wanted).select(F.col("archive").alias("_path"), F.col("entry").alias("entry_name"), "content")
+    joined = checked.join(read, ["_path", "entry_name"], "left").withColumn("size_ok", (F.col("file_size_bytes") == 0) | (F.octet_length("content") == F.col("file_size_bytes")))
+    status = model.export_status(joined)
+    return joined.select("lib_id", status.alias("export_status"), F.when(status == "ready", F.col("content")).alias("content"))

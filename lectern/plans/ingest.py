@@ -1,114 +1,298 @@
-"""From a source's segments and payloads to the catalogue's tables (S4, S9-S11, J9, K4-K9, A11-A13, ST1)."""
+"""From a source's segments and payloads to the catalogue's tables, first and next scans alike (S4, S9-S13, J9, K2-K10, A11-A13, Q1-Q11, ST1-ST6)."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lectern.functions.fields import has_replacement, is_anonymous, normalize_language
+from lectern.functions.fields import archive_name, fingerprint, has_replacement, is_anonymous, normalize_language, resolve_genre, warning_message
 from lectern.functions.text import normalize
-from lectern.operators import model, quality, reconcile
+from lectern.operators import model, quality, reconcile, search, stats
+from lectern.operators.quality import Rejected
 from lectern.sources import archives, fb2, inpx
 
 from . import snapshot as store
 
+AVAILABLE, MISSING = "available", "missing_from_index"
+#: Warnings that a scan keeps, and scans whose warnings are kept.
+MOST_WARNINGS, WARNING_SCANS = 1000, 10
+COUNTERS = (
+    "segments_total segments_added segments_changed segments_unchanged segments_removed archives_opened archives_skipped records_total records_reused records_parsed "
+    "records_added records_updated records_skipped marked_unavailable restored title_fallbacks author_fallbacks language_fallbacks books_with_fallback"
+).split()
 
-#: A library id may have one active book only.
-UNIQUE = [lambda tables: quality.duplicates(tables["books"], ["lib_id"])]
+#: The tables of a snapshot and their columns, which publishing checks.
+SCHEMAS = {
+    "sources": "id int, source_fingerprint string, scan_id string, scan_time timestamp",
+    "segments": "segment_id string, archive_name string, segment_order long, inp_fingerprint string, availability string, requires_archive boolean, resolved_archive_path string, archive_size long, archive_modified timestamp, manifest string, record_count long, active_record_count long, deleted_record_count long",
+    "deletions": "segment_id string, lib_id string",
+    "books": "book_id long, title string, normalized_title string, language string, identifier string, series string, series_index double, publisher string, year int, isbn string, description string, cover_path string, added_at timestamp",
+    "locations": "book_id long, lib_id string, segment_id string, archive_name string, entry_name string, file_size_bytes long, present_in_segment boolean, availability string, last_seen_scan_id string",
+    "authors": "normalized_name string, display_name string",
+    "genres": "normalized_name string, display_name string",
+    "book_authors": "book_id long, normalized_name string, ord int",
+    "book_genres": "book_id long, normalized_name string, ord int",
+    "postings": "token string, field string, book_id long",
+    "covers": "cover_path string, reference_count long, size_bytes long",
+    "cover_contents": "cover_path string, content binary",
+    "scan_warnings": "id long, scan_id string, warning_code string, archive_name string, entry_name string, message string",
+    "scans": "scan_no long, scan_id string, scan_time timestamp, " + ", ".join(f"{c} long" for c in COUNTERS),
+    "statistics": "books long, unavailable long, source_bytes long, cover_bytes long, store_bytes long, total_bytes long",
+}
 
 
-def stored_metadata(joined: DataFrame) -> DataFrame:
+def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
     """One book of a record and its payload: the payload's fields, the record's where they are unusable, with flags."""
     b, r = F.col("book"), F.col("record")
     clean = F.filter(F.transform(r["authors"], lambda a: a["display"]), lambda x: (x != "") & ~has_replacement(x))
-    bad_title = has_replacement(b["title"]) & (r["title"] != "") & ~has_replacement(r["title"])
+    no_title = b["title"].isNull()
+    bad_title = F.coalesce(has_replacement(b["title"]), F.lit(False)) & (r["title"] != "") & ~has_replacement(r["title"])
     bad_authors = (F.size(clean) > 0) & ((F.size(b["authors"]) == 0) | F.exists(b["authors"], has_replacement) | is_anonymous(b["authors"]))
     bad_language = (b["language"] == "") & (r["language"] != "")
+    names = F.create_map(*[F.lit(x) for pair in genres.items() for x in pair]) if genres else F.create_map().cast("map<string,string>")
     return joined.select(
         "segment_id",
         r["lib_id"].alias("lib_id"),
         "line_no",
-        F.when(bad_title, r["title"]).otherwise(b["title"]).alias("title"),
+        F.when(bad_title | no_title, r["title"]).otherwise(b["title"]).alias("title"),
         F.when(bad_authors, clean).otherwise(b["authors"]).alias("authors"),
         normalize_language(F.when(bad_language, r["language"]).otherwise(b["language"])).alias("language"),
         F.coalesce(F.nullif(b["identifier"], F.lit("")), r["lib_id"]).alias("identifier"),
-        *[b[c].alias(c) for c in ("series", "series_index", "publisher", "year", "isbn", "genres", "description")],
-        r["size"].cast("long").alias("file_size_bytes"),
+        *[b[c].alias(c) for c in ("series", "series_index", "publisher", "year", "isbn", "description")],
+        F.transform(b["genres"], lambda g: resolve_genre(g, names)["name"]).alias("genres"),
+        r["size"].cast("long").alias("declared_size"),
+        "actual_size",
         "archive_name",
         r["entry_name"].alias("entry_name"),
-        bad_title.alias("title_fallback"),
+        "cover",
+        F.when(F.col("cover").isNotNull(), F.concat(F.substring(F.sha2("cover", 256), 1, 2), F.lit("/"), F.sha2("cover", 256), F.lit("."), "cover_ext")).alias("cover_path"),
+        "cover_diagnostic",
+        (bad_title | no_title).alias("title_fallback"),
         bad_authors.alias("author_fallback"),
         bad_language.alias("language_fallback"),
     )
 
 
-def read_source(spark: SparkSession, source: str, mode: str = "failfast") -> tuple[DataFrame, DataFrame]:
-    """(segments, records) of a source; a rejected record fails the scan unless mode is permissive."""
-    parsed = inpx.parse_all(spark, source).withColumn("segment_id", F.col("segment_order"))
-    quality.strict(parsed.filter("reject_reason is not null").select("inp_entry_name", "line_no", "reject_reason"), mode, "records were rejected")
-    segments = inpx.read_segments(spark, source).select("inp_entry_name", "archive_name", "segment_order", "fingerprint", F.col("segment_order").alias("segment_id"))
-    return segments, parsed.filter("reject_reason is null")
-
+def archive_states(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
+    """(archive, resolved_archive_path, archive_size, archive_modified) of the archives of names that lie under root."""
+    base = F.regexp_replace("path", r"^file:/+", "/")
+    below = F.substring(base, F.lit(len(root.rstrip("/")) + 2), F.length(base))
+    files = archives.file_states(spark, root).select(
+        F.regexp_extract(below, r"^(.*?)/?[^/]*$", 1).alias("folder"), F.regexp_extract(below, "([^/]*)$", 1).alias("archive"), base.alias("resolved_archive_path"), F.col("size").alias("archive_size"), F.col("modified").alias("archive_modified")
+    )
+    found = archives.resolve_archives(names.select("archive").distinct(), files.select("folder", "archive")).filter("folder is not null")
+    return found.join(files, ["archive", "folder"]).drop("folder")
 
-def read_books(records: DataFrame, archive_root: str) -> DataFrame:
-    """Books of active records: payloads are read archive by archive and joined to their records."""
-    active = records.filter(~F.col("record.deleted") & (F.col("record.ext") == "fb2"))
-    path = F.concat(F.lit(archive_root.rstrip("/") + "/"), "archive_name", F.lit(".zip"))
-    wanted = active.withColumns({"archive": path, "entry": F.col("record.entry_name")})
-    parsed = fb2.parse(archives.payloads(wanted.select("archive", "entry").distinct())).select("archive", "entry", "book", F.col("reject_reason").alias("payload_reject"))
-    return stored_metadata(wanted.join(parsed, ["archive", "entry"]).filter("book is not null"))
 
+def plan_segments(spark: SparkSession, source: str, archive_root: str, old: DataFrame | None) -> DataFrame:
+    """Segments of the source with what is known of their archives, and what is to be done with each (ST2): change, step.
 
-def tables_of(books: DataFrame, old: dict[str, DataFrame] | None, scan_time: Column) -> dict[str, DataFrame]:
-    """Books, dimensions and bridges; known books keep their id and time."""
-    fields = [c for c in books.columns if c not in ("authors", "genres")]
+    Manifests are read only where the text of a segment is new or its archive's size or time has changed.
+    """
+    segments = inpx.read_segments(spark, source).select(F.col("inp_entry_name").alias("segment_id"), archive_name(F.col("inp_entry_name")).alias("archive"), "segment_order", F.col("fingerprint").alias("inp_fingerprint"))
+    if twice := quality.duplicates(segments, ["segment_id"]).head(1):
+        raise Rejected(f"segment {twice[0].segment_id} occurs more than once")
+    segments = segments.join(archive_states(spark, archive_root, segments), "archive", "left")
+    stat = lambda p="": F.concat_ws("|", f"{p}resolved_archive_path", F.col(f"{p}archive_size").cast("string"), F.col(f"{p}archive_modified").cast("string"))
+    new = segments.withColumns({"inp": F.col("inp_fingerprint"), "archive_stat": stat()})
     if old is None:
-        placed = model.number_new(books, "lib_id", ["segment_id", "line_no"], 0).withColumnRenamed("id", "book_id").withColumn("added_at", scan_time)
+        before = segments.select("segment_id", F.lit("").alias("inp"), F.lit("").alias("availability"), F.lit(False).alias("requires_archive"), F.lit("").alias("archive_stat"), F.lit("").alias("manifest")).limit(0)
     else:
-        known = old["books"].select("lib_id", "book_id", "added_at")
-        start = known.agg(F.coalesce(F.max("book_id"), F.lit(0)).alias("m")).first().m
-        fresh = model.number_new(books.join(known, "lib_id", "left_anti"), "lib_id", ["segment_id", "line_no"], start).withColumnRenamed("id", "book_id").withColumn("added_at", scan_time)
-        placed = books.join(known, "lib_id").unionByName(fresh)
-    out = {"books": placed.select("book_id", *fields, "added_at", normalize(F.col("title")).alias("normalized_title"))}
-    for name in ("authors", "genres"):
-        ordered = placed.select(F.posexplode(name).alias("pos", "name"), F.struct("segment_id", "line_no").alias("line")).select("name", F.struct("line", "pos").alias("order"))
-        none = ordered.select(F.lit("").alias("normalized_name"), F.lit("").alias("display_name")).limit(0)
-        out[name] = model.resolve_dimension(old[name] if old else none, ordered, "order")
-        out[f"book_{name}"] = model.bridge(placed, "book_id", name)
-    return out
+        before = old.select("segment_id", F.col("inp_fingerprint").alias("inp"), "availability", "requires_archive", stat().alias("archive_stat"), "manifest")
+    first = reconcile.reuse_plan(before, new.withColumn("manifest", F.lit(None).cast("string")), "segment_id")
+    wanted = new.join(first.filter("step = 'parse'"), "segment_id", "left_semi").filter("resolved_archive_path is not null")
+    paths = [r.p for r in wanted.select(F.col("resolved_archive_path").alias("p")).distinct().collect()]  # a name for each archive
+    if paths:
+        entries = archives.manifests(spark, paths)
+        if twice := quality.duplicates(entries, ["archive", "name"]).head(1):
+            raise Rejected(f"archive {twice[0].archive} has entry {twice[0].name} more than once")
+        prints = stats.manifest_fingerprint(entries, "archive", "name", "size", "crc").select(F.col("archive").alias("resolved_archive_path"), F.col("fingerprint").alias("manifest"))
+        new = new.join(prints, "resolved_archive_path", "left")
+    else:
+        new = new.withColumn("manifest", F.lit(None).cast("string"))
+    steps = reconcile.reuse_plan(before, new, "segment_id")
+    kept = before.select("segment_id", F.col("manifest").alias("_manifest"))
+    out = new.join(steps, "segment_id").join(kept, "segment_id", "left").withColumn("manifest", F.coalesce("manifest", "_manifest"))
+    return out.select("segment_id", F.col("archive").alias("archive_name"), "segment_order", "inp_fingerprint", "resolved_archive_path", "archive_size", "archive_modified", "manifest", "change", "step")
+
+
+def read_payloads(records: DataFrame, segments: DataFrame) -> DataFrame:
+    """Active records with the book of their payload, or the reason why it has none: payloads are read archive by archive and joined to their records."""
+    active = records.filter(~F.col("record.deleted") & (F.col("record.ext") == "fb2")).drop("archive_name")
+    wanted = active.join(segments.select("segment_id", "archive_name", F.col("resolved_archive_path").alias("archive")), "segment_id").withColumn("entry", F.col("record.entry_name"))
+    read = archives.payloads(wanted.select("archive", "entry").distinct())
+    parsed = fb2.covers(fb2.parse(read, require_title=False)).select("archive", "entry", "book", F.col("reject_reason").alias("payload_reject"), "cover_ext", "cover", "cover_diagnostic", F.octet_length("content").cast("long").alias("actual_size"))
+    return wanted.select("segment_id", "line_no", "archive_name", "record", "archive", "entry").join(parsed, ["archive", "entry"])
 
 
-def initial(spark: SparkSession, source: str, archive_root: str, root: str, snapshot: str, scan_time: Column, mode: str = "failfast") -> dict[str, DataFrame]:
-    """First scan: reads everything, checks that library ids are unique, and publishes."""
-    segments, records = read_source(spark, source, mode)
-    books = store.stage(spark, root, snapshot, "parsed", read_books(records, archive_root))
-    tables = tables_of(books, None, scan_time) | {"segments": segments, "deletions": _tombstones(records)}
-    store.publish(spark, root, snapshot, tables, UNIQUE)
-    return tables
+def _numbered(books: DataFrame, known: DataFrame, scan_time: Column) -> DataFrame:
+    """books with book_id, added_at and is_new: known ones keep theirs, new ones are numbered in the source's order (K4)."""
+    start = known.agg(F.coalesce(F.max("book_id"), F.lit(0)).alias("m")).first().m
+    fresh = model.number_new(books.join(known, "lib_id", "left_anti"), "lib_id", ["segment_order", "line_no"], start).withColumnRenamed("id", "book_id").withColumns({"added_at": scan_time, "is_new": F.lit(True)})
+    return books.join(known, "lib_id").withColumn("is_new", F.lit(False)).unionByName(fresh)
 
 
-def rescan(spark: SparkSession, source: str, archive_root: str, root: str, snapshot: str, scan_time: Column, mode: str = "failfast") -> DataFrame:
-    """Next scan: only payloads of added and changed segments are read; the rest is taken from the published snapshot.
+def broken_rules(tables: dict[str, DataFrame]) -> DataFrame:
+    """(rule, key) of what a written snapshot must not hold: other columns than declared, keys without a row, a key twice, bad rows (Q1-Q7)."""
+    spark = tables["books"].sparkSession
+    wrong = []
+    for name, ddl in SCHEMAS.items():
+        wrong += [(f"{name}: {problem}", column) for column, problem in quality.schema_problems(tables[name].schema, T._parse_datatype_string(ddl))]
+    found = [spark.createDataFrame(wrong, "rule string, key string")] if wrong else []
 
-    Returns the segments' changes.
+    def keys() -> DataFrame:
+        pairs = [("book_authors", "book_id", "books", "book_id"), ("book_genres", "book_id", "books", "book_id"), ("book_authors", "normalized_name", "authors", "normalized_name"), ("book_genres", "normalized_name", "genres", "normalized_name")]
+        pairs += [("locations", "book_id", "books", "book_id"), ("books", "book_id", "locations", "book_id"), ("locations", "segment_id", "segments", "segment_id"), ("deletions", "segment_id", "segments", "segment_id"), ("postings", "book_id", "books", "book_id"), ("books", "cover_path", "cover_contents", "cover_path")]
+        return quality.foreign_keys([quality.dangling(tables[c], k, tables[p], q, f"{c}.{k}") for c, k, p, q in pairs])
+
+    found.append(keys().withColumnRenamed("relation", "rule"))
+    found.append(quality.singleton(tables["sources"], "id", ["source_fingerprint", "scan_id"]).filter("not ok").select(F.lit("sources: one row").alias("rule"), F.col("n").cast("string").alias("key")))
+    for t, k in (("books", "book_id"), ("locations", "lib_id"), ("locations", "book_id"), ("segments", "segment_id"), ("authors", "normalized_name"), ("genres", "normalized_name")):
+        found.append(quality.duplicates(tables[t], [k]).select(F.lit(f"{t}.{k}: twice").alias("rule"), F.col(k).cast("string").alias("key")))
+    found.append(quality.violations(tables["books"], "book_id", {"books: id": F.col("book_id") > 0, "books: title": F.col("title") != ""}))
+    return reduce(DataFrame.unionByName, found)
+
+
+def scan(spark: SparkSession, source: str, archive_root: str, root: str, snapshot: str, scan_time: Column, mode: str = "failfast", genres: Mapping[str, str] | None = None) -> DataFrame:
+    """Brings the catalogue under root to the state of a source and publishes it as `snapshot`; returns the scan's counters, one row.
+
+    Only segments whose text or archive is new are parsed; books that the source no longer offers stay, as
+    missing_from_index, with their id and time, and come back when it offers them again. genres maps codes to display
+    names. A rejected record or payload fails the scan unless mode is permissive; what may not be published never is.
     """
-    before = store.current(spark, root)
-    old = {n: store.table(spark, root, n, before) for n in ("books", "authors", "genres", "book_authors", "book_genres", "segments", "deletions")}
-    segments, records = read_source(spark, source, mode)
-    changes = reconcile.segment_changes(old["segments"], segments, "inp_entry_name", "fingerprint")
-    touched = records.join(changes.filter("change in ('added', 'changed')").select("inp_entry_name"), "inp_entry_name", "left_semi")
-    fresh = store.stage(spark, root, snapshot, "parsed", read_books(touched, archive_root))
-    new = tables_of(fresh, old, scan_time)
-    entry = old["segments"].select(F.col("segment_id").alias("_id"), "inp_entry_name")
-    kept_entries = entry.join(changes.filter("change = 'unchanged'"), "inp_entry_name", "left_semi").join(segments.select("inp_entry_name", F.col("segment_id").alias("_now")), "inp_entry_name")
-    reused = old["books"].join(kept_entries.select(F.col("_id").alias("segment_id"), "_now"), "segment_id").withColumn("segment_id", F.col("_now")).drop("_now")
-    books = reused.unionByName(new["books"])
-    tables = {"books": books, "authors": new["authors"], "genres": new["genres"], "segments": segments, "deletions": _tombstones(records)}
-    for name in ("book_authors", "book_genres"):
-        tables[name] = old[name].join(reused.select("book_id"), "book_id", "left_semi").unionByName(new[name])
-    store.publish(spark, root, snapshot, tables, UNIQUE)
-    return changes
-
-
-def _tombstones(records: DataFrame) -> DataFrame:
-    return records.filter(F.col("record.deleted")).select("segment_id", F.col("record.lib_id").alias("lib_id")).distinct()
+    last = store.current(spark, root)
+    old = None if last is None else {n: store.table(spark, root, n, last) for n in SCHEMAS}
+    empty = {n: T._parse_datatype_string(ddl) for n, ddl in SCHEMAS.items()}
+    was = old or {n: spark.createDataFrame([], s) for n, s in empty.items()}
+    stage = lambda name, df: store.stage(spark, root, snapshot, name, df)
+    source_print = inpx.source_fingerprint(source)
+
+    plan = stage("plan", plan_segments(spark, source, archive_root, None if old is None else was["segments"]))
+    touched = [r.segment_id for r in plan.filter("step = 'parse'").select("segment_id").collect()]  # names of segments
+    if plan.isEmpty():
+        raise Rejected("the source has no segments")
+    again = [r.p for r in plan.filter("step = 'same-manifest'").select(F.col("resolved_archive_path").alias("p")).distinct().collect()]
+    if again and (bad := archives.manifests(spark, again, validate=True).filter("not payload_ok").head(1)):
+        raise Rejected(f"archive {bad[0].archive} is damaged at {bad[0].name}")
+
+    # what the source says anew
+    parsed = stage("records", inpx.parse_all(spark, source, touched).withColumn("segment_id", F.col("inp_entry_name")))
+    quality.strict(parsed.filter("reject_reason is not null").select("segment_id", "line_no", "reject_reason"), mode, "records were rejected")
+    records = parsed.filter("reject_reason is null")
+    live = ~F.col("record.deleted") & (F.col("record.ext") == "fb2")
+    counts = parsed.groupBy("segment_id").agg(
+        F.count("*").alias("record_count"), F.count_if(F.col("reject_reason").isNull() & live).alias("active_record_count"), F.count_if(F.col("reject_reason").isNull() & F.col("record.deleted")).alias("deleted_record_count")
+    )
+    fresh_segments = plan.filter("step = 'parse'").join(counts, "segment_id", "left").fillna(0, ["record_count", "active_record_count", "deleted_record_count"])
+    if gone := fresh_segments.filter("active_record_count > 0 and resolved_archive_path is null").head(1):
+        raise Rejected(f"segment {gone[0].segment_id} has no archive {gone[0].archive_name}")
+    offered = records.filter(live).select(F.col("record.lib_id").alias("lib_id"))
+    reused = was["locations"].join(plan.filter("step <> 'parse'").select("segment_id"), "segment_id", "left_semi").filter("present_in_segment")
+    if twice := quality.duplicates(offered.unionAll(reused.select("lib_id")), ["lib_id"]).head(1):
+        raise Rejected(f"library id {twice[0].lib_id} has more than one active record")
+    payloads = stage("payloads", read_payloads(records, plan))
+    books = stage("books", stored_metadata(payloads.filter("book is not null"), genres or {}).join(plan.select("segment_id", "segment_order"), "segment_id"))
+    refused = payloads.filter("book is null").select("segment_id", "line_no", "archive_name", "entry", "payload_reject")
+    quality.strict(refused, mode, "payloads were rejected")
+    if bad := books.filter("declared_size <> 0 and declared_size <> actual_size").head(1):
+        raise Rejected(f"{bad[0].entry_name} is declared as {bad[0].declared_size} bytes and has {bad[0].actual_size}")
+
+    # merged with what was known
+    known = was["locations"].select("lib_id", "book_id").join(was["books"].select("book_id", "added_at"), "book_id")
+    placed = stage("placed", _numbered(books, known, scan_time))
+    changed = placed.select("book_id")
+    fields = empty["books"].names
+    all_books = model.upsert(was["books"], placed.withColumn("normalized_title", normalize(F.col("title"))).select(fields), ["book_id"])
+    tables = {"books": all_books}
+    for name in ("authors", "genres"):
+        ordered = placed.select(F.posexplode(name).alias("pos", "name"), F.struct("segment_order", "line_no").alias("line")).select("name", F.struct("line", "pos").alias("order"))
+        tables[name] = model.resolve_dimension(was[name], ordered, "order")
+        tables[f"book_{name}"] = model.replace_owned(was[f"book_{name}"], model.bridge(placed, "book_id", name), "book_id", changed)
+
+    segment_fields = empty["segments"].names
+    fresh_segments = fresh_segments.withColumns({"availability": F.lit(AVAILABLE), "requires_archive": F.col("active_record_count") > 0}).select(segment_fields)
+    same = plan.filter("step <> 'parse'").withColumn("availability", F.lit(AVAILABLE)).join(was["segments"].select("segment_id", "requires_archive", "record_count", "active_record_count", "deleted_record_count"), "segment_id").select(segment_fields)
+    removed = was["segments"].join(plan.select("segment_id"), "segment_id", "left_anti")
+    segments = stage("segments_now", fresh_segments.unionByName(same).unionByName(removed.withColumn("availability", F.lit(MISSING)).select(segment_fields)))
+    tombstones = records.filter(F.col("record.deleted")).select("segment_id", F.col("record.lib_id").alias("lib_id")).distinct()
+    tables["deletions"] = stage("deletions_now", was["deletions"].join(same.select("segment_id"), "segment_id", "left_semi").select("segment_id", "lib_id").unionByName(tombstones))
+
+    location_fields = empty["locations"].names
+    seen = placed.withColumns({"file_size_bytes": F.col("actual_size"), "present_in_segment": F.lit(True), "availability": F.lit(MISSING), "last_seen_scan_id": F.lit(snapshot)}).select(location_fields)
+    # records that a parsed segment no longer has are absent; those of other segments stay as they were (ST5)
+    marks = plan.filter("step = 'parse'").select("segment_id", F.lit("changed").alias("change"))
+    present = reconcile.mark_absent(was["locations"], seen, marks).select("lib_id", F.col("present_in_segment").alias("_still"))
+    stays = was["locations"].join(placed.select("lib_id"), "lib_id", "left_anti").join(present, "lib_id").withColumn("present_in_segment", F.col("present_in_segment") & F.col("_still")).select(location_fields)
+    located = stage("located", seen.unionByName(stays))
+    state = reconcile.availability(located, tables["deletions"], segments)
+    tables["locations"] = stage("locations_now", located.drop("availability").join(state, "lib_id").select(location_fields))
+
+    fresh_index = search.postings(_searchable(tables["books"].join(changed, "book_id", "left_semi"), tables["book_authors"], tables["authors"]), "book_id", list(search.FIELDS))
+    tables["postings"] = reconcile.update_index(was["postings"], changed, fresh_index, "book_id").select("token", "field", "book_id")
+
+    pictures = placed.filter("cover is not null").select("cover_path", F.col("cover").alias("content")).dropDuplicates(["cover_path"])
+    contents = model.referenced(model.upsert(was["cover_contents"], pictures, ["cover_path"]), all_books, "cover_path")
+    tables["cover_contents"] = stage("contents_now", contents.select("cover_path", "content"))
+    sized = all_books.join(tables["cover_contents"].select("cover_path", F.octet_length("content").cast("long").alias("size_bytes")), "cover_path")
+    tables["covers"] = stage("covers_now", stats.cover_references(sized, "cover_path", "size_bytes").select("cover_path", "reference_count", "size_bytes"))
+
+    scan_no = was["scans"].agg(F.coalesce(F.max("scan_no"), F.lit(0)).alias("m")).first().m + 1
+    tables["segments"] = segments
+    tables["sources"] = spark.range(1).select(F.lit(1).alias("id"), F.lit(source_print).alias("source_fingerprint"), F.lit(snapshot).alias("scan_id"), scan_time.alias("scan_time"))
+    tables["scan_warnings"] = _warnings(was["scan_warnings"], parsed, refused, placed, snapshot, scan_no)
+    counters = stage("counters", _counters(was, plan, removed, parsed, placed, segments, tables["locations"], scan_no, snapshot, scan_time))
+    tables["scans"] = was["scans"].unionByName(counters)
+    tables["statistics"] = stats.catalogue_statistics(tables["locations"], tables["covers"].select("size_bytes"))
+    if inpx.source_fingerprint(source) != source_print:
+        raise Rejected("the source changed while it was scanned")
+    store.publish(spark, root, snapshot, tables, [broken_rules], sort={"postings": "token"})
+    return store.table(spark, root, "scans", snapshot).filter(F.col("scan_no") == scan_no)
+
+
+#: A first scan and a next one differ in what is known before only.
+initial = rescan = scan
+
+
+def _searchable(books: DataFrame, book_authors: DataFrame, authors: DataFrame) -> DataFrame:
+    """books with their authors' names in one column."""
+    names = search.ordered_names(book_authors.join(authors, "normalized_name"), "book_id", ["ord"], "display_name", "author_names")
+    return books.join(names, "book_id", "left").withColumn("authors", F.array_join("author_names", " "))
+
+
+def _warnings(old: DataFrame, parsed: DataFrame, refused: DataFrame, placed: DataFrame, scan_id: str, scan_no: int) -> DataFrame:
+    """Warnings of the latest scans: the first MOST_WARNINGS of each, of WARNING_SCANS scans."""
+    entry = F.col("record.entry_name")
+    # rejected records bring their reason among their warnings
+    lines = parsed.select("segment_id", "line_no", F.when(F.col("reject_reason").isNull(), "record-warning").otherwise("record-rejected").alias("warning_code"), "archive_name", entry.alias("entry_name"), F.explode("warnings").alias("text"))
+    other = parsed.filter("reject_reason is null and not record.deleted and record.ext <> 'fb2'").select("segment_id", "line_no", F.lit("unsupported-format").alias("warning_code"), "archive_name", entry.alias("entry_name"), F.lit("format isn't supported").alias("text"))
+    payloads = refused.select("segment_id", "line_no", F.lit("payload-rejected").alias("warning_code"), "archive_name", F.col("entry").alias("entry_name"), F.col("payload_reject").alias("text"))
+    art = placed.filter("cover_diagnostic is not null").select("segment_id", "line_no", F.lit("cover").alias("warning_code"), "archive_name", "entry_name", F.col("cover_diagnostic").alias("text"))
+    every = lines.unionByName(other).unionByName(payloads).unionByName(art)
+    first = every.withColumns({"message": warning_message(F.col("archive_name"), F.col("entry_name"), F.col("text")), "scan_id": F.lit(scan_id)}).orderBy("segment_id", "line_no", "warning_code", "text").limit(MOST_WARNINGS)
+    own = model.cap_log(first.withColumn("_o", F.struct("segment_id", "line_no", "warning_code", "text")), "scan_id", "_o", MOST_WARNINGS, place="_n")
+    own = own.select((F.lit(scan_no * MOST_WARNINGS) + F.col("_n")).cast("long").alias("id"), "scan_id", "warning_code", "archive_name", "entry_name", "message")
+    kept = stats.retain_latest(old.unionByName(own), "scan_id", "id", WARNING_SCANS)
+    return kept.select("id", "scan_id", "warning_code", "archive_name", "entry_name", "message")
+
+
+def _counters(was: dict[str, DataFrame], plan: DataFrame, removed: DataFrame, parsed: DataFrame, placed: DataFrame, segments: DataFrame, locations: DataFrame, scan_no: int, scan_id: str, scan_time: Column) -> DataFrame:
+    """One row of counters of a scan."""
+    change = lambda kind: F.count_if(F.col("change") == kind)
+    requires = segments.select("segment_id", "requires_archive", "record_count")
+    planned = plan.join(requires, "segment_id").agg(
+        F.count("*").alias("_now"), change("added").alias("segments_added"), change("changed").alias("segments_changed"), change("unchanged").alias("segments_unchanged"),
+        F.count_if(F.col("requires_archive") & F.col("step").isin("parse", "same-manifest")).alias("archives_opened"), F.count_if(F.col("requires_archive") & (F.col("change") == "unchanged")).alias("archives_skipped"),
+        F.coalesce(F.sum("record_count"), F.lit(0)).alias("records_total"), F.coalesce(F.sum(F.when(F.col("change") == "unchanged", F.col("record_count"))), F.lit(0)).alias("records_reused"),
+    )
+    gone = removed.agg(F.count_if(F.col("availability") == AVAILABLE).alias("segments_removed"))
+    read = placed.agg(F.count("*").alias("records_parsed"), F.count_if("is_new").alias("records_added"), F.count_if(~F.col("is_new")).alias("records_updated"))
+    skipped = parsed.agg(F.count_if(F.col("reject_reason").isNotNull()).alias("records_skipped"))
+    flips = reconcile.flips(was["locations"].select("lib_id", "availability"), locations.select("lib_id", "availability")).select(F.col("retired").alias("marked_unavailable"), "restored")
+    fallbacks = stats.fallback_counters(placed, {n: F.col(f"{n}_fallback") for n in ("title", "author", "language")})
+    row = reduce(DataFrame.crossJoin, [planned, gone, read, skipped, flips, fallbacks])  # one row each
+    row = row.withColumns({"segments_total": F.col("_now") + F.col("segments_removed"), "scan_no": F.lit(scan_no).cast("long"), "scan_id": F.lit(scan_id), "scan_time": scan_time})
+    return row.select("scan_no", "scan_id", "scan_time", *[F.col(c).cast("long").alias(c) for c in COUNTERS])

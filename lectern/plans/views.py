@@ -7,6 +7,12 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators import search
+from lectern.storage import file_states, new_folder
+
+#: Stored indexes by folder and state of its files, for the life of the driver.
+_INDEXES: dict[tuple, str] = {}
+
 
 class Tables:
     """Tables of one folder, read when asked for."""
@@ -21,10 +27,19 @@ class Tables:
 
     @cached_property
     def books(self) -> DataFrame:
-        """A document is a book: its first line, cut at 80 characters, is the title."""
-        title = F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 80)
+        """A document is a book: its first line is the title."""
+        title = F.split_part("text", F.lit("\n"), F.lit(1))
         return self.documents.select(F.col("doc_id").alias("book_id"), title.alias("title"), F.col("lang").alias("language"), F.col("source").alias("publisher"), F.col("text").alias("description"), F.col("n_chars").alias("size_bytes"))
 
+    def postings(self) -> DataFrame:
+        """The stored search index of the books. It is written once for a state of the documents' files, as a snapshot's index is."""
+        key = (self.spark.sparkContext.applicationId, *file_states(self.spark, f"{self.sf_dir}/documents.parquet"))
+        if key not in _INDEXES:
+            path = new_folder(self.spark, "index")
+            search.write_postings(search.postings(self.books, "book_id", ["title", "description"]), path)
+            _INDEXES[key] = path
+        return self.spark.read.parquet(_INDEXES[key])
+
     @cached_property
     def book_genres(self) -> DataFrame:
         return self.part.select(F.col("p_partkey").alias("book_id"), F.col("p_type").alias("genre"))
@@ -77,7 +92,7 @@ class Tables:
 
 
 SQL = {
-    "books": "select doc_id as book_id, left(split_part(text, chr(10), 1), 80) as title, lang as language, source as publisher, text as description, n_chars as size_bytes from documents",
+    "books": "select doc_id as book_id, split_part(text, chr(10), 1) as title, lang as language, source as publisher, text as description, n_chars as size_bytes from documents",
     "parts": "select p_partkey as book_id, p_name as title, p_type as genre, p_brand as author, p_size as series_index from part",
     "book_authors": "select l_partkey as book_id, l_suppkey as author_id, min(l_linenumber) as author_order from lineitem group by 1, 2",
     "authors": "select s_suppkey as author_id, s_name as author, s_nationkey as nation from supplier",

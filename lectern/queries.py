@@ -11,6 +11,8 @@ from lectern.functions import fields as X
 from lectern.functions.text import normalize, sql_normalize, sql_text, sql_tokens, tokens
 from lectern.operators import model, quality, reconcile, search, stats
 from lectern.plans.views import Tables, with_views
+from lectern.sources import archives
+from lectern.storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,8 +52,8 @@ def search_scan(t: Tables) -> DataFrame:
 
 @query(f"select book_id from v_books where {_has(WORDS, 'th')} and {_has(WORDS, 'er')}", "books")
 def search_postings(t: Tables) -> DataFrame:
-    """Prefix search by the inverted index."""
-    return search.search_postings(search.postings(t.books, "book_id", ["title", "description"]), "book_id", ["th", "er"], ["description"])
+    """Prefix search by the stored inverted index."""
+    return search.search_postings(t.postings(), "book_id", ["th", "er"], ["description"])
 
 
 @query(f"select book_id from v_books where ({_has(TITLE_WORDS, 'an')} or {_has(sql_tokens('publisher'), 'an')}) and ({_has(TITLE_WORDS, 'src1')} or {_has(sql_tokens('publisher'), 'src1')})", "books")
@@ -60,10 +62,12 @@ def search_scopes(t: Tables) -> DataFrame:
     return search.match_tokens(t.books, "an, SRC1", ["title", "publisher"]).select("book_id")
 
 
-@query("select book_id from v_books where false", "books")
+@query(f"select book_id, '' as asked from v_books union all select book_id, 'sol' from v_books where {_has(TITLE_WORDS, 'sol')}", "books")
 def search_no_tokens(t: Tables) -> DataFrame:
-    """a text without tokens matches nothing."""
-    return search.match_tokens(t.books, "!!! — ???", ["title"]).select("book_id")
+    """no text matches all, a text without tokens nothing, any other what it says."""
+    asked = {"": "", "none": "; ... — %", "sol": " SÖL!"}
+    found = [search.match_tokens(t.books, text, ["title"]).select("book_id", F.lit(name).alias("asked")) for name, text in asked.items()]
+    return found[0].unionAll(found[1]).unionAll(found[2])
 
 
 @query(f"select book_id, len({WORDS}) as n, md5(array_to_string({WORDS}, ' ')) as digest from v_books", "books")
@@ -105,10 +109,10 @@ def point_lookup(t: Tables) -> DataFrame:
     return t.books.filter("book_id = 7").select("book_id", "title", "language", "publisher", "size_bytes")
 
 
-@query("select i.pos, b.book_id, b.title from (select row_number() over (order by l_orderkey desc, l_linenumber, l_partkey) as pos, l_partkey as book_id from lineitem where l_orderkey % 50 = 0) i join v_parts b using (book_id)", "parts")
+@query("select i.pos, b.book_id, b.title from (select row_number() over (order by l_orderkey desc, l_linenumber, l_partkey) as pos, l_partkey as book_id from lineitem) i join v_parts b using (book_id)", "parts")
 def batch_fetch(t: Tables) -> DataFrame:
     """books of a list, in its order."""
-    asked = t.lineitem.filter("l_orderkey % 50 = 0").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("book_id"))
+    asked = t.lineitem.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("book_id"))
     ids = search.ranked(asked, [F.desc("l_orderkey"), F.asc("l_linenumber"), F.asc("book_id")]).select("pos", "book_id")
     return search.fetch(ids, t.parts).select("pos", "book_id", "title")
 
@@ -185,12 +189,12 @@ def segment_diff(t: Tables) -> DataFrame:
     return reconcile.segment_changes(t.old_segments, t.new_segments, "segment_id", "fingerprint")
 
 
-@query("select d.doc_id, case when d.text like '%!!%' and p.p_name not like '%!!%' then p.p_name else left(d.text, 40) end as title, coalesce(nullif(d.lang, 'en'), p.p_type) as language, d.text like '%!!%' as title_fallback, d.lang = 'en' as language_fallback from documents d join part p on p.p_partkey = d.doc_id")
+@query("select d.doc_id, case when d.text like '%!!%' and p.p_name not like '%!!%' then p.p_name else d.text end as title, coalesce(nullif(d.lang, 'en'), p.p_type) as language, d.text like '%!!%' as title_fallback, d.lang = 'en' as language_fallback from documents d join part p on p.p_partkey = d.doc_id")
 def field_fallback(t: Tables) -> DataFrame:
     """A payload's field, or the record's where it is unusable, with flags."""
     both = t.documents.join(t.part, F.col("p_partkey") == F.col("doc_id"))
     bad = F.contains("text", F.lit("!!"))
-    title = F.when(bad & ~F.contains("p_name", F.lit("!!")), F.col("p_name")).otherwise(F.substring("text", 1, 40))
+    title = F.when(bad & ~F.contains("p_name", F.lit("!!")), F.col("p_name")).otherwise(F.col("text"))
     return both.select("doc_id", title.alias("title"), F.coalesce(F.nullif("lang", F.lit("en")), "p_type").alias("language"), bad.alias("title_fallback"), (F.col("lang") == "en").alias("language_fallback"))
 
 
@@ -206,13 +210,13 @@ def latest_scan_warnings(t: Tables) -> DataFrame:
 @query(f"select count(*) as n from v_books where {_has(WORDS, 'un')}", "books")
 def result_count(t: Tables) -> DataFrame:
     """A1."""
-    return search.match_tokens(t.books, "un", ["description"]).agg(F.count("*").alias("n"))
+    return search.search_postings(t.postings(), "book_id", ["un"], ["description"]).agg(F.count("*").alias("n"))
 
 
 @query(f"select language, count(*) as n, row_number() over (order by translate(language, {UP}, {LOW}), language) as pos from v_books where {_has(WORDS, 'on')} and language <> '' group by language", "books")
 def language_facet(t: Tables) -> DataFrame:
     """A2, O7."""
-    return search.facet(search.match_tokens(t.books, "on", ["description"]), "language", "book_id")
+    return search.facet(search.search_postings(t.postings(), "book_id", ["on"], ["description"]).join(t.books.select("book_id", "language"), "book_id"), "language", "book_id")
 
 
 @query(f"select genre, count(distinct book_id) as n, row_number() over (order by translate(genre, {UP}, {LOW}), genre) as pos from v_parts where {_has(TITLE_WORDS, 's')} group by genre", "parts")
@@ -224,9 +228,9 @@ def genre_facet(t: Tables) -> DataFrame:
 @query(f"select 'total' as kind, '' as value, count(*) as n from v_books where {_has(WORDS, 'th')} and publisher in ('src1') and language in ('en') union all select 'language', language, count(*) from v_books where {_has(WORDS, 'th')} and publisher in ('src1') group by 2 union all select 'publisher', publisher, count(*) from v_books where {_has(WORDS, 'th')} and language in ('en') group by 2", "books")
 def facet_bundle(t: Tables) -> DataFrame:
     """A4: the total and each facet without its own filter, over one text match."""
-    found = search.match_tokens(t.books, "th", ["description"]).select("book_id", "language", "publisher")
+    found = search.search_postings(t.postings(), "book_id", ["th"], ["description"]).join(t.books.select("book_id", "language", "publisher"), "book_id")
     one, two = F.col("publisher") == "src1", F.col("language") == "en"
-    counts = found.groupBy("language", "publisher").agg(F.count("*").alias("n")).persist()
+    counts = cut(found.groupBy("language", "publisher").agg(F.count("*").alias("n")), "facets")
     total = counts.agg(F.lit("total").alias("kind"), F.lit("").alias("value"), F.coalesce(F.sum(F.when(one & two, F.col("n"))), F.lit(0)).cast("long").alias("n"))
     first = counts.filter(one).groupBy(F.lit("language").alias("kind"), F.col("language").alias("value")).agg(F.sum("n").alias("n"))
     return total.unionAll(first).unionAll(counts.filter(two).groupBy(F.lit("publisher").alias("kind"), F.col("publisher").alias("value")).agg(F.sum("n").alias("n")))
@@ -283,8 +287,8 @@ def scan_counters(t: Tables) -> DataFrame:
 @query("select count(*) filter (text like '%!!%') as title_fallbacks, count(*) filter (lang = 'en') as language_fallbacks, count(*) filter (text like '%!!%' or lang = 'en') as books_with_fallback from documents")
 def fallback_counters(t: Tables) -> DataFrame:
     """A13."""
-    bad, lang = F.contains("text", F.lit("!!")), F.col("lang") == "en"
-    return t.documents.agg(F.count_if(bad).alias("title_fallbacks"), F.count_if(lang).alias("language_fallbacks"), F.count_if(bad | lang).alias("books_with_fallback"))
+    flags = {"title": F.contains("text", F.lit("!!")), "language": F.col("lang") == "en"}
+    return stats.fallback_counters(t.documents, flags)
 
 
 @query("select l_orderkey, sha256(string_agg(strlen(name)::varchar || ':' || name || ':' || l_quantity::bigint::varchar || ':' || l_suppkey::varchar || chr(10), '' order by name, l_quantity::bigint, l_suppkey)) as fingerprint from (select *, 'entry' || l_linenumber::varchar as name from lineitem) group by 1")
@@ -422,18 +426,18 @@ def merge_books(t: Tables) -> DataFrame:
     return model.merge_books(base.filter("segment_id % 10 <> 0"), new, "segment_id", ["price"], F.lit("2026-01-01").cast("timestamp"))
 
 
-@query(f"select n as normalized_name, arg_min(text, doc_id) as display_name from (select left(text, 12) as text, doc_id, {sql_normalize('left(text, 12)')} as n from documents) where n <> '' group by 1")
+@query(f"select n as normalized_name, arg_min(text, doc_id) as display_name from (select text, doc_id, {sql_normalize('text')} as n from documents) where n <> '' group by 1")
 def resolve_dimension(t: Tables) -> DataFrame:
     """K5: the first display name of each key wins."""
-    names = t.documents.select(F.substring("text", 1, 12).alias("name"), "doc_id")
+    names = t.documents.select(F.col("text").alias("name"), "doc_id")
     old = names.select(F.lit("").alias("normalized_name"), F.lit("").alias("display_name")).limit(0)
     return model.resolve_dimension(old, names, "doc_id")
 
 
-@query(f"select doc_id, normalized_name, min(ord)::int as ord from (select doc_id, {sql_normalize('w.name')} as normalized_name, w.ord - 1 as ord from (select doc_id, unnest(list_zip(string_split(left(text, 200), ' '), range(1, 1 + len(string_split(left(text, 200), ' ')))), recursive := false) as z from documents) x, lateral (select z[1] as name, z[2] as ord) w) where normalized_name <> '' group by 1, 2")
+@query(f"select doc_id, normalized_name, min(ord)::int as ord from (select doc_id, {sql_normalize('w.name')} as normalized_name, w.ord - 1 as ord from (select doc_id, unnest(list_zip(string_split(text, ' '), range(1, 1 + len(string_split(text, ' ')))), recursive := false) as z from documents) x, lateral (select z[1] as name, z[2] as ord) w) where normalized_name <> '' group by 1, 2")
 def bridge_rows(t: Tables) -> DataFrame:
-    """K6: names of the list of a title's words."""
-    return model.bridge(t.documents.select("doc_id", F.split(F.substring("text", 1, 200), " ").alias("names")), "doc_id", "names")
+    """K6: names of the list of a text's words."""
+    return model.bridge(t.documents.select("doc_id", F.split("text", " ").alias("names")), "doc_id", "names")
 
 
 @query("select book_id, author_id from v_book_authors where book_id % 3 <> 0 union all select book_id, author_id + 1000000 from v_book_authors where book_id % 3 = 0", "book_authors")
@@ -499,26 +503,22 @@ def text_lines(t: Tables) -> DataFrame:
 @query("select event_type as archive_name, row_number() over (order by min(event_id))::int as pos from events group by 1 qualify pos <= 3")
 def archive_sample(t: Tables) -> DataFrame:
     """The first three distinct names, in order."""
-    own = t.events.groupBy(F.col("event_type").alias("archive_name")).agg(F.min("event_id").alias("o")).orderBy("o").limit(3)
-    return own.select("archive_name", F.row_number().over(Window.orderBy("o")).alias("pos"))
+    return archives.first_names(t.events.select(F.col("event_type").alias("archive"), "event_id"), "event_id", 3).select(F.col("archive").alias("archive_name"), "pos")
 
 
-@query("select sample, arg_max(candidate, (found, -candidate)) as root, max(found) as found from (select s.s_nationkey as candidate, p.p_size as sample, count(*) filter (s.s_suppkey % 50 < p.p_size) as found from supplier s, (select distinct p_size from part) p group by 1, 2) group by 1")
+@query("select c.n_nationkey as candidate, count(distinct s_suppkey % 50) filter (s_suppkey % 50 in (select p_size from part)) as found from nation c left join supplier s on s.s_nationkey = c.n_nationkey group by 1 order by found desc, candidate limit 1")
 def candidate_roots(t: Tables) -> DataFrame:
-    """The candidate that holds most samples; the first of equals."""
-    kinds = t.part.select(F.col("p_size").alias("sample")).distinct()  # the samples asked for: fifty sizes
-    found = t.supplier.join(F.broadcast(kinds), F.col("s_suppkey") % 50 < F.col("sample"), "right").groupBy(F.col("s_nationkey").alias("candidate"), "sample").agg(F.count("s_suppkey").alias("found"))
-    every = t.supplier.select(F.col("s_nationkey").alias("candidate")).distinct()
-    best = found.filter("candidate is not null").groupBy("sample").agg(F.max_by(F.struct("candidate", "found"), F.struct("found", -F.col("candidate"))).alias("b"))
-    least = F.broadcast(every.agg(F.min("candidate").alias("_first")))
-    return kinds.join(best, "sample", "left").join(least).select("sample", F.coalesce("b.candidate", "_first").alias("root"), F.coalesce("b.found", F.lit(0)).alias("found"))
+    """The candidate that holds most of the samples; the first of equals."""
+    samples = t.part.select(F.col("p_size").cast("long").alias("archive")).distinct()  # fifty sizes
+    candidates = t.nation.select(F.col("n_nationkey").alias("candidate"), F.col("n_nationkey").alias("ord"))
+    return archives.best_root(samples, candidates, t.supplier.select(F.col("s_nationkey").alias("candidate"), (F.col("s_suppkey") % 50).alias("archive")))
 
 
-@query("select l_partkey, arg_min(l_suppkey, (case when l_linenumber = 1 then 0 else 1 end, l_suppkey)) as folder from lineitem group by 1")
+@query("select p_partkey as archive, (select min(case when l_linenumber = 1 then '' else 'f' || l_suppkey end) from lineitem where l_partkey = p_partkey) as folder from part")
 def archive_resolution(t: Tables) -> DataFrame:
     """The root's own file first, else the first folder in order."""
-    place = F.struct(F.when(F.col("l_linenumber") == 1, 0).otherwise(1).alias("p"), F.col("l_suppkey").alias("folder"))
-    return t.lineitem.groupBy("l_partkey").agg(F.min(place).alias("m")).select("l_partkey", F.col("m.folder").alias("folder"))
+    folder = F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit("f"), F.col("l_suppkey").cast("string")))
+    return archives.resolve_archives(t.part.select(F.col("p_partkey").alias("archive")), t.lineitem.select(F.col("l_partkey").alias("archive"), folder.alias("folder")))
 
 
 @query(f"select doc_id, md5({sql_normalize('text')}) as digest from documents")
@@ -579,10 +579,10 @@ def genre_names(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", X.resolve_genre(raw, names).alias("g")).select("p_partkey", F.col("g.known").alias("known"), F.col("g.name").alias("genre"))
 
 
-@query("select doc_id, array_to_string(list_filter(list_transform(string_split(left(text, 300), ','), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> ''), '|') as genres from documents")
+@query("select doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> ''), '|') as genres from documents")
 def split_genres(t: Tables) -> DataFrame:
     """T14."""
-    return t.documents.select("doc_id", F.array_join(X.split_genres(F.array(F.substring("text", 1, 300))), "|").alias("genres"))
+    return t.documents.select("doc_id", F.array_join(X.split_genres(F.array("text")), "|").alias("genres"))
 
 
 @query("select c_custkey, case when c_custkey % 4 = 3 then null else concat_ws(' ', 'First', case when c_custkey % 4 = 2 then 'Middle' end, c_name) end as display from customer")
@@ -615,10 +615,11 @@ def archive_names(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.archive_name(F.col("url")).alias("archive"), X.entry_name(F.col("page_id").cast("string"), F.lit("")).alias("entry"))
 
 
-@query("select page_id, not contains(url, '..') and page_id % 3 <> 0 as safe from pages")
+@query("select page_id, not contains(url, '..') and page_id % 4 <> 0 as safe from pages")
 def safe_paths(t: Tables) -> DataFrame:
-    """T24."""
-    path = F.concat(F.when(F.col("page_id") % 3 == 0, "../").otherwise("a/"), F.regexp_replace("url", "^https?://", ""))
+    """What leaves the root isn't safe; what goes up and stays below it is."""
+    lead = F.when(F.col("page_id") % 4 == 0, "../").when(F.col("page_id") % 4 == 1, "a/../").when(F.col("page_id") % 4 == 2, "./b/../c/").otherwise("a/")
+    path = F.concat(lead, F.regexp_replace("url", "^https?://", ""))
     return t.pages.select("page_id", X.is_safe_path(path).alias("safe"))
 
 
@@ -629,10 +630,14 @@ def timestamps(t: Tables) -> DataFrame:
     return t.events.select("event_id", stamp.alias("stamp"), X.parse_time(stamp).alias("parsed"))
 
 
-@query("select doc_id, coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(left(text, 60), '[\\\\/:*?\"<>|\\x01-\\x1F]', '_', 'g'), ' +$', ''), 60), ' +$', ''), ''), 'book') as name from documents")
+_SAFE = "regexp_replace(regexp_replace(text, '[\\\\/:*?\"<>|\\x01-\\x1F]', '_', 'g'), ' +$', '')"
+_CUT = ", ".join(f"try(decode(encode(s)[1:{n}]))" for n in (240, 239, 238, 237))
+
+
+@query(f"select doc_id, coalesce(nullif(regexp_replace(case when strlen(s) > 240 then coalesce({_CUT}) else s end, ' +$', ''), ''), 'book') as name from (select doc_id, {_SAFE} as s from documents)")
 def file_names(t: Tables) -> DataFrame:
-    """T29."""
-    return t.documents.select("doc_id", X.safe_file_name(F.substring("text", 1, 60), 240, "book").alias("name"))
+    """The cut at 240 bytes is the feature."""
+    return t.documents.select("doc_id", X.safe_file_name(F.col("text"), 240, "book").alias("name"))
 
 
 @query("select l_orderkey, l_linenumber, case when l_linenumber = 7 then 0 else least(99, floor(l_linenumber * 100 / 6))::int end as percent from lineitem")
@@ -753,7 +758,8 @@ def latest_progress(t: Tables) -> DataFrame:
 @query(f"select book_id, title, language, pos, (select count(*) from v_books where {_has(WORDS, 'th')} and language in ('en', 'de')) as total from (select *, row_number() over (order by {NORM_TITLE}, title, book_id) as pos from v_books where {_has(WORDS, 'th')} and language in ('en', 'de')) where pos <= 50", "books")
 def search_page(t: Tables) -> DataFrame:
     """Flagship: a page of search results with the total."""
-    found = search.filter_languages(search.match_tokens(t.books, "th", ["description"]), ["en", "de"]).select("book_id", "title", "language").persist()
+    hits = search.search_postings(t.postings(), "book_id", ["th"], ["description"])
+    found = cut(search.filter_languages(t.books, ["en", "de"]).select("book_id", "title", "language").join(hits, "book_id"), "found")
     total = F.broadcast(found.agg(F.count("*").alias("total")))  # one row
     top = search.page(found, search.order_of("title"), 0, 50)
     return top.crossJoin(total).select("book_id", "title", "language", F.col("pos").cast("long").alias("pos"), "total")

@@ -6,7 +6,7 @@ import zipfile
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -14,6 +14,8 @@ from .inpx import open_file
 
 #: Payloads of more bytes are refused.
 MAX_PAYLOAD = 250 << 20
+#: Archives of more entries, or of more bytes once unpacked, are refused.
+MAX_ENTRIES, MAX_UNPACKED = 1_000_000, 1 << 40
 
 
 class _Archive(InputPartition):
@@ -24,14 +26,20 @@ class _Archive(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options["path"].split(",") if p]
+        self.entries, self.unpacked = int(options.get("maxEntries", MAX_ENTRIES)), int(options.get("maxBytes", MAX_UNPACKED))
         self.validate = str(options.get("validate", "false")).lower() == "true"
 
     def partitions(self):
         return [_Archive(p) for p in self.paths]
 
     def read(self, partition):
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         with open_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            for i in z.infolist():
+            found = z.infolist()
+            if len(found) > self.entries or sum(i.file_size for i in found) > self.unpacked:
+                raise ValueError(f"{partition.path} has over {self.entries} entries or {self.unpacked} bytes")
+            for i in found:
                 seen, crc = None, None
                 if self.validate:
                     seen, crc = 0, 0
@@ -39,7 +47,7 @@ class _Reader(DataSourceReader):
                         with z.open(i) as payload:
                             while part := payload.read(1 << 20):
                                 seen, crc = seen + len(part), zlib.crc32(part, crc)
-                    except zipfile.BadZipFile:
+                    except (zipfile.BadZipFile, zlib.error, EOFError):
                         crc = None
                 yield partition.path, i.filename, i.file_size, i.CRC, seen, None if not self.validate else crc == i.CRC and seen == i.file_size
 
@@ -47,7 +55,7 @@ class _Reader(DataSourceReader):
 class ZipManifest(DataSource):
     """format("zip_manifest"): name, size and CRC of each entry from the central directory; a task for each archive.
 
-    Option validate also reads every payload and tells whether its length and CRC hold.
+    Option validate also reads every payload and tells whether its length and CRC hold; maxEntries and maxBytes bound an archive.
     """
 
     @classmethod
@@ -66,9 +74,9 @@ def manifests(spark: SparkSession, paths: list[str], validate: bool = False) ->
     return spark.read.format("zip_manifest").option("validate", validate).load(",".join(paths))
 
 
-def file_states(spark: SparkSession, pattern: str) -> DataFrame:
-    """(path, size, modified) of files; their content isn't read."""
-    return spark.read.format("binaryFile").load(pattern).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+def file_states(spark: SparkSession, root: str) -> DataFrame:
+    """(path, size, modified) of the archives under root; their content isn't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def _payloads(batches):
@@ -92,6 +100,12 @@ def payloads(wanted: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_payloads, "archive string, entry string, content binary")
 
 
+def first_names(names: DataFrame, order: str, most: int) -> DataFrame:
+    """(archive, pos): the first distinct archives in the order of their first rows; a bounded sample (S5). names: (archive, order)."""
+    first = names.groupBy("archive").agg(F.min(order).alias("_o")).orderBy("_o").limit(most)
+    return first.select("archive", F.row_number().over(Window.orderBy("_o")).alias("pos"))
+
+
 def best_root(samples: DataFrame, candidates: DataFrame, listing: DataFrame) -> DataFrame:
     """(candidate, found): the folder that holds most of the sampled archives; the first of equals.
 

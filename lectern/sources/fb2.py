@@ -29,8 +29,8 @@ def limit_reason(part: Column) -> Column:
     )
 
 
-def parse(payloads: DataFrame, content: str = "content") -> DataFrame:
-    """payloads with book, a struct of metadata, and reject_reason; one of them is null."""
+def parse(payloads: DataFrame, content: str = "content", require_title: bool = True) -> DataFrame:
+    """payloads with book, a struct of metadata, and reject_reason; one of them is null. Without require_title a book's title may be null."""
     decoded = payloads.withColumn("_d", decode_declared(F.col(content)))
     own = decoded.withColumns({"_text": F.col("_d.text"), "_part": description(F.col("_d.text"))}).withColumn("_limit", limit_reason(F.col("_part")))
     bare = F.regexp_replace(F.regexp_replace("_part", r"<(/?)[\w.-]+:", "<$1"), r"\s[\w.-]+:(\w+)\s*=", " $1=")
@@ -62,7 +62,7 @@ def parse(payloads: DataFrame, content: str = "content") -> DataFrame:
     reason = (
         F.when(F.col("_text").isNull(), "text can't be decoded")
         .when(F.col("_part").isNull(), "no description")
-        .otherwise(F.coalesce("_limit", F.when(F.col("_x").isNull() | info.isNull(), "metadata is not well formed"), F.when(title.isNull(), "no title")))
+        .otherwise(F.coalesce("_limit", F.when(F.col("_x").isNull() | info.isNull(), "metadata is not well formed"), F.when(title.isNull() & F.lit(require_title), "no title")))
     )
     out = own.withColumn("reject_reason", reason)
     return out.withColumn("book", F.when(F.col("reject_reason").isNull(), book)).drop("_d", "_part", "_limit", "_x")

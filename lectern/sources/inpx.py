@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import re
 import zipfile
 
@@ -18,6 +19,8 @@ from lectern.functions.text import decode_legacy, is_valid_utf8
 # Fixed values of the format.
 SEPARATOR, FIELDS = "\u0004", 15
 MAX_ENTRY, MAX_LINE = 128 << 20, 1 << 20
+#: Bytes of all entries of a source.
+MAX_SOURCE = 16 << 30
 MAX_AUTHORS, MAX_LIST, MAX_EXTENSION = 256, 512, 32
 
 SEGMENT_SCHEMA = "inp_entry_name string, archive_name string, segment_order long, fingerprint string, content binary"
@@ -27,7 +30,9 @@ def open_file(uri: str):
     """A seekable file of any store that pyarrow knows."""
     uri = re.sub("^file:/+", "/", uri)
     fs, path = pafs.FileSystem.from_uri(uri)
-    return fs.open_input_file(path)
+    f = fs.open_input_file(path)
+    # zipfile looks for a file's end beyond the start of very small ones
+    return io.BytesIO(f.read()) if f.size() < 1 << 16 else f
 
 
 class _Entry(InputPartition):
@@ -37,16 +42,21 @@ class _Entry(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.most = options["path"], int(options.get("maxEntryBytes", MAX_ENTRY))
+        self.path, self.most, self.total = options["path"], int(options.get("maxEntryBytes", MAX_ENTRY)), int(options.get("maxSourceBytes", MAX_SOURCE))
+        self.only = json.loads(options["entries"]) if "entries" in options else None
 
     def partitions(self):
         with open_file(self.path) as f, zipfile.ZipFile(f) as z:
             names = [i for i in z.infolist() if i.filename.lower().endswith(".inp")]
         if large := [i.filename for i in names if i.file_size > self.most]:
             raise ValueError(f"entries over {self.most} bytes: {large}")
-        return [_Entry(i.filename, k) for k, i in enumerate(names)]
+        if sum(i.file_size for i in names) > self.total:
+            raise ValueError(f"the source's entries have over {self.total} bytes")
+        return [_Entry(i.filename, k) for k, i in enumerate(names) if self.only is None or i.filename in self.only]
 
     def read(self, partition):
+        if partition is None:  # what Spark asks for where there are no partitions
+            return
         with open_file(self.path) as f, zipfile.ZipFile(f) as z:
             content = z.read(partition.name)
         base = re.sub(r"(?i)\.inp$", "", re.split(r"[/\\]", partition.name)[-1])
@@ -54,7 +64,10 @@ class _Reader(DataSourceReader):
 
 
 class InpxSource(DataSource):
-    """format("inpx"): a row for each `*.inp` entry of a ZIP, in its order; a task for each. A damaged entry fails."""
+    """format("inpx"): a row for each `*.inp` entry of a ZIP, in its order; a task for each. A damaged entry fails.
+
+    Options: entries, a JSON list of the names to read; maxEntryBytes, maxSourceBytes.
+    """
 
     @classmethod
     def name(cls):
@@ -67,9 +80,20 @@ class InpxSource(DataSource):
         return _Reader(self.options)
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
+def read_segments(spark: SparkSession, path: str, entries: list[str] | None = None) -> DataFrame:
+    """All segments of a source, or those of the given names."""
     spark.dataSource.register(InpxSource)
-    return spark.read.format("inpx").load(path)
+    reader = spark.read.format("inpx")
+    return (reader if entries is None else reader.option("entries", json.dumps(entries))).load(path)
+
+
+def source_fingerprint(path: str) -> str:
+    """Hash of a source's file, read in blocks."""
+    found = hashlib.sha256()
+    with open_file(path) as f:
+        while block := f.read(1 << 20):
+            found.update(block)
+    return "sha256:" + found.hexdigest()
 
 
 def decode(content: Column) -> Column:
@@ -135,10 +159,10 @@ def records(rows: DataFrame) -> DataFrame:
     return out.withColumns({"record": F.when(ok, record), "warnings": F.when(ok, ignored).otherwise(F.array("reject_reason"))})
 
 
-def parse_all(spark: SparkSession, path: str) -> DataFrame:
-    """Records and rejects of all segments of a source."""
+def parse_all(spark: SparkSession, path: str, entries: list[str] | None = None) -> DataFrame:
+    """Records and rejects of all segments of a source, or of those of the given names."""
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    segments = read_segments(spark, path).withColumn("text", decode(F.col("content"))).drop("content")
+    segments = read_segments(spark, path, entries).withColumn("text", decode(F.col("content"))).drop("content")
     return records(lines(segments, "text"))
 
 

@@ -33,6 +33,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, size, time) of a file, or of the files in a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
