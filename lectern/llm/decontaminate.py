@@ -44,7 +44,7 @@ LANES = 1024
 #: Items of one pass over the documents; more items take more passes, so what is sent to the tasks stays bounded.
 ITEMS_PER_PASS = 50_000
 #: The same for the bytes of their texts, as each word of an item has walks.
-BYTES_PER_PASS = 2 << 20
+BYTES_PER_PASS = 4 << 20
 
 _SEED = np.random.default_rng(20240229)
 #: A step's random table: a character c moves on if the top bit of factor * c + shift (in a byte) is set.

@@ -259,7 +259,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, shards: int | None = N
     own = docs.select(F.col("doc_id").cast("long"), "text")
     size = own.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     count = shards or max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
-    dealt = own.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id")
+    # an id that very many rows repeat may go over several shards; rows of one id lie in the order of their texts, whatever the attempt
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    dealt = own.repartitionByRange(count, *order[:2]).sortWithinPartitions(*order)
     map_batches(dealt, _writer(path, folder), "shard int, name string, docs long, ids long, first long, last long, kind string").write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -297,11 +299,19 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, folder: str, doc_id: int, copy: int = 0) -> list[int] | None:
-    """The ids of one document: the manifest's ranges tell its shard, the perfect hash its place; None where it isn't held."""
+    """The ids of one document: the manifest's ranges tell its shard, the perfect hash its place; None where it isn't held.
+
+    copy tells rows that repeat the id apart, in the order of the files, which may hold some of them each.
+    """
     fs, where = pafs.FileSystem.from_uri(folder)
-    for r in spark.read.parquet(f"{folder}/manifest").filter((F.col("first") <= doc_id) & (F.col("last") >= doc_id)).collect():
+    found = spark.read.parquet(f"{folder}/manifest").filter((F.col("first") <= doc_id) & (F.col("last") >= doc_id)).collect()
+    for r in sorted(found, key=lambda r: r.shard):
         with fs.open_input_file(f"{where}/{r.name}.mph") as f:
-            offset, count = ShardIndex(f.read()).find(np.array([doc_id], np.int64), np.array([copy]))
+            index = ShardIndex(f.read())
+        offset, count = index.find(np.array([doc_id], np.int64), np.array([copy]))
+        if count[0] < 0:
+            copy -= int(((index.parts["ids"] == doc_id) & (index.parts["known"] == 1)).sum())
+            continue
         if count[0] >= 0:
             kind = np.dtype(f"<{r.kind}")
             with fs.open_input_file(f"{where}/{r.name}.{r.kind}") as f:

@@ -83,3 +83,19 @@ def test_pipeline_of_edge_cases(spark, edge, empty, folder):
         assert len(ids) == len(set(ids)) and set(ids) <= {r.doc_id for r in docs.collect()}
         assert all(r.n_tokens == 0 for r in rows if r.doc_id in (3, 4))
     assert not rows
+
+
+def test_an_id_over_several_shards(spark, folder):
+    """Half of the rows share an id; their copies are found in the order of the files."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    docs = spark.createDataFrame([(7 if k % 2 else k, f"text number {k}") for k in range(400)], "doc_id long, text string")
+    uri = f"file://{folder}/t"
+    manifest = tokenfile.write_tokens(docs, PATH, uri, 8).collect()
+    assert max(r.docs for r in manifest) < 150 and sum(r["first"] == 7 or r["last"] == 7 for r in manifest) > 1
+    rows = sorted(tokenfile.read_tokens(spark, uri).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in docs.collect())
+    copies = [tokenfile.lookup(spark, uri, 7, k) for k in (0, 100, 199, 200)]
+    texts = {tuple([*library.encode(r.text, add_special_tokens=False).ids, 0]) for r in docs.filter("doc_id = 7").collect()}
+    assert copies[3] is None and len({tuple(c) for c in copies[:3]}) == 3 and all(tuple(c) in texts for c in copies[:3])
