@@ -14,6 +14,8 @@ from lectern.functions.fields import LOWER, UPPER
 from lectern.functions.text import normalize, tokens
 from lectern.storage import cut
 
+#: Rows that one task may rank for a page.
+NEAR_PAGES = 10_000
 FIELDS = ("title", "authors", "description")
 
 
@@ -152,7 +154,9 @@ def order_of(sort: str, ascending: bool = True, title: str = "title", key: str =
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """The rows of a page with `pos` from 1. Only offset + limit rows are ranked."""
+    """The rows of a page with `pos` from 1. Up to NEAR_PAGES only offset + limit rows are ranked, in one task; pages further on are cut from the whole ranking."""
+    if offset + limit > NEAR_PAGES:
+        return ranked(df, order).filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit))
     top = df.orderBy(*order).limit(offset + limit)
     place = F.row_number().over(Window.orderBy(*order))
     return top.withColumn("pos", place).filter(F.col("pos") > offset)

@@ -26,3 +26,11 @@ def test_places_are_one_to_n(spark, parts):
         assert (row.n, row.least, row.most) == (n, 1001, 1000 + n)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_far_pages_equal_near_ones(spark, monkeypatch):
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey", "o_totalprice")
+    order = [F.asc("o_totalprice"), F.asc("o_orderkey")]
+    near = [tuple(r) for r in search.page(orders, order, 700, 50).orderBy("pos").collect()]
+    monkeypatch.setattr(search, "NEAR_PAGES", 100)
+    assert [tuple(r) for r in search.page(orders, order, 700, 50).orderBy("pos").collect()] == near and len(near) == 50
