@@ -1,6 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (operator 2).
 
-A code has a bit for each dimension, in words of 64 bits, and is cut into pieces, SEGMENTS to a word. If two codes differ in at most r bits, some piece differs in at most
+A code has a bit for each dimension, in words of 64 bits, and is cut into pieces: five to a word, or four longer ones from
+MANY codes on, so that the codes that share a piece's value grow less than the table. If two codes differ in at most r bits, some piece differs in at most
 floor(r / pieces). So with all pieces searched up to radius s, every code within pieces * (s + 1) - 1 bits is found.
 The radius grows round by round, for the queries alone whose k-th verified neighbour is not yet within that bound.
 
@@ -18,15 +19,19 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 BITS = 64
-SEGMENTS = 5
+#: From so many codes on, pieces have 16 bits instead of 13. Balls of longer ones would be too large for queries far from all codes.
+MANY = 1 << 18
 K = 10
 #: Every row whose id is divisible by this is a query.
 QUERY_STEP = 20
 #: Codes of a block, about.
 BLOCK = 256
 
-#: (first bit, bits) of each piece.
-PIECES = [(BITS * i // SEGMENTS, BITS * (i + 1) // SEGMENTS - BITS * i // SEGMENTS) for i in range(SEGMENTS)]
+
+def pieces_of(words: int, codes: int) -> list[tuple[int, int, int]]:
+    """(word, first bit, bits) of each piece."""
+    n = 5 if codes < MANY else 4
+    return [(w, BITS * i // n, BITS * (i + 1) // n - BITS * i // n) for w in range(words) for i in range(n)]
 
 
 def code_of(embedding: Column, words: int = 1) -> Column:
@@ -42,9 +47,9 @@ def _distance(one: Column, other: Column, words: int) -> Column:
     return sum((F.bit_count(one[k].bitwiseXOR(other[k])) for k in range(1, words)), F.bit_count(one[0].bitwiseXOR(other[0])))
 
 
-def _piece(code: Column, i: int) -> Column:
-    first, size = PIECES[i % SEGMENTS]
-    return F.shiftrightunsigned(code[i // SEGMENTS], first).bitwiseAND(F.lit((1 << size) - 1)).cast("int")
+def _piece(code: Column, piece: tuple[int, int, int]) -> Column:
+    word, first, size = piece
+    return F.shiftrightunsigned(code[word], first).bitwiseAND(F.lit((1 << size) - 1)).cast("int")
 
 
 def _ball(size: int, radius: int) -> list[int]:
@@ -57,9 +62,9 @@ def _least(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_r") <= k).drop("_r")
 
 
-def _postings(classes: DataFrame, pieces: int) -> DataFrame:
+def _postings(classes: DataFrame, pieces: list[tuple[int, int, int]]) -> DataFrame:
     """(piece, value, entries): blocks of codes that share a piece's value, each code with its least id."""
-    rows = classes.select("code", "least", F.explode(F.array(*[F.struct(F.lit(i).alias("piece"), _piece(F.col("code"), i).alias("value")) for i in range(pieces)])).alias("p")).select("code", "least", "p.*")
+    rows = classes.select("code", "least", F.explode(F.array(*[F.struct(F.lit(i).alias("piece"), _piece(F.col("code"), p).alias("value")) for i, p in enumerate(pieces)])).alias("p")).select("code", "least", "p.*")
     blocks = rows.groupBy("piece", "value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # Spark takes exploded rows to be as few as their source, so joins of them must be kept from broadcasting them
     salted = rows.hint("merge").join(blocks, ["piece", "value"]).withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")))
@@ -75,7 +80,7 @@ def search(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
     """
     longest = vectors.agg(F.max(F.size("embedding")).alias("n")).first().n or 0
     words = max(1, -(-longest // BITS))
-    pieces, bits = words * SEGMENTS, words * BITS
+    bits = words * BITS
     coded = vectors.filter("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long"), code_of(F.col("embedding"), words).alias("code"))
     made = []
 
@@ -86,20 +91,20 @@ def search(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame:
     coded = kept(coded.groupBy("vec_id").agg(F.min("code").alias("code")), "codes")
     near = _least(coded, "code", [F.col("vec_id")], k + 1)
     classes = kept(near.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("least", F.col("ids")[0]), "classes")
+    pieces = pieces_of(words, classes.count())
     postings = kept(_postings(classes, pieces), "postings")
     queries = coded.filter(F.col("vec_id") % step == 0)
     pending = kept(queries.select(F.col("code").alias("query")).distinct(), "pending")
     found, radius = None, 0
     if coded.limit(k + 1).count() <= k:  # every row is in every answer: the widest search at once
-        radius = max(size for _, size in PIECES) - 1
+        radius = max(size for _, _, size in pieces) - 1
     while not pending.isEmpty():
-        bound = pieces * (radius + 1) - 1
+        bound = len(pieces) * (radius + 1) - 1
         probes = None
-        for i in range(pieces):
-            size = PIECES[i % SEGMENTS][1]
+        for i, piece in enumerate(pieces):
             # one literal, which Spark folds to a constant array
-            ball = F.explode(F.split(F.lit(",".join(map(str, _ball(size, radius)))), ",").cast("array<int>")).alias("flip")
-            own = pending.select("query", _piece(F.col("query"), i).alias("own"), ball)
+            ball = F.explode(F.split(F.lit(",".join(map(str, _ball(piece[2], radius)))), ",").cast("array<int>")).alias("flip")
+            own = pending.select("query", _piece(F.col("query"), piece).alias("own"), ball)
             own = own.select("query", F.lit(i).alias("piece"), F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
             probes = own if probes is None else probes.unionAll(own)
         measured = F.transform("entries", lambda e: F.struct(_distance(e["code"], F.col("query"), words).alias("distance"), e["least"].alias("least"), e["code"].alias("code")))

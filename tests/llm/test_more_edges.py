@@ -23,7 +23,7 @@ def test_shards_of_repeated_keys_and_clashing_names(spark, folder):
     assert back.groupBy("row.doc_id").agg(F.count_distinct("depth", "prefix").alias("n")).filter("n > 1").isEmpty()
 
 
-def test_all_dimensions_count(spark):
+def test_all_dimensions_count(spark, monkeypatch):
     rng = np.random.default_rng(6)
     base = rng.normal(size=150)
     rows = [(i, np.concatenate([base[:64], rng.normal(size=86)]).tolist()) for i in range(120)]  # alike in the first 64
@@ -35,6 +35,8 @@ def test_all_dimensions_count(spark):
             near = sorted(((bits[q] ^ bits[j]).bit_count(), j) for j in bits if j != q)[:10]
             expected += [(q, n + 1, j, d) for n, (d, j) in enumerate(near)]
     assert sorted(tuple(r) for r in hamming.search(df).collect()) == sorted(expected)
+    monkeypatch.setattr(hamming, "MANY", 50)  # the pieces of large tables
+    assert sorted(tuple(r) for r in hamming.search(df).collect()) == sorted(expected)
     small = [(i, e[:64]) for i, e in rows]
     df = spark.createDataFrame(small, "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in hamming.search(df).collect()) == brute(small, 10, 20)
