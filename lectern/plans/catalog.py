@@ -118,9 +118,6 @@ class Catalog:
             return Page(rows, after)
         return Page(rows, after, total, self.facet_languages(q) if languages else None, self.facet_genres(q) if genres else None)
 
-    def get(self, book_id: int) -> DataFrame:
-        return self.details(book_id)
-
     def availability(self) -> DataFrame:
         return self.table("locations").select("lib_id", "availability")
 

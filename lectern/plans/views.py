@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import search
-from lectern.storage import file_states, new_folder
+from lectern.storage import exists, file_states, new_folder
 
 #: Stored indexes by folder and state of its files, for the life of the driver.
 _INDEXES: dict[tuple, str] = {}
@@ -34,7 +34,7 @@ class Tables:
     def postings(self) -> DataFrame:
         """The stored search index of the books. It is written once for a state of the documents' files, as a snapshot's index is."""
         key = (self.spark.sparkContext.applicationId, *file_states(self.spark, f"{self.sf_dir}/documents.parquet"))
-        if key not in _INDEXES:
+        if key not in _INDEXES or not exists(self.spark, f"{_INDEXES[key]}/_SUCCESS"):
             path = new_folder(self.spark, "index")
             search.write_postings(search.postings(self.books, "book_id", ["title", "description"]), path)
             _INDEXES[key] = path

@@ -40,6 +40,11 @@ def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -109,7 +109,7 @@ def test_first_scan_search_and_pages(spark, catalogue):
     stats = c.statistics().first()
     assert (stats.books, stats.unavailable) == (3, 0) and stats.source_bytes > 1000
     assert c.count(CatalogQuery(text="lant")) == 1
-    book = c.get(1).first()
+    book = c.details(1).first()
     assert (book.isbn, book.year, book.publisher, book.authors, book.genres) == ("0306406152", 1972, "Quay", ["Вера Полынина"], ["Tales", "Sea lore"])
     assert (book.label, book.is_available) == ("Available", True)
     row = c.source_overview().first()
