@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import _LOWER, _SPACE, map_batches, sliced, text_column
+from .bpe import ragged
+from .common import _LOWER, _SPACE, map_batches, mix, sliced, text_column
 
 SPAN, SAMPLED = 32, 20
 STRETCHES = 12
@@ -39,6 +40,10 @@ RUN = 16
 NEAR, NEAR_EDITS = 64, 26
 #: Bytes of the n-grams that are counted before a distance is worked out.
 GRAM = 3
+#: Bytes within which equal windows of text that repeats itself count as one.
+STEP = 8
+#: Hits that are looked at in one go.
+PAIRS = 1 << 18
 #: Distances that are worked out side by side.
 LANES = 1024
 #: Items of one pass over the documents; more items take more passes, so what is sent to the tasks stays bounded.
@@ -126,6 +131,13 @@ def walk(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, turn: int):
         at, lead = at[fresh], lead[fresh]
 
 
+def _first(key: np.ndarray, owner: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of neighbouring windows of one owner with equal samples, the first one of each STEP bytes; the slack of what follows covers the others."""
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1]) | (place[1:] // STEP != place[:-1] // STEP)
+    return fresh
+
+
 @dataclass
 class Items:
     """Normalised items, and for each walk and stretch the (ascending hashes, items, places in them) of those whose walk stays inside the item."""
@@ -153,9 +165,10 @@ class Items:
             tables.append([])
             for key, lead, begin, stays in walk(data, starts, offsets[1:][item_of], turn):
                 inside = np.flatnonzero(stays)
-                inside = inside[np.argsort(key[inside])]
-                item = item_of[lead[inside]]
-                tables[-1].append((key[inside], np.array(long, np.int32)[item], (begin[inside] - offsets[item]).astype(np.int32)))
+                item, place = item_of[lead[inside]], begin[inside] - offsets[item_of[lead[inside]]]
+                order = np.lexsort((place, item, key[inside]))
+                order = order[_first(key[inside][order], item[order], place[order])]
+                tables[-1].append((key[inside][order], np.array(long, np.int32)[item[order]], place[order].astype(np.int32)))
         return Items([i for i, _ in rows], texts, tables, [k for k, t in enumerate(texts) if 0 < len(t) < LEAST_ITEM], [gram_codes(np.frombuffer(t, np.uint8)) for t in texts])
 
 
@@ -275,6 +288,15 @@ def _columns(tasks: list[tuple[bytes, bytes]], width: int) -> tuple[np.ndarray,
     return best, end
 
 
+def _distinct(hits: np.ndarray) -> np.ndarray:
+    """Of hits (row, item, place in the text, place in the item) that nearly agree in where the item starts and where in it they lie, one each: text that repeats itself would have very many."""
+    row, item, at, place = hits.astype(np.uint64)
+    size = np.uint64(SPAN)
+    start = at + (size << np.uint64(32)) - place
+    code = mix(row << np.uint64(32) | item) + mix(start // np.uint64(8) + np.uint64(1)) * np.uint64(3) + mix(place // size + np.uint64(1)) * np.uint64(5)
+    return hits[:, np.unique(code, return_index=True)[1]]
+
+
 def _near(hits: list[tuple[int, int, int, int]], items: Items, text: bytes, offsets: list[int]):
     """(row, item, place of the item's start) of hits (row, item, place in the text, place in the item) that the bytes around bear out."""
     tasks, wanted = [], set()
@@ -324,20 +346,25 @@ def _finder(shared, drop: bool = False):
             data = np.concatenate([raw, np.zeros(STRETCHES * SPAN + 1, np.uint8)])
             starts = window_starts(raw, offsets)
             rows_of = np.searchsorted(offsets, starts, "right") - 1
-            hits = set()
+            found = []
             for turn in range(WALKS):
                 for s, (key, lead, begin, inside) in enumerate(walk(data, starts, offsets[1:][rows_of], turn)):
                     keys, who, place = items.tables[turn][s]
                     if not len(keys):
                         break
                     hit = np.flatnonzero(filters[turn][s].take(key >> np.uint32(12)) & inside)
+                    hit = hit[_first(key[hit], rows_of[lead[hit]], begin[hit])]
                     lo, hi = np.searchsorted(keys, key[hit]), np.searchsorted(keys, key[hit], "right")
-                    many = hi - lo
-                    group = np.repeat(hit, many)
-                    entry = np.arange(len(group)) + np.repeat(lo - np.cumsum(many) + many, many)
-                    hits.update(zip(rows_of[lead[group]].tolist(), who[entry].tolist(), begin[group].tolist(), place[entry].tolist(), strict=True))
+                    some = hi > lo
+                    hit, lo, many = hit[some], lo[some], (hi - lo)[some]
+                    parts = np.searchsorted(np.cumsum(many), np.arange(0, many.sum(), PAIRS), "right").tolist()
+                    for a, b in zip(parts, [*parts[1:], len(hit)], strict=False):
+                        group = np.repeat(hit[a:b], many[a:b])
+                        entry = ragged(lo[a:b], many[a:b])
+                        found.append(_distinct(np.stack([rows_of[lead[group]], who[entry], begin[group], place[entry]])))
+            hits = _distinct(np.concatenate(found, 1)) if found else np.zeros((4, 0), np.int64)
             text = raw.tobytes()
-            wanted = _near(sorted(hits), items, text, offsets.tolist())
+            wanted = _near(list(zip(*hits.tolist(), strict=True)), items, text, offsets.tolist())
             best: dict[tuple[int, int], tuple[int, int]] = {}
             codes, present = gram_codes(raw), np.zeros(1 << 16, bool)
             for k in items.short:

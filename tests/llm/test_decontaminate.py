@@ -112,3 +112,12 @@ def test_columns_with_clashing_names(spark, edge):
     assert {(r.doc_id, r.item_id, r.distance) for r in rows} == {(1, 1, 0), (2, 1, 0), (8, 1, 0)}
     kept = D.decontaminated(docs, items)
     assert kept.columns == docs.columns and kept.filter("doc_id in (1, 2, 8)").isEmpty() and kept.count() == docs.count() - 4
+
+
+def test_text_that_repeats_itself():
+    """Every window of such a text meets every window of such an item; it must not cost that many looks."""
+    import time
+
+    began = time.time()
+    got = found([(1, "word " * 60_000), (2, "la la " * 20_000 + "end"), (3, "x" * 100_000)], [(7, "word " * 30), (8, "la " * 60), (9, "x" * 300)])
+    assert {(d, i) for d, i, _ in got} == {(1, 7), (2, 8), (3, 9)} and time.time() - began < 60
