@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.storage import cut, delete, drop, new_folder, shared_dir  # noqa: F401
@@ -23,6 +24,21 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+#: Spark removes a query's shuffle files at its end where this is on.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Tables that cut() writes inside leave no shuffle files, so that a job of many steps needs the disk of its largest step."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def bucket_of(column: str, mod: int):
     """crc32 of the id as text, modulo mod: the split into learning and held-out rows."""
     return F.crc32(F.col(column).cast("string")) % mod

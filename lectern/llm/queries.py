@@ -10,6 +10,8 @@ from .decontaminate import contaminated
 from .hamming import ORACLE as HAMMING_SQL
 from .hamming import search
 from .langid import identify_languages
+from .merkle import ORACLE as MERKLE_SQL
+from .merkle import merkle_manifest
 from .neardup import near_duplicates
 from .quality import score_quality
 from .sharding import ORACLE as SHARDING_SQL
@@ -66,6 +68,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_hamming_topk": op2_hamming_topk,
@@ -77,9 +83,11 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_language": op10_language,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": SHARDING_SQL,
     "op2_hamming_topk": HAMMING_SQL,
     "op6_warc": WARC_SQL,
+    "op13_merkle_manifest": MERKLE_SQL,
 }
