@@ -9,6 +9,8 @@ from .bpe import code_documents
 from .decontaminate import contaminated
 from .hamming import ORACLE as HAMMING_SQL
 from .hamming import search
+from .hardneg import ORACLE as HARD_NEGATIVES_SQL
+from .hardneg import hard_negatives
 from .langid import identify_languages
 from .merkle import ORACLE as MERKLE_SQL
 from .merkle import merkle_manifest
@@ -68,6 +70,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"))
 
@@ -83,11 +89,13 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_language": op10_language,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": SHARDING_SQL,
     "op2_hamming_topk": HAMMING_SQL,
     "op6_warc": WARC_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
     "op13_merkle_manifest": MERKLE_SQL,
 }
