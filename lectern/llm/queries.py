@@ -18,6 +18,7 @@ from .neardup import near_duplicates
 from .quality import score_quality
 from .sharding import ORACLE as SHARDING_SQL
 from .sharding import shard
+from .suffixdedup import without_repeats
 from .tokenfile import token_files
 from .toxicity import score_toxicity
 from .warc import ORACLE as WARC_SQL
@@ -74,6 +75,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES = {
     "op9_minhash_neardup": op9_minhash_neardup,
     "op10_language": op10_language,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
