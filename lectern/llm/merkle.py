@@ -21,6 +21,8 @@ from lectern.operators.search import ranked
 from .common import cut, drop, shuffles_removed
 
 ARITY = 2
+#: Levels that one plan goes down.
+STEPS = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows whose unsigned crc32 of the decimal id is divisible by this are tampered with.
 TAMPER_STEP = 7
@@ -97,8 +99,11 @@ def _tops(levels: list[DataFrame]) -> DataFrame:
     return tops
 
 
-def _paths(levels: list[DataFrame], tops: DataFrame, arity: int, carried: list[str]) -> DataFrame:
-    """The nodes of the first level with `path` (before and after of every level up to the root) and the columns that their tree's row in `tops` has."""
+def _paths(levels: list[DataFrame], tops: DataFrame, arity: int, carried: list[str], made: list[DataFrame]) -> DataFrame:
+    """The nodes of the first level with `path` (before and after of every level up to the root) and the columns that their tree's row in `tops` has.
+
+    Every STEPS levels the paths are written, so that no plan grows with the depth; `made` gets those tables.
+    """
     up = None
     for k, level in reversed(list(enumerate(levels))):
         kept = [c for c in level.columns if c not in ("before", "after", "n")] if k == 0 else ["tree", "place"]
@@ -107,6 +112,10 @@ def _paths(levels: list[DataFrame], tops: DataFrame, arity: int, carried: list[s
             above = up.withColumnsRenamed({"tree": "_tree", "place": "_place"})
             inner = level.filter("n > 1").join(above, (F.col("tree") == F.col("_tree")) & (F.expr(f"place div {arity}") == F.col("_place")))
             found = found.unionAll(inner.select(*kept, F.concat(F.array(F.struct("before", "after")), F.col("path")).alias("path"), *carried))
+        if k and k % STEPS == 0:
+            with shuffles_removed(level.sparkSession):
+                found = cut(found, "paths")
+            made.append(found)
         up = found
     return up
 
@@ -129,15 +138,17 @@ def merkle_manifest(docs: DataFrame, arity: int = ARITY) -> DataFrame:
     upper = _levels(subroots.select(F.lit(0).cast("long").alias("tree"), (F.col("tree") - 1).alias("place"), F.lit(size.trees).cast("long").alias("n"), "hash"), size.trees, arity)
     no_path = F.array().cast("array<struct<before:binary,after:binary>>")
     start = _tops(upper).select("tree", no_path.alias("path"), F.col("hash").alias("root"))
-    tops = _paths(upper, start, arity, ["root"]).select((F.col("place") + 1).alias("tree"), "path", "root", F.col("hash").alias("subroot"))
-    found = _paths(levels, tops, arity, ["root", "subroot"])
+    made: list[DataFrame] = []
+    tops = _paths(upper, start, arity, ["root"], made).select((F.col("place") + 1).alias("tree"), "path", "root", F.col("hash").alias("subroot"))
+    tops = cut(tops, "tops")
+    found = _paths(levels, tops, arity, ["root", "subroot"], made)
     proof = F.array_join(F.transform("path", lambda x: F.concat(_hex(x["before"]), _hex(x["after"]))), "")
     folded = F.aggregate("path", F.col("tampered"), lambda h, x: F.sha2(F.concat(_hex(x["before"]), h, _hex(x["after"])), 256))
     root = _hex(F.col("root"))
     out = found.select("doc_id", "leaf", _hex(F.col("subroot")).alias("subroot"), root.alias("root"), F.sha2(proof, 256).alias("proof_sha256"), folded.alias("folded_root"))
     with shuffles_removed(spark):
         result = cut(out.withColumn("verified", F.col("folded_root") == F.col("root")), "manifest")
-    drop(leaves, *sources, *levels, *upper)
+    drop(leaves, *sources, *levels, *upper, tops, *made)
     return result
 
 
