@@ -119,10 +119,14 @@ def author_from_inpx(c: Column) -> Column:
 ANONYMOUS = "Аноним"
 
 
+def author_name(first: Column, middle: Column, last: Column, nickname: Column) -> Column:
+    """First, middle and last name and nickname, those that aren't blank; null if all are."""
+    return F.nullif(F.concat_ws(" ", *[blank_to_null(x) for x in (first, middle, last, nickname)]), F.lit(""))
+
+
 def author_from_xml(first: Column, middle: Column, last: Column, nickname: Column) -> Column:
-    """First, middle and last name and nickname, those that aren't blank; else the anonymous name."""
-    full = F.concat_ws(" ", *[blank_to_null(x) for x in (first, middle, last, nickname)])
-    return F.coalesce(F.nullif(full, F.lit("")), F.lit(ANONYMOUS))
+    """An author's name, or else the anonymous one."""
+    return F.coalesce(author_name(first, middle, last, nickname), F.lit(ANONYMOUS))
 
 
 def has_replacement(c: Column) -> Column:

@@ -34,11 +34,16 @@ def number_new(rows: DataFrame, key: str, order: list[str], start: int) -> DataF
     return ranked(rows, [F.col(c) for c in order], "_n").withColumn("id", F.col("_n") + start).drop("_n")
 
 
-def resolve_dimension(old: DataFrame, names: DataFrame, order: str) -> DataFrame:
-    """(normalized_name, display_name): names known before, and new ones as they were written first (K5). names: (name, order)."""
+def new_names(old: DataFrame, names: DataFrame, order: str) -> DataFrame:
+    """(normalized_name, display_name) of names that weren't known, as they were written first. names: (name, order)."""
     found = names.withColumn("normalized_name", normalize(F.col("name"))).filter("normalized_name <> ''")
     first = found.groupBy("normalized_name").agg(F.min_by("name", order).alias("display_name"))
-    return old.select("normalized_name", "display_name").unionByName(first.join(old, "normalized_name", "left_anti"))
+    return first.join(old, "normalized_name", "left_anti")
+
+
+def resolve_dimension(old: DataFrame, names: DataFrame, order: str) -> DataFrame:
+    """(normalized_name, display_name): names known before, and new ones as they were written first (K5). names: (name, order)."""
+    return old.select("normalized_name", "display_name").unionByName(new_names(old, names, order))
 
 
 def bridge(lists: DataFrame, owner: str, names: str) -> DataFrame:

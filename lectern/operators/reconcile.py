@@ -81,6 +81,13 @@ def scan_counters(changes: DataFrame, records: DataFrame) -> DataFrame:
     return kinds.crossJoin(read)  # one row each
 
 
+def changed_rows(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of new that old doesn't have, or has with other values."""
+    values = [c for c in new.columns if c != key]
+    before = old.select(key, F.struct(*values).alias("_old"))
+    return new.join(before, key, "left").filter(~F.struct(*values).eqNullSafe(F.col("_old"))).select(new.columns)
+
+
 def update_index(index: DataFrame, changed: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Postings without those of changed books, and the fresh ones (ST6)."""
     return index.join(changed.select(key).distinct(), key, "left_anti").unionByName(fresh)

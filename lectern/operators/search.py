@@ -88,24 +88,67 @@ def postings(books: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return out
 
 
-def write_postings(index: DataFrame, path: str) -> None:
-    """Stores an index in the order of its tokens, so that a search reads the row groups of its prefixes alone."""
-    index.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+#: Ids of a block of postings: those with one number of id >> SPAN_BITS.
+SPAN_BITS = 12
+
+
+def block_of(key: Column) -> Column:
+    return F.shiftright(key.cast("long"), SPAN_BITS)
+
+
+def posting_blocks(index: DataFrame, key: str) -> DataFrame:
+    """(token, field, block, ids): the postings of a token and field, a row for each block of ids, ascending in it.
+
+    A block's number bounds its ids and is the same for all tokens. So no row has over 4,096 ids, and a token that every
+    book has is as many rows as there are blocks.
+    """
+    grouped = index.filter(F.col(key).isNotNull()).groupBy("token", "field", block_of(F.col(key)).alias("block"))
+    return grouped.agg(F.array_sort(F.collect_set(F.col(key).cast("long"))).alias("ids"))
+
+
+def ids_by_block(keys: DataFrame, key: str) -> DataFrame:
+    """(block, ids) of the distinct keys."""
+    return keys.groupBy(block_of(F.col(key)).alias("block")).agg(F.collect_set(F.col(key).cast("long")).alias("ids"))
+
+
+def live_blocks(blocks: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Blocks (with _seq) without the ids that a later part says are gone. gone: (block, ids, _at)."""
+    if gone is None:
+        return blocks.drop("_seq")
+    dead = gone.groupBy("block").agg(F.collect_list(F.struct("_at", F.col("ids").alias("out"))).alias("_gone"))
+    later = F.flatten(F.transform(F.filter("_gone", lambda g: g["_at"] > F.col("_seq")), lambda g: g["out"]))
+    own = blocks.join(dead, "block", "left").withColumn("ids", F.when(F.col("_gone").isNull(), F.col("ids")).otherwise(F.array_except("ids", later)))
+    return own.filter(F.size("ids") > 0).select("token", "field", "block", "ids")
+
+
+def in_token_order(blocks: DataFrame) -> DataFrame:
+    """Blocks dealt by ranges of (token, block) and sorted: a search reads the row groups of its prefixes alone, and a common token is spread over tasks and files."""
+    return blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block")
+
+
+def write_postings(index: DataFrame, key: str, path: str) -> None:
+    """Stores an index of postings in blocks."""
+    in_token_order(posting_blocks(index, key)).write.mode("overwrite").parquet(path)
 
 
 def search_postings(index: DataFrame, key: str, wanted: list[str], fields: list[str]) -> DataFrame:
-    """Distinct keys that have, for every wanted token, a token that starts with it in some of the fields.
+    """Distinct keys that have, for every wanted token, a token that starts with it in some of the fields. index: blocks.
 
-    One scan serves all tokens, and the hits meet in a count, so there is one shuffle for any number of tokens. The
-    prefixes are also a filter of the scan.
+    The prefixes are a filter of the scan. With several tokens, blocks that some token isn't in are skipped by their
+    numbers, before their ids are looked at; the ids of the others meet in a count, so any number of tokens takes one
+    shuffle of ids.
     """
     if not wanted:
-        return index.select(key).limit(0)
-    any_of = reduce(lambda a, b: a | b, [F.col("token").startswith(t) for t in wanted])
+        return index.select(F.lit(None).cast("long").alias(key)).limit(0)
+    asked = sorted(set(wanted))
+    any_of = reduce(lambda a, b: a | b, [F.col("token").startswith(t) for t in asked])
+    hits = F.array_compact(F.array(*[F.when(F.col("token").startswith(t), F.lit(i)) for i, t in enumerate(asked)]))
     own = index.filter(F.col("field").isin(fields) & any_of)
-    hits = [F.when(F.col("token").startswith(t), F.lit(i)) for i, t in enumerate(sorted(set(wanted)))]
-    found = own.select(key, F.explode(F.array_compact(F.array(*hits))).alias("_t"))
-    return found.groupBy(key).agg(F.count_distinct("_t").alias("_n")).filter(F.col("_n") == len(hits)).select(key)
+    if len(asked) > 1:
+        whole = own.select("block", F.explode(hits).alias("_t")).groupBy("block").agg(F.count_distinct("_t").alias("_n")).filter(F.col("_n") == len(asked))
+        own = own.join(whole.select("block"), "block", "left_semi")
+    found = own.select(F.explode("ids").alias(key), hits.alias("_h")).select(key, F.explode("_h").alias("_t"))
+    return found.groupBy(key).agg(F.count_distinct("_t").alias("_n")).filter(F.col("_n") == len(asked)).select(key)
 
 
 def filter_languages(books: DataFrame, languages: list[str], column: str = "language") -> DataFrame:

@@ -11,6 +11,7 @@ from lectern.functions.text import tokens
 from lectern.operators import model, search, stats
 from lectern.operators.search import CatalogQuery
 from lectern.sources import archives, inpx
+from lectern.storage import cut, drop
 
 from . import snapshot as store
 from .ingest import archive_states
@@ -32,12 +33,13 @@ class Catalog:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        self.snapshot = store.current(spark, root)
-        if self.snapshot is None:
+        self.version = store.opened(spark, root)
+        if self.version is None:
             raise LookupError(f"{root} has no published snapshot")
+        self.snapshot = self.version.snapshot
 
     def table(self, name: str) -> DataFrame:
-        return store.table(self.spark, self.root, name, self.snapshot)
+        return self.version.table(name)
 
     def _names(self, kind: str) -> DataFrame:
         return self.table(f"book_{kind}").join(self.table(kind), "normalized_name")
@@ -65,17 +67,24 @@ class Catalog:
             raise ValueError("ids are greater than 0")
         return self._lists(self.books().filter(F.col("book_id") == book_id))
 
+    def _found(self, text: str, fields: tuple[str, ...]) -> DataFrame:
+        """Books that the text finds: keys come from the stored index, and its hits alone are joined with the books."""
+        if text == "":
+            return self.books()
+        wanted = self.spark.range(1).select(tokens(F.lit(text)).alias("t")).first().t
+        hits = search.search_postings(self.table("postings"), "book_id", wanted, list(fields or search.FIELDS))
+        return self.books().join(hits, "book_id", "left_semi")
+
+    def _book_genres(self) -> DataFrame:
+        return self._names("genres").select("book_id", F.col("display_name").alias("genre"))
+
     def _matched(self, q: CatalogQuery, languages: bool = True, genres: bool = True) -> DataFrame:
-        """Books that the query finds: keys come from the stored index, and its hits alone are joined with the books."""
-        found = self.books()
-        if q.text != "":
-            wanted = self.spark.range(1).select(tokens(F.lit(q.text)).alias("t")).first().t
-            hits = search.search_postings(self.table("postings"), "book_id", wanted, list(q.fields or search.FIELDS))
-            found = found.join(hits, "book_id", "left_semi")
+        """Books that the query finds."""
+        found = self._found(q.text, q.fields)
         if languages:
             found = search.filter_languages(found, list(q.languages))
         if genres:
-            found = search.filter_genres(found, self._names("genres").select("book_id", F.col("display_name").alias("genre")), list(q.genres))
+            found = search.filter_genres(found, self._book_genres(), list(q.genres))
         return found
 
     def _sorted(self, found: DataFrame, q: CatalogQuery) -> tuple[DataFrame, list]:
@@ -95,17 +104,25 @@ class Catalog:
         return search.facet(self._matched(q, languages=False), "language", "book_id")
 
     def facet_genres(self, q: CatalogQuery) -> DataFrame:
-        rows = self._names("genres").select("book_id", F.col("display_name").alias("genre"))
-        return search.facet(rows.join(self._matched(q, genres=False).select("book_id"), "book_id", "left_semi"), "genre", "book_id")
+        return search.facet(self._book_genres().join(self._matched(q, genres=False).select("book_id"), "book_id", "left_semi"), "genre", "book_id")
 
     def page(self, q: CatalogQuery, cursor: search.Cursor | None = None, languages: bool = True, genres: bool = True) -> Page:
         """The first call ranks and publishes the order, counts, and works out the facets that are asked for; later ones slice the order."""
         path = f"{self.root}/rankings"
         first = cursor is None
+        facets: list[DataFrame | None] = [None, None]
         if first:
-            found, order = self._sorted(self._matched(q), q)
+            # what the text finds, once: order, total and facets differ in the other conditions only
+            hits = cut(self._flagged(q), "hits")
+            found, order = self._sorted(hits.filter("in_language and in_genre"), q)
             total = search.publish_ranking(found, order, "book_id", self.snapshot, q, path)
             cursor = search.Cursor(self.snapshot, q.fingerprint(), min(q.offset, total))
+            if languages:
+                facets[0] = search.facet(hits.filter("in_genre"), "language", "book_id")
+            if genres:
+                own = hits.filter("in_language").select("book_id")
+                facets[1] = search.facet(self._book_genres().join(own, "book_id", "left_semi"), "genre", "book_id")
+            drop(hits)
         else:
             if cursor.snapshot != self.snapshot or cursor.query != q.fingerprint():
                 raise search.StaleCursor("the cursor doesn't belong to this snapshot and query")
@@ -114,9 +131,16 @@ class Catalog:
         rows = self.listed(search.fetch(slice_, self.books())).orderBy("pos")
         at = min(total, cursor.position + q.limit)
         after = replace(cursor, position=at) if at < total else None
-        if not first:
-            return Page(rows, after)
-        return Page(rows, after, total, self.facet_languages(q) if languages else None, self.facet_genres(q) if genres else None)
+        return Page(rows, after, total, *facets) if first else Page(rows, after)
+
+    def _flagged(self, q: CatalogQuery) -> DataFrame:
+        """(book_id, title, language, added_at, in_language, in_genre) of the books that the query's text finds; the flags say whether its other conditions hold."""
+        own = self._found(q.text, q.fields).select("book_id", "title", "language", "added_at")
+        own = own.withColumn("in_language", F.col("language").isin(list(q.languages)) if q.languages else F.lit(True))
+        if not q.genres:
+            return own.withColumn("in_genre", F.lit(True))
+        held = search.filter_genres(self._book_genres().select("book_id").distinct(), self._book_genres(), list(q.genres)).withColumn("_in", F.lit(True))
+        return own.join(held, "book_id", "left").withColumn("in_genre", F.col("_in").isNotNull()).drop("_in")
 
     def availability(self) -> DataFrame:
         return self.table("locations").select("lib_id", "availability")

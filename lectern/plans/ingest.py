@@ -22,7 +22,7 @@ AVAILABLE, MISSING = "available", "missing_from_index"
 MOST_WARNINGS, WARNING_SCANS = 1000, 10
 COUNTERS = (
     "segments_total segments_added segments_changed segments_unchanged segments_removed archives_opened archives_skipped records_total records_reused records_parsed "
-    "records_added records_updated records_skipped marked_unavailable restored title_fallbacks author_fallbacks language_fallbacks books_with_fallback"
+    "records_added records_updated records_skipped marked_unavailable restored title_fallbacks author_fallbacks language_fallbacks books_with_fallback parser_warnings"
 ).split()
 
 #: The tables of a snapshot and their columns, which publishing checks.
@@ -36,7 +36,7 @@ SCHEMAS = {
     "genres": "normalized_name string, display_name string",
     "book_authors": "book_id long, normalized_name string, ord int",
     "book_genres": "book_id long, normalized_name string, ord int",
-    "postings": "token string, field string, book_id long",
+    "postings": "token string, field string, block long, ids array<long>",
     "covers": "cover_path string, reference_count long, size_bytes long",
     "cover_contents": "cover_path string, content binary",
     "scan_warnings": "id long, scan_id string, warning_code string, archive_name string, entry_name string, message string",
@@ -46,7 +46,10 @@ SCHEMAS = {
 
 
 def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
-    """One book of a record and its payload: the payload's fields, the record's where they are unusable, with flags."""
+    """One book of a record and its payload: the payload's fields, the record's where they are unusable, with flags.
+
+    A fallback of the title is one for replacement characters; a payload without a title is a parser's warning, as is a genre without a name.
+    """
     b, r = F.col("book"), F.col("record")
     clean = F.filter(F.transform(r["authors"], lambda a: a["display"]), lambda x: (x != "") & ~has_replacement(x))
     no_title = b["title"].isNull()
@@ -54,7 +57,7 @@ def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
     bad_authors = (F.size(clean) > 0) & ((F.size(b["authors"]) == 0) | F.exists(b["authors"], has_replacement) | is_anonymous(b["authors"]))
     bad_language = (b["language"] == "") & (r["language"] != "")
     names = F.create_map(*[F.lit(x) for pair in genres.items() for x in pair]) if genres else F.create_map().cast("map<string,string>")
-    return joined.select(
+    return joined.withColumn("_genres", F.transform(b["genres"], lambda g: resolve_genre(g, names))).select(
         "segment_id",
         r["lib_id"].alias("lib_id"),
         "line_no",
@@ -63,7 +66,8 @@ def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
         normalize_language(F.when(bad_language, r["language"]).otherwise(b["language"])).alias("language"),
         F.coalesce(F.nullif(b["identifier"], F.lit("")), r["lib_id"]).alias("identifier"),
         *[b[c].alias(c) for c in ("series", "series_index", "publisher", "year", "isbn", "description")],
-        F.transform(b["genres"], lambda g: resolve_genre(g, names)["name"]).alias("genres"),
+        F.transform("_genres", lambda g: g["name"]).alias("genres"),
+        (b["warning_count"] + F.size(F.filter("_genres", lambda g: ~g["known"]))).alias("parser_warnings"),
         r["size"].cast("long").alias("declared_size"),
         "actual_size",
         "archive_name",
@@ -71,7 +75,7 @@ def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
         "cover",
         F.when(F.col("cover").isNotNull(), F.concat(F.substring(F.sha2("cover", 256), 1, 2), F.lit("/"), F.sha2("cover", 256), F.lit("."), "cover_ext")).alias("cover_path"),
         "cover_diagnostic",
-        (bad_title | no_title).alias("title_fallback"),
+        bad_title.alias("title_fallback"),
         bad_authors.alias("author_fallback"),
         bad_language.alias("language_fallback"),
     )
@@ -145,9 +149,11 @@ def broken_rules(tables: dict[str, DataFrame]) -> DataFrame:
     found = [spark.createDataFrame(wrong, "rule string, key string")] if wrong else []
 
     def keys() -> DataFrame:
+        # every id of the index, a row each
+        own = tables | {"postings": tables["postings"].select(F.explode("ids").alias("book_id"))}
         pairs = [("book_authors", "book_id", "books", "book_id"), ("book_genres", "book_id", "books", "book_id"), ("book_authors", "normalized_name", "authors", "normalized_name"), ("book_genres", "normalized_name", "genres", "normalized_name")]
         pairs += [("locations", "book_id", "books", "book_id"), ("books", "book_id", "locations", "book_id"), ("locations", "segment_id", "segments", "segment_id"), ("deletions", "segment_id", "segments", "segment_id"), ("postings", "book_id", "books", "book_id"), ("books", "cover_path", "cover_contents", "cover_path")]
-        return quality.foreign_keys([quality.dangling(tables[c], k, tables[p], q, f"{c}.{k}") for c, k, p, q in pairs])
+        return quality.foreign_keys([quality.dangling(own[c], k, own[p], q, f"{c}.{k}") for c, k, p, q in pairs])
 
     found.append(keys().withColumnRenamed("relation", "rule"))
     found.append(quality.singleton(tables["sources"], "id", ["source_fingerprint", "scan_id"]).filter("not ok").select(F.lit("sources: one row").alias("rule"), F.col("n").cast("string").alias("key")))
@@ -163,12 +169,22 @@ def scan(spark: SparkSession, source: str, archive_root: str, root: str, snapsho
     Only segments whose text or archive is new are parsed; books that the source no longer offers stay, as
     missing_from_index, with their id and time, and come back when it offers them again. genres maps codes to display
     names. A rejected record or payload fails the scan unless mode is permissive; what may not be published never is.
+    The scan writes what it changes; all else is named again by the new version. It is refused if another scan published
+    meanwhile, or if the source or an archive that it relied on is no longer as it was.
     """
-    last = store.current(spark, root)
-    old = None if last is None else {n: store.table(spark, root, n, last) for n in SCHEMAS}
+    draft = store.Draft(spark, root, snapshot)
+    try:
+        return _scan(draft, source, archive_root, scan_time, mode, genres or {})
+    except BaseException:
+        draft.drop()
+        raise
+
+
+def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column, mode: str, genres: Mapping[str, str]) -> DataFrame:
+    spark, snapshot, stage = draft.spark, draft.snapshot, draft.stage
+    old = None if draft.base is None else {n: draft.old(n) for n in SCHEMAS}
     empty = {n: T._parse_datatype_string(ddl) for n, ddl in SCHEMAS.items()}
     was = old or {n: spark.createDataFrame([], s) for n, s in empty.items()}
-    stage = lambda name, df: store.stage(spark, root, snapshot, name, df)
     source_print = inpx.source_fingerprint(source)
 
     plan = stage("plan", plan_segments(spark, source, archive_root, None if old is None else was["segments"]))
@@ -181,6 +197,8 @@ def scan(spark: SparkSession, source: str, archive_root: str, root: str, snapsho
 
     # what the source says anew
     parsed = stage("records", inpx.parse_all(spark, source, touched).withColumn("segment_id", F.col("inp_entry_name")))
+    if bad := inpx.unreadable(parsed).head(1):
+        raise Rejected(f"segment {bad[0].inp_entry_name} has no text: {bad[0].reject_reason}")
     quality.strict(parsed.filter("reject_reason is not null").select("segment_id", "line_no", "reject_reason"), mode, "records were rejected")
     records = parsed.filter("reject_reason is null")
     live = ~F.col("record.deleted") & (F.col("record.ext") == "fb2")
@@ -195,7 +213,7 @@ def scan(spark: SparkSession, source: str, archive_root: str, root: str, snapsho
     if twice := quality.duplicates(offered.unionAll(reused.select("lib_id")), ["lib_id"]).head(1):
         raise Rejected(f"library id {twice[0].lib_id} has more than one active record")
     payloads = stage("payloads", read_payloads(records, plan))
-    books = stage("books", stored_metadata(payloads.filter("book is not null"), genres or {}).join(plan.select("segment_id", "segment_order"), "segment_id"))
+    books = stage("books", stored_metadata(payloads.filter("book is not null"), genres).join(plan.select("segment_id", "segment_order"), "segment_id"))
     refused = payloads.filter("book is null").select("segment_id", "line_no", "archive_name", "entry", "payload_reject")
     quality.strict(refused, mode, "payloads were rejected")
     if bad := books.filter("declared_size <> 0 and declared_size <> actual_size").head(1):
@@ -204,22 +222,22 @@ def scan(spark: SparkSession, source: str, archive_root: str, root: str, snapsho
     # merged with what was known
     known = was["locations"].select("lib_id", "book_id").join(was["books"].select("book_id", "added_at"), "book_id")
     placed = stage("placed", _numbered(books, known, scan_time))
-    changed = placed.select("book_id")
-    fields = empty["books"].names
-    all_books = model.upsert(was["books"], placed.withColumn("normalized_title", normalize(F.col("title"))).select(fields), ["book_id"])
-    tables = {"books": all_books}
+    changed, known_books = placed.select("book_id"), placed.filter("not is_new").select("book_id")
+    books_now = draft.change("books", "book_id", placed.withColumn("normalized_title", normalize(F.col("title"))).select(empty["books"].names))
     for name in ("authors", "genres"):
         ordered = placed.select(F.posexplode(name).alias("pos", "name"), F.struct("segment_order", "line_no").alias("line")).select("name", F.struct("line", "pos").alias("order"))
-        tables[name] = model.resolve_dimension(was[name], ordered, "order")
-        tables[f"book_{name}"] = model.replace_owned(was[f"book_{name}"], model.bridge(placed, "book_id", name), "book_id", changed)
+        draft.change(name, "normalized_name", model.new_names(was[name], ordered, "order"), replaces=False)
+        draft.change(f"book_{name}", "book_id", model.bridge(placed, "book_id", name), known_books)
 
     segment_fields = empty["segments"].names
     fresh_segments = fresh_segments.withColumns({"availability": F.lit(AVAILABLE), "requires_archive": F.col("active_record_count") > 0}).select(segment_fields)
     same = plan.filter("step <> 'parse'").withColumn("availability", F.lit(AVAILABLE)).join(was["segments"].select("segment_id", "requires_archive", "record_count", "active_record_count", "deleted_record_count"), "segment_id").select(segment_fields)
     removed = was["segments"].join(plan.select("segment_id"), "segment_id", "left_anti")
-    segments = stage("segments_now", fresh_segments.unionByName(same).unionByName(removed.withColumn("availability", F.lit(MISSING)).select(segment_fields)))
+    segments = fresh_segments.unionByName(same).unionByName(removed.withColumn("availability", F.lit(MISSING)).select(segment_fields))
+    segments = draft.change("segments", "segment_id", reconcile.changed_rows(was["segments"], segments, "segment_id"))
     tombstones = records.filter(F.col("record.deleted")).select("segment_id", F.col("record.lib_id").alias("lib_id")).distinct()
-    tables["deletions"] = stage("deletions_now", was["deletions"].join(same.select("segment_id"), "segment_id", "left_semi").select("segment_id", "lib_id").unionByName(tombstones))
+    silent = was["deletions"].select("segment_id").distinct().join(same.select("segment_id"), "segment_id", "left_anti")
+    deletions = draft.change("deletions", "segment_id", tombstones, silent)
 
     location_fields = empty["locations"].names
     seen = placed.withColumns({"file_size_bytes": F.col("actual_size"), "present_in_segment": F.lit(True), "availability": F.lit(MISSING), "last_seen_scan_id": F.lit(snapshot)}).select(location_fields)
@@ -227,30 +245,51 @@ def scan(spark: SparkSession, source: str, archive_root: str, root: str, snapsho
     marks = plan.filter("step = 'parse'").select("segment_id", F.lit("changed").alias("change"))
     present = reconcile.mark_absent(was["locations"], seen, marks).select("lib_id", F.col("present_in_segment").alias("_still"))
     stays = was["locations"].join(placed.select("lib_id"), "lib_id", "left_anti").join(present, "lib_id").withColumn("present_in_segment", F.col("present_in_segment") & F.col("_still")).select(location_fields)
-    located = stage("located", seen.unionByName(stays))
-    state = reconcile.availability(located, tables["deletions"], segments)
-    tables["locations"] = stage("locations_now", located.drop("availability").join(state, "lib_id").select(location_fields))
+    located = seen.unionByName(stays)
+    state = reconcile.availability(located, deletions, segments)
+    located = located.drop("availability").join(state, "lib_id").select(location_fields)
+    locations = draft.change("locations", "lib_id", reconcile.changed_rows(was["locations"], located, "lib_id"))
 
-    fresh_index = search.postings(_searchable(tables["books"].join(changed, "book_id", "left_semi"), tables["book_authors"], tables["authors"]), "book_id", list(search.FIELDS))
-    tables["postings"] = reconcile.update_index(was["postings"], changed, fresh_index, "book_id").select("token", "field", "book_id")
+    fresh_index = search.postings(_searchable(books_now.join(changed, "book_id", "left_semi"), draft.table("book_authors"), draft.table("authors")), "book_id", list(search.FIELDS))
+    draft.change("postings", "block", search.in_token_order(search.posting_blocks(fresh_index, "book_id")), search.ids_by_block(known_books, "book_id"), blocks=True)
 
-    pictures = placed.filter("cover is not null").select("cover_path", F.col("cover").alias("content")).dropDuplicates(["cover_path"])
-    contents = model.referenced(model.upsert(was["cover_contents"], pictures, ["cover_path"]), all_books, "cover_path")
-    tables["cover_contents"] = stage("contents_now", contents.select("cover_path", "content"))
-    sized = all_books.join(tables["cover_contents"].select("cover_path", F.octet_length("content").cast("long").alias("size_bytes")), "cover_path")
-    tables["covers"] = stage("covers_now", stats.cover_references(sized, "cover_path", "size_bytes").select("cover_path", "reference_count", "size_bytes"))
+    pictures = placed.filter("cover is not null").select("cover_path", F.col("cover").alias("content")).dropDuplicates(["cover_path"]).join(was["cover_contents"].select("cover_path"), "cover_path", "left_anti")
+    unused = was["cover_contents"].select("cover_path").join(books_now.select("cover_path"), "cover_path", "left_anti")
+    contents = draft.change("cover_contents", "cover_path", pictures, unused, replaces=False)
+    sized = books_now.join(contents.select("cover_path", F.octet_length("content").cast("long").alias("size_bytes")), "cover_path")
+    references = stats.cover_references(sized, "cover_path", "size_bytes").select("cover_path", "reference_count", "size_bytes")
+    covers = draft.change("covers", "cover_path", reconcile.changed_rows(was["covers"], references, "cover_path"), unused)
 
     scan_no = was["scans"].agg(F.coalesce(F.max("scan_no"), F.lit(0)).alias("m")).first().m + 1
-    tables["segments"] = segments
-    tables["sources"] = spark.range(1).select(F.lit(1).alias("id"), F.lit(source_print).alias("source_fingerprint"), F.lit(snapshot).alias("scan_id"), scan_time.alias("scan_time"))
-    tables["scan_warnings"] = _warnings(was["scan_warnings"], parsed, refused, placed, snapshot, scan_no)
-    counters = stage("counters", _counters(was, plan, removed, parsed, placed, segments, tables["locations"], scan_no, snapshot, scan_time))
-    tables["scans"] = was["scans"].unionByName(counters)
-    tables["statistics"] = stats.catalogue_statistics(tables["locations"], tables["covers"].select("size_bytes"))
+    draft.put("sources", spark.range(1).select(F.lit(1).alias("id"), F.lit(source_print).alias("source_fingerprint"), F.lit(snapshot).alias("scan_id"), scan_time.alias("scan_time")))
+    warnings = stage("warnings", _warnings(was["scan_warnings"], parsed, refused, placed, snapshot, scan_no))
+    forgotten = was["scan_warnings"].select("scan_id").distinct().join(warnings.select("scan_id"), "scan_id", "left_anti")
+    draft.change("scan_warnings", "scan_id", warnings.filter(F.col("scan_id") == snapshot), forgotten, replaces=False)
+    counters = stage("counters", _counters(was, plan, removed, parsed, placed, segments, locations, scan_no, snapshot, scan_time))
+    draft.change("scans", "scan_no", counters, replaces=False)
+    draft.put("statistics", stats.catalogue_statistics(locations, covers.select("size_bytes")))
     if inpx.source_fingerprint(source) != source_print:
         raise Rejected("the source changed while it was scanned")
-    store.publish(spark, root, snapshot, tables, [broken_rules], sort={"postings": "token"})
-    return store.table(spark, root, "scans", snapshot).filter(F.col("scan_no") == scan_no)
+    check_archives(spark, archive_root, plan.join(segments.select("segment_id", "requires_archive"), "segment_id"))
+    version = draft.commit([broken_rules])
+    return version.table("scans").filter(F.col("scan_no") == scan_no)
+
+
+def check_archives(spark: SparkSession, archive_root: str, plan: DataFrame) -> None:
+    """Refuses a scan whose archives aren't what it read (Q11): segments of one archive must agree on it, and its place, size and time must still be the same, and the manifest of archives that were opened."""
+    needed = plan.filter("requires_archive")
+    if bad := quality.disagreement(needed, "resolved_archive_path", ["archive_size", "archive_modified", "manifest"]).head(1):
+        raise Rejected(f"segments don't agree on archive {bad[0].resolved_archive_path}")
+    own = needed.groupBy(F.col("archive_name").alias("archive"), "resolved_archive_path", "archive_size", "archive_modified", "manifest").agg(F.bool_or(F.col("step").isin("parse", "same-manifest")).alias("opened"))
+    now = archive_states(spark, archive_root, own).select("archive", *[F.col(c).alias(f"_{c}") for c in ("resolved_archive_path", "archive_size", "archive_modified")])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("resolved_archive_path", "archive_size", "archive_modified")])
+    if bad := own.join(now, "archive", "left").filter(~same).head(1):
+        raise Rejected(f"archive {bad[0].archive} changed while it was scanned")
+    paths = [r.p for r in own.filter("opened").select(F.col("resolved_archive_path").alias("p")).distinct().collect()]  # a name for each archive
+    if paths:
+        prints = stats.manifest_fingerprint(archives.manifests(spark, paths), "archive", "name", "size", "crc").select(F.col("archive").alias("resolved_archive_path"), F.col("fingerprint").alias("_now"))
+        if bad := own.filter("opened").join(prints, "resolved_archive_path", "left").filter(~F.col("manifest").eqNullSafe(F.col("_now"))).head(1):
+            raise Rejected(f"archive {bad[0].archive} changed while it was scanned")
 
 
 #: A first scan and a next one differ in what is known before only.
@@ -289,7 +328,7 @@ def _counters(was: dict[str, DataFrame], plan: DataFrame, removed: DataFrame, pa
         F.coalesce(F.sum("record_count"), F.lit(0)).alias("records_total"), F.coalesce(F.sum(F.when(F.col("change") == "unchanged", F.col("record_count"))), F.lit(0)).alias("records_reused"),
     )
     gone = removed.agg(F.count_if(F.col("availability") == AVAILABLE).alias("segments_removed"))
-    read = placed.agg(F.count("*").alias("records_parsed"), F.count_if("is_new").alias("records_added"), F.count_if(~F.col("is_new")).alias("records_updated"))
+    read = placed.agg(F.coalesce(F.sum("parser_warnings"), F.lit(0)).alias("parser_warnings"), F.count("*").alias("records_parsed"), F.count_if("is_new").alias("records_added"), F.count_if(~F.col("is_new")).alias("records_updated"))
     skipped = parsed.agg(F.count_if(F.col("reject_reason").isNotNull()).alias("records_skipped"))
     flips = reconcile.flips(was["locations"].select("lib_id", "availability"), locations.select("lib_id", "availability")).select(F.col("retired").alias("marked_unavailable"), "restored")
     fallbacks = stats.fallback_counters(placed, {n: F.col(f"{n}_fallback") for n in ("title", "author", "language")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.fields import annotation_text, author_from_xml, blank_to_null, cover_extension, normalize_isbn, split_genres, strict_base64, strict_double, strict_int, trim_ascii
+from lectern.functions.fields import ANONYMOUS, annotation_text, author_name, blank_to_null, cover_extension, normalize_isbn, split_genres, strict_base64, strict_double, strict_int, trim_ascii
 from lectern.functions.text import decode_declared
 
 # Limits of the metadata part.
@@ -30,7 +30,11 @@ def limit_reason(part: Column) -> Column:
 
 
 def parse(payloads: DataFrame, content: str = "content", require_title: bool = True) -> DataFrame:
-    """payloads with book, a struct of metadata, and reject_reason; one of them is null. Without require_title a book's title may be null."""
+    """payloads with book, a struct of metadata, and reject_reason; one of them is null. Without require_title a book's title may be null.
+
+    A book without a named author has the anonymous one. warning_count counts what was mended: the text's decoding, the
+    missing author or title, an unusable year or number in a series.
+    """
     decoded = payloads.withColumn("_d", decode_declared(F.col(content)))
     own = decoded.withColumns({"_text": F.col("_d.text"), "_part": description(F.col("_d.text"))}).withColumn("_limit", limit_reason(F.col("_part")))
     bare = F.regexp_replace(F.regexp_replace("_part", r"<(/?)[\w.-]+:", "<$1"), r"\s[\w.-]+:(\w+)\s*=", " $1=")
@@ -39,14 +43,16 @@ def parse(payloads: DataFrame, content: str = "content", require_title: bool = T
     title = blank_to_null(info["book-title"])
     lead = F.get(info["sequence"], F.lit(0))
     year, number = blank_to_null(published["year"]), blank_to_null(lead["_number"])
-    people = F.transform(info["author"], lambda a: author_from_xml(a["first-name"], a["middle-name"], a["last-name"], a["nickname"]))
+    named = F.transform(info["author"], lambda a: author_name(a["first-name"], a["middle-name"], a["last-name"], a["nickname"]))
+    people = F.array_compact(F.coalesce(named, F.array().cast("array<string>")))
+    nobody = F.size(people) == 0
     note = F.nullif(F.regexp_extract("_part", r"(?s)<(?:[\w.-]+:)?annotation[^>]*>(.*?)</(?:[\w.-]+:)?annotation\s*>", 1), F.lit(""))
     ref = F.regexp_replace(F.get(info["coverpage"]["image"], F.lit(0))["_href"], "^#", "")
     warn = lambda bad: F.when(bad, 1).otherwise(0)
-    warnings = F.col("_d.warnings") + warn(year.isNotNull() & strict_int(year).isNull()) + warn(number.isNotNull() & strict_double(number).isNull())
+    warnings = F.col("_d.warnings") + warn(year.isNotNull() & strict_int(year).isNull()) + warn(number.isNotNull() & strict_double(number).isNull()) + warn(nobody) + warn(title.isNull())
     book = F.struct(
         title.alias("title"),
-        F.coalesce(people, F.array().cast("array<string>")).alias("authors"),
+        F.when(nobody, F.array(F.lit(ANONYMOUS))).otherwise(people).alias("authors"),
         F.coalesce(blank_to_null(info["lang"]), F.lit("")).alias("language"),
         blank_to_null(lead["_name"]).alias("series"),
         strict_double(number).alias("series_index"),

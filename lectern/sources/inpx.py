@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lectern.functions.fields import author_from_inpx, blank_to_null, entry_name, lower_ascii, strict_int, trim_ascii
-from lectern.functions.text import decode_legacy, is_valid_utf8
+from lectern.functions.text import decode_segment
 
 # Fixed values of the format.
 SEPARATOR, FIELDS = "\u0004", 15
 MAX_ENTRY, MAX_LINE = 128 << 20, 1 << 20
 #: Bytes of all entries of a source.
 MAX_SOURCE = 16 << 30
-MAX_AUTHORS, MAX_LIST, MAX_EXTENSION = 256, 512, 32
+MAX_AUTHORS, MAX_LIST, MAX_EXTENSION, MAX_INTEGER = 256, 512, 32, 32
 
 SEGMENT_SCHEMA = "inp_entry_name string, archive_name string, segment_order long, fingerprint string, content binary"
 
@@ -96,12 +96,6 @@ def source_fingerprint(path: str) -> str:
     return "sha256:" + found.hexdigest()
 
 
-def decode(content: Column) -> Column:
-    """UTF-8 with or without its mark, else the likelier of the Cyrillic charsets."""
-    text = F.when(is_valid_utf8(content), content.cast("string")).otherwise(decode_legacy(content))
-    return F.regexp_replace(text, "^﻿", "")
-
-
 def lines(segments: DataFrame, text: str) -> DataFrame:
     """segments with line_no (from 1, empty lines count) and line, without empty lines and one trailing carriage return. A line over 1 MiB fails."""
     rows = segments.select("*", F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "_line")).drop(text)
@@ -117,24 +111,24 @@ def _items(c: Column) -> Column:
 def records(rows: DataFrame) -> DataFrame:
     """rows (with line) and: reject_reason, null for a record; record, null for a reject; warnings.
 
-    Reasons are tried in a fixed order; the first that holds is given.
+    Reasons are tried in a fixed order; the first that holds is given. Rows that bring a reason keep it.
     """
     f = F.split("line", SEPARATOR, -1)
     part = lambda i: trim_ascii(F.get(f, i))
     authors = F.filter(F.transform(F.split(F.get(f, F.lit(0)), ":"), trim_ascii), lambda x: x != "")
     named = F.transform(authors, author_from_inpx)
-    size, deleted = F.when(part(6).rlike("^[0-9]+$"), part(6).try_cast("decimal(20,0)")), part(8)
+    size, deleted = F.when(part(6).rlike(f"^[0-9]{{1,{MAX_INTEGER}}}$"), part(6).try_cast("decimal(20,0)")), part(8)
     too_large = F.lit("18446744073709551615").cast("decimal(20,0)")
     reason = (
-        F.when(F.size(f) != FIELDS, "expected 15 fields")
-        .when((part(5) == "") | (part(7) == ""), "file name or library id is empty")
-        .when(size.isNull() | (size > too_large), "size is not a valid integer")
-        .when((deleted != "") & strict_int(deleted).isNull(), "deleted is not a valid integer")
-        .when(F.octet_length(part(9)) > MAX_EXTENSION, "extension exceeds 32 bytes")
-        .when(F.size(F.split(F.get(f, F.lit(0)), ":")) > MAX_AUTHORS, "too many authors")
-        .when(F.exists(named, lambda a: a.isNull()), "author has more than three name components")
-        .when(F.size(F.split(F.get(f, F.lit(1)), ":")) > MAX_LIST, "too many genres")
-        .when(F.size(F.split(F.get(f, F.lit(13)), ":")) > MAX_LIST, "too many keywords")
+        F.when(F.size(f) != FIELDS, "field-count")
+        .when((part(5) == "") | (part(7) == ""), "no-file-or-id")
+        .when(size.isNull() | (size > too_large), "size")
+        .when((deleted != "") & strict_int(deleted).isNull(), "deleted-flag")
+        .when(F.octet_length(part(9)) > MAX_EXTENSION, "long-extension")
+        .when(F.size(F.split(F.get(f, F.lit(0)), ":")) > MAX_AUTHORS, "many-authors")
+        .when(F.exists(named, lambda a: a.isNull()), "author-parts")
+        .when(F.size(F.split(F.get(f, F.lit(1)), ":")) > MAX_LIST, "many-genres")
+        .when(F.size(F.split(F.get(f, F.lit(13)), ":")) > MAX_LIST, "many-keywords")
     )
     ext = F.coalesce(F.nullif(lower_ascii(part(9)), F.lit("")), F.lit("fb2"))
     record = F.struct(
@@ -153,17 +147,28 @@ def records(rows: DataFrame) -> DataFrame:
         part(11).alias("language"),
         _items(F.get(f, F.lit(13))).alias("keywords"),
     )
-    ignored = F.when((part(4) != "") & strict_int(part(4)).isNull(), F.array(F.lit("series number is invalid; value ignored"))).otherwise(F.array().cast("array<string>"))
-    out = rows.withColumn("reject_reason", reason)
+    ignored = F.when((part(4) != "") & strict_int(part(4)).isNull(), F.array(F.lit("series-number-ignored"))).otherwise(F.array().cast("array<string>"))
+    given = F.col("reject_reason") if "reject_reason" in rows.columns else F.lit(None).cast("string")
+    out = rows.withColumn("reject_reason", F.when(given.isNotNull(), given).otherwise(reason))
     ok = F.col("reject_reason").isNull()
     return out.withColumns({"record": F.when(ok, record), "warnings": F.when(ok, ignored).otherwise(F.array("reject_reason"))})
 
 
 def parse_all(spark: SparkSession, path: str, entries: list[str] | None = None) -> DataFrame:
-    """Records and rejects of all segments of a source, or of those of the given names."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    segments = read_segments(spark, path, entries).withColumn("text", decode(F.col("content"))).drop("content")
-    return records(lines(segments, "text"))
+    """Records and rejects of all segments of a source, or of those of the given names.
+
+    A segment whose bytes have no text is one reject, with line_no 0 and no line, that says why.
+    """
+    decoded = read_segments(spark, path, entries).withColumn("_d", decode_segment(F.col("content"))).drop("content")
+    own = decoded.select("*", "_d.text", F.col("_d.problem").alias("reject_reason")).drop("_d")
+    sound = lines(own.filter("reject_reason is null"), "text")
+    broken = own.filter("reject_reason is not null").drop("text").withColumns({"line_no": F.lit(0), "line": F.lit(None).cast("string")})
+    return records(sound.unionByName(broken))
+
+
+def unreadable(parsed: DataFrame) -> DataFrame:
+    """(inp_entry_name, reject_reason) of segments that have no text."""
+    return parsed.filter("line_no = 0").select("inp_entry_name", "reject_reason")
 
 
 def summary(parsed: DataFrame) -> DataFrame:

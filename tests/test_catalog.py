@@ -206,7 +206,9 @@ def test_fallbacks_covers_and_warnings(spark, drop):
     archive(drop, "a", {1: payload("\ufffd?", lang="", extra=art, tail=body), 2: payload(" ", extra=art, tail=body), 3: b"<x/>", 4: payload("Four", extra=art)})
     lines = [line(1, "First title"), line(2, "Second title"), line(3, "3"), line(4, "4"), line(5, "5", ext="pdf"), "bad"]
     r = scans.run({"a": lines})
-    assert (r.records_parsed, r.records_skipped, r.title_fallbacks, r.language_fallbacks, r.books_with_fallback) == (3, 1, 2, 1, 2)
+    # replacement characters are a fallback; a missing title is a parser's warning, as are genres without a name
+    assert (r.records_parsed, r.records_skipped, r.title_fallbacks, r.language_fallbacks, r.books_with_fallback) == (3, 1, 1, 1, 1)
+    assert r.parser_warnings == 1
     c = scans.catalog
     assert {x.title for x in c.books().collect()} == {"First title", "Second title", "Four"}
     cover = c.table("covers").first()
@@ -277,15 +279,15 @@ def test_malformed_lines_give_a_reason(spark, folder):
         return "\u0004".join([*parts[:i], value, *parts[i + 1 :]])
 
     bad = ["a\u0004b", with_field(5, " "), with_field(6, "1x"), with_field(8, "no"), with_field(9, "e" * 33), with_field(0, ":" * 256), with_field(0, "a,b,c,d"), with_field(1, ":" * 512), with_field(13, ":" * 512)]
-    path = source(folder, "bad", {"s": [good, "", *bad, with_field(4, "x"), with_field(2, " "), with_field(4, "0" * 33)]})
+    path = source(folder, "bad", {"s": [good, "", *bad, with_field(4, "x"), with_field(2, " "), with_field(4, "0" * 33), with_field(6, "0" * 32), with_field(6, "0" * 33)]})
     rows = inpx.parse_all(spark, path).orderBy("line_no").collect()
-    assert [r.line_no for r in rows] == [1, *range(3, 15)]
-    assert [r.reject_reason is None for r in rows] == [True, *[False] * 9, True, True, True]
+    assert [r.line_no for r in rows] == [1, *range(3, 17)]
+    assert [r.reject_reason is None for r in rows] == [True, *[False] * 9, True, True, True, True, False]
     assert len({r.reject_reason for r in rows[1:10]}) == 9
-    assert rows[10].warnings == ["series number is invalid; value ignored"] and rows[10].record.series_no is None
+    assert rows[10].warnings == ["series-number-ignored"] and rows[10].record.series_no is None
     assert rows[11].record.title == "b1" and rows[0].record.authors[0].display == "Nadia Ferris"
     total = inpx.summary(inpx.parse_all(spark, path)).first()
-    assert (total.records, total.skipped) == (13, 9)
+    assert (total.records, total.skipped) == (15, 10)
 
 
 def test_manifest_and_damage(spark, folder):
@@ -306,11 +308,14 @@ def test_payload_cases(spark):
     cover = "<coverpage><image l:href=\"#c.png\"/></coverpage><sequence name=\"Tides\" number=\"1.5\"/><annotation><p> One </p><p></p><p>Two</p></annotation>"
     whole = payload("T", extra=cover) + b'</p></body><binary id="c.png" content-type="image/png">aGVsbG8=</binary></FictionBook>'
     cases = [("whole", whole), ("cp1251", payload("Тест").decode().replace("utf-8", "windows-1251").encode("cp1251")), ("utf16", b"\xff\xfe" + payload("Wide").decode().encode("utf-16-le")), ("none", b"<x/>"), ("untitled", payload(" ")), ("prefixed", payload("P").replace(b"<", b"<f:").replace(b"<f:/", b"</f:").replace(b"<f:?", b"<?")), ("cut", payload("Cut") + "я".encode()[:1])]
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    one = b"<author><first-name>Nadia</first-name><last-name>Ferris</last-name></author>"
+    blank = b"<author><first-name> </first-name><last-name/></author>"
+    cases += [("nobody", payload("N").replace(one, b"")), ("blank", payload("N").replace(one, blank * 2)), ("some", payload("N").replace(one, blank + one))]
     rows = {r.name: r for r in fb2.covers(fb2.parse(spark.createDataFrame(cases, "name string, content binary"))).collect()}
     b = rows["whole"].book
     assert (b.title, b.series, b.series_index, b.description, b.genres, b.authors) == ("T", "Tides", 1.5, "One\nTwo", ["tale", "sea-lore"], ["Nadia Ferris"])
     assert bytes(rows["whole"].cover) == b"hello" and rows["whole"].cover_ext == "png" and rows["whole"].cover_diagnostic is None
     assert rows["cp1251"].book.title == "Тест" and rows["utf16"].book.title == "Wide" and rows["prefixed"].book.title == "P"
     assert rows["cut"].book.title == "Cut" and rows["cut"].book.warning_count == 1
+    assert rows["nobody"].book.authors == ["Аноним"] and rows["nobody"].book.warning_count == 1 and rows["blank"].book.authors == ["Аноним"] and rows["some"].book.authors == ["Nadia Ferris"]
     assert rows["none"].reject_reason == "no description" and rows["untitled"].reject_reason == "no title"

@@ -29,7 +29,6 @@ def test_tokens(spark):
 
 
 def test_charsets(spark):
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     text = "Фонарь над гаванью"
     assert one(spark, T.decode_legacy, text.encode("cp1251"), "binary") == text
     assert one(spark, T.decode_legacy, text.encode("cp866"), "binary") == text
@@ -40,6 +39,68 @@ def test_charsets(spark):
     assert one(spark, T.normalize_bytes, b"\xff", "binary") == "\x00invalid:FF"
 
 
+def test_segment_charsets(spark):
+    """Marks, UTF-8, the likelier Cyrillic charset, bytes that CP1251 lacks, and bytes that have no text."""
+    text = "Школа книги"
+    cases = {
+        "utf8": (text.encode(), text, None),
+        "utf8 with its mark": (b"\xef\xbb\xbf" + text.encode(), text, None),
+        "mark and a broken end": (b"\xef\xbb\xbfab\xff", "ab\ufffd", None),
+        "cp866 with 0x98": (text.encode("cp866"), text, None),
+        "cp1251": (text.encode("cp1251"), text, None),
+        "cp1251 with 0x98": ("Большая книга ".encode("cp1251") + b"\x98", "Большая книга \ufffd", None),
+        "utf16 le": (b"\xff\xfe" + (text + "😀").encode("utf-16-le"), text + "😀", None),
+        "utf16 be": (b"\xfe\xff" + (text + "😀").encode("utf-16-be"), text + "😀", None),
+        "odd": (b"\xff\xfea", None, "utf16-broken"),
+        "half a pair": (b"\xff\xfe" + b"a\0\x3d\xd8b\0", None, "utf16-broken"),
+        "other half": (b"\xfe\xff" + b"\xde\0\0a", None, "utf16-broken"),
+        "pairs without a gap": (b"\xfe\xff" + "😀😀a".encode("utf-16-be"), "😀😀a", None),
+        "tie": (b"\xe0", None, "charset-ambiguous"),
+        "empty": (b"", "", None),
+    }
+    rows = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "name string, c binary").select("name", T.decode_segment(F.col("c")).alias("d")).collect()
+    assert {r.name: (r.d.text, r.d.problem) for r in rows} == {k: v[1:] for k, v in cases.items()}
+    every = bytes(range(256))
+    assert one(spark, lambda c: T.decode_single_byte(c, "cp866"), every, "binary") == every.decode("cp866")
+    assert one(spark, lambda c: T.decode_single_byte(c, "cp1251"), every, "binary") == every.decode("cp1251", errors="replace")
+
+
+def test_declared_charsets(spark):
+    text = "<?xml version='1.0' encoding='{}'?>Шар"
+    own = lambda name, raw, lead=b"": lead + text.format(name).encode(raw)
+    cases = [
+        (own("windows-1251", "cp1251"), 0), (own("CP866", "cp866"), 0), (own("windows-1251", "cp1251") + b"\x98", 1), (own("utf-8", "utf-8", b"\xef\xbb\xbf"), 0), (own("windows-1251", "cp1251", b"\xef\xbb\xbf"), 0),
+        (own("utf-8", "utf-8") + "я".encode()[:1], 1), (own("utf-8", "cp1251"), 1), (own("koi8-r", "cp866"), 1), (own("utf-16", "utf-8"), 0), (own("utf-16", "utf-16-be", b"\xfe\xff"), 0),
+    ]
+    for raw, warnings in cases:
+        d = one(spark, T.decode_declared, raw, "binary")
+        assert d.text.rstrip("\ufffd").endswith("Шар") and d.warnings == warnings, raw
+
+
+def test_tokens_equal_full_text_index(spark):
+    """Over all code points, alone and inside of words, the tokens are those of SQLite's index over the normalised text."""
+    sqlite3 = pytest.importorskip("sqlite3")
+    index = sqlite3.connect(":memory:")
+    try:
+        index.execute("create virtual table f using fts5(x, tokenize = 'unicode61', content = '', columnsize = 0)")
+    except sqlite3.OperationalError:
+        pytest.skip("no full-text index")
+    index.execute("create virtual table v using fts5vocab(f, 'instance')")
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x110000)]]
+    # sixteen to a row: between letters, at the start and end of a word, and alone
+    rows = [(i, " ".join(f"q{x}z x{x} {x}w {x}" for x in points[i : i + 16])) for i in range(0, len(points), 16)]
+    rows += [(-1, "cafe\u0301x"), (-2, "\u0301abc d\u0301"), (-3, "ǈ Ⅷ Ɐ Ё ß ẞ İ ς")]
+    df = spark.createDataFrame(rows, "i int, x string").repartition(8)
+    found = df.select("i", T.normalize(F.col("x")).alias("n"), T.tokens(F.col("x")).alias("t")).collect()
+    index.executemany("insert into f(rowid, x) values (?, ?)", [(r.i, r.n) for r in found])
+    theirs = {}
+    for term, doc, place in index.execute("select term, doc, offset from v"):
+        theirs.setdefault(doc, {})[place] = term
+    for r in found:
+        assert r.t == [w for _, w in sorted(theirs.get(r.i, {}).items())], r.n
+    assert one(spark, T.tokens, "a\0b") == ["a", "b"]
+
+
 @pytest.mark.parametrize(("raw", "code"), [("ru-RU", "ru"), ("EN_us", "en"), (" Русский ", "ru"), ("ukr, rus", "uk"), ("und", ""), ("", ""), ("xx-yy", "xx-yy"), ("sr-Latn", "sr"), ("klingon", "klingon")])
 def test_language(spark, raw, code):
     assert one(spark, X.normalize_language, raw) == code
