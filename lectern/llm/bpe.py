@@ -374,6 +374,25 @@ class Lexicon:
         return out
 
 
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number of each distinct word, which of them each word is). Words of equal hashes are compared byte by byte."""
+    _, one, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    size, like = ends - starts, one[which]
+    other = size != size[like]
+    live = np.flatnonzero(~other & (like != np.arange(len(size))) & (size > 0))
+    if len(live):
+        differ = data[ragged(starts[live], size[live])] != data[ragged(starts[like[live]], size[live])]
+        other[live] = np.logical_or.reduceat(differ, np.cumsum(size[live]) - size[live])
+    found: dict[bytes, int] = {}
+    for i in np.flatnonzero(other).tolist():  # none, but for collisions
+        word = data[starts[i] : ends[i]].tobytes()
+        if word not in found:
+            found[word] = len(one)
+            one = np.append(one, i)
+        which[i] = found[word]
+    return one, which
+
+
 def encode(texts: list[str], vocab: Vocabulary, lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds) of whole texts: bounds[i] is where text i's ids start, with the total at the end."""
     pieces, owner, special = [], [], []
@@ -386,7 +405,7 @@ def encode(texts: list[str], vocab: Vocabulary, lexicon: Lexicon | None = None)
     starts, ends = bounds[:-1], bounds[1:]
     number = lexicon.find(data, bounds) if lexicon else np.full(len(starts), -1, np.int64)
     unseen = np.flatnonzero(number < 0)
-    _, one, which = np.unique(span_hashes(data, starts[unseen], ends[unseen]), return_index=True, return_inverse=True)
+    one, which = distinct_words(data, starts[unseen], ends[unseen])
     made, counts = vocab.merge(data, starts[unseen[one]], ends[unseen[one]])
     pool = np.concatenate([lexicon.pool, made]) if lexicon else made
     base = len(pool) - len(made)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -90,6 +91,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 #: Bytes of a block of span_hashes(); powers of the base begin anew in each.
 _BLOCK = 1 << 18
+#: Polynomials modulo 2^64 have known collisions from some 1,024 bytes on, whatever the base; longer spans than this are hashed by BLAKE2 instead.
+_LONG = 256
 
 
 @lru_cache(maxsize=1)
@@ -122,10 +125,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans with ascending starts: differences of a running polynomial, scaled back to position 0.
-
-    It goes block by block; a span that leaves its block is summed up part by part.
-    """
+    """64-bit hashes of byte spans with ascending starts: differences of a running polynomial, scaled back to position 0; BLAKE2 for long ones."""
     up, down = _power_tables()
     out = np.empty(len(starts), np.uint64)
     blocks = range(0, len(data), _BLOCK)
@@ -138,7 +138,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         np.cumsum(_BYTE_VALUE[part] * up[: len(part)], out=running[1:])
         begin, end = starts[lo:hi] - b, ends[lo:hi] - b
         out[lo:hi] = (running[np.minimum(end, len(part))] - running[begin]) * down[begin]
-        for i in (lo + np.flatnonzero(end > len(part))).tolist():
+        for i in (lo + np.flatnonzero((end > len(part)) & (end - begin <= _LONG))).tolist():
             at, total = b + len(part), int(out[i])
             while at < ends[i]:
                 more = data[at : min(at + _BLOCK, int(ends[i]))]
@@ -146,6 +146,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
                 total += own * pow(_BASE, at - int(starts[i]), 1 << 64)
                 at += len(more)
             out[i] = np.uint64(total & (1 << 64) - 1)
+        for i in (lo + np.flatnonzero(end - begin > _LONG)).tolist():
+            out[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), np.uint64)[0]
     tail = first[-1]
     out[tail:] = 0  # empty spans at the end of the data
     return mix(out + (ends - starts).astype(np.uint64))

@@ -34,6 +34,8 @@ WALKS = 2
 MAX_EDITS = 0.2
 #: Shorter items (bytes) have no whole stretch; they are cut into one piece more than edits may hit, and each place of a piece is verified.
 LEAST_ITEM = 48
+#: From so many bytes on, the share of edits up to which an item is found with a probability of 0.95 or more; shorter items are always found.
+ASSURED = {48: 0.05, 72: 0.1, 96: 0.12, 144: 0.15, 224: MAX_EDITS}
 #: Bytes without a blank after which windows start inside a word too.
 RUN = 16
 #: A hit is looked at closely first: so many bytes of the item around it must be in the text within so many edits, twice the share of whole items.
@@ -51,6 +53,13 @@ ITEMS_PER_PASS = 50_000
 #: The same for the bytes of their texts, as each word of an item has walks.
 BYTES_PER_PASS = 4 << 20
 
+
+
+def assured_edits(size: int) -> float:
+    """Share of edits up to which items of so many bytes are found with a probability of 0.95 or more. Up to MAX_EDITS they may be found, too, but less often: a short item has few stretches."""
+    return next((share for least, share in reversed(ASSURED.items()) if size >= least), MAX_EDITS)
+
+
 _SEED = np.random.default_rng(20240229)
 #: A step's random table: a character c moves on if the top bit of factor * c + shift (in a byte) is set.
 _FACTOR = _SEED.integers(0, 128, (WALKS, STRETCHES * SPAN), dtype=np.uint8) * np.uint8(2) + np.uint8(1)

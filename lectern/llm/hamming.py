@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing (operator 2).
 
-A code has a bit for each dimension, in words of 64 bits, and is cut into pieces: five to a word, or four longer ones from
-MANY codes on, so that the codes that share a piece's value grow less than the table. If two codes differ in at most r bits, some piece differs in at most
+A code has a bit for each dimension, in words of 64 bits, and is cut into pieces of about as many bits as the number of
+codes has: then a value of a piece is shared by a few codes only, however large the table. If two codes differ in at most r bits, some piece differs in at most
 floor(r / pieces). So with all pieces searched up to radius s, every code within pieces * (s + 1) - 1 bits is found.
 The radius grows round by round, for the queries alone whose k-th verified neighbour is not yet within that bound.
 
@@ -11,6 +11,7 @@ piece's value lie together in blocks of bounded size, and a probe meets a block,
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import cut, drop
 
 BITS = 64
-#: From so many codes on, pieces have 16 bits instead of 13. Balls of longer ones would be too large for queries far from all codes.
-MANY = 1 << 18
+#: Pieces of a word at most, as shorter ones tell little apart, and at least, as balls of longer ones are too large.
+MOST_PIECES, LEAST_PIECES = 5, 2
 K = 10
 #: Every row whose id is divisible by this is a query.
 QUERY_STEP = 20
@@ -29,8 +30,8 @@ BLOCK = 256
 
 
 def pieces_of(words: int, codes: int) -> list[tuple[int, int, int]]:
-    """(word, first bit, bits) of each piece."""
-    n = 5 if codes < MANY else 4
+    """(word, first bit, bits) of each piece: of log2(codes) bits or a little less, by the rule of multi-index hashing."""
+    n = min(MOST_PIECES, max(LEAST_PIECES, math.ceil(BITS / max(1.0, math.log2(max(2, codes))))))
     return [(w, BITS * i // n, BITS * (i + 1) // n - BITS * i // n) for w in range(words) for i in range(n)]
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, bucket_of, map_batches, mix, sliced, span_hashes, text_column
+from .common import _LOWER, _SPACE, bucket_of, drop, map_batches, mix, sliced, span_hashes, text_column
 from .toxicity import SPREAD, calibrate, learning_rows, read_examples, sample
 
 BITS = 20
@@ -116,11 +116,14 @@ def _trainer(share: float, s: Settings):
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """The weights. It learns from rows whose crc32(doc_id) mod 5 is not 0; the sample is bounded by s and trained in one task."""
-    share = learning_rows(labels, "quality", 5, 0).agg(F.avg(F.col("label").cast("double")).alias("share")).first().share
-    examples = sample(docs, labels, "quality", 5, 0, {1: s.good, 0: s.poor}, s.sample_bytes, s.longest)
+    known = learning_rows(docs, labels, "quality", 5, 0, s.longest)
+    share = known.agg(F.avg(F.col("label").cast("double")).alias("share")).first().share
+    examples = sample(docs, known, {1: s.good, 0: s.poor}, s.sample_bytes, s.longest)
     hashed = map_batches(examples.repartition(SPREAD), _features, "doc_id long, label int, rows binary, values binary")
     made = map_batches(hashed.repartition(1), _trainer(0.5 if share is None else share, s), "model binary")
-    return np.frombuffer(bytes(made.collect()[0].model), np.float32)
+    model = np.frombuffer(bytes(made.collect()[0].model), np.float32)
+    drop(known)
+    return model
 
 
 def _scores(weights: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _SPACE, SLICE_BYTES, binary_views, bucket_of, map_batches, mix, sliced, text_column
+from .common import _LOWER, _SPACE, SLICE_BYTES, binary_views, bucket_of, cut, drop, map_batches, mix, sliced, text_column
 
 BITS = 18
 GRAMS = (3, 4, 5)
@@ -195,19 +195,18 @@ def _trainer(s: Settings, share: float | None):
     return run
 
 
-def learning_rows(labels: DataFrame, column: str, mod: int, held: int) -> DataFrame:
-    """(doc_id, label) of each id with a label of 0 or 1 that is not held out; 1 where its labels differ."""
+def learning_rows(docs: DataFrame, labels: DataFrame, column: str, mod: int, held: int, longest: int) -> DataFrame:
+    """(doc_id, label) of each id that isn't held out, has a label of 0 or 1 and a document whose text isn't null or over `longest` bytes; 1 where its labels differ. Written: bounds and counts are those of these rows."""
     known = labels.select("doc_id", F.col(column).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (bucket_of("doc_id", mod) != held))
-    return known.groupBy("doc_id").agg(F.max("label").alias("label"))
+    usable = docs.filter(F.octet_length("text") <= longest).select("doc_id")
+    return cut(known.groupBy("doc_id").agg(F.max("label").alias("label")).join(usable, "doc_id", "left_semi"), "learning")
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, held: int, most: dict[int, int], sample_bytes: int, longest: int) -> DataFrame:
-    """(doc_id, text, label) of at most most[c] learning rows of each class c, those with the least hashed ids, up to sample_bytes of text.
+def sample(docs: DataFrame, known: DataFrame, most: dict[int, int], sample_bytes: int, longest: int) -> DataFrame:
+    """(doc_id, text, label) of at most most[c] of the learning rows of each class c, those with the least hashed ids, up to sample_bytes of text.
 
-    Rows without an id, a text or a label of 0 or 1 are left out, so are held-out rows and texts over `longest` bytes. An
-    id that has several rows gives one, with the least text.
+    An id that has several rows gives one, with the least text.
     """
-    known = learning_rows(labels, column, mod, held)
     some = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in most.items()]
     picked = some[0].union(some[1])
     # picked has at most sum(most) rows of two numbers
@@ -220,14 +219,17 @@ def sample(docs: DataFrame, labels: DataFrame, column: str, mod: int, held: int,
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """The folded model. It learns from rows whose crc32(doc_id) mod 3 is not 1; the sample is bounded by s and trained in one task."""
-    n = {r.label: r.n for r in learning_rows(labels, "toxic", 3, 1).groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = learning_rows(docs, labels, "toxic", 3, 1, s.longest)
+    n = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     # unless a bound bites, the sample's own share is that of all learning rows
     bites = n.get(1, 0) > s.positives or n.get(0, 0) > s.negatives
     share = n.get(1, 0) / (n.get(1, 0) + n.get(0, 0)) if bites else None
-    examples = sample(docs, labels, "toxic", 3, 1, {1: s.positives, 0: s.negatives}, s.sample_bytes, s.longest)
+    examples = sample(docs, known, {1: s.positives, 0: s.negatives}, s.sample_bytes, s.longest)
     bagged = map_batches(examples.repartition(SPREAD), _features, "doc_id long, label int, ids binary, weights binary")
     made = map_batches(bagged.repartition(1), _trainer(s, share), "model binary")
-    return np.frombuffer(bytes(made.collect()[0].model), np.float32)
+    model = np.frombuffer(bytes(made.collect()[0].model), np.float32)
+    drop(known)
+    return model
 
 
 def _scores(weights: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:

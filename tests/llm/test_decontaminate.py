@@ -2,6 +2,7 @@ import random
 import types
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate as D
@@ -55,6 +56,16 @@ def test_items_edited_to_the_limit():
     assert got <= {(k, k) for k, _ in items} and len(got) >= 0.85 * 60
 
 
+@pytest.mark.parametrize("size", [20, 40, 47, 48, 55, 60, 71, 72, 80, 95, 96, 110, 143, 144, 160, 223, 224, 260])
+def test_recall_of_each_length(size):
+    """Items of each length with as many substitutions as are assured for it."""
+    rng, n = random.Random(size), 100
+    items = [(k, words(rng, 60)[:size].strip().ljust(size, "x")) for k in range(n)]
+    docs = [(k, f"{words(rng, 20)} {edited(rng, text, int(size * D.assured_edits(size)))} {words(rng, 20)}") for k, text in items]
+    got = {(d, i) for d, i, _ in found(docs, items)}
+    assert got <= {(k, k) for k, _ in items} and len(got) >= 0.95 * n, len(got)
+
+
 def test_distances_side_by_side():
     rng = random.Random(1)
     some = [(bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 90))), bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 150)))) for _ in range(600)]

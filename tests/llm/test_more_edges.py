@@ -35,7 +35,7 @@ def test_all_dimensions_count(spark, monkeypatch):
             near = sorted(((bits[q] ^ bits[j]).bit_count(), j) for j in bits if j != q)[:10]
             expected += [(q, n + 1, j, d) for n, (d, j) in enumerate(near)]
     assert sorted(tuple(r) for r in hamming.search(df).collect()) == sorted(expected)
-    monkeypatch.setattr(hamming, "MANY", 50)  # the pieces of large tables
+    monkeypatch.setattr(hamming, "MOST_PIECES", 3)  # the pieces of large tables
     assert sorted(tuple(r) for r in hamming.search(df).collect()) == sorted(expected)
     small = [(i, e[:64]) for i, e in rows]
     df = spark.createDataFrame(small, "vec_id long, embedding array<float>")

@@ -35,6 +35,14 @@ def brute(docs):
     return sets, {i: find(i) for i in docs}
 
 
+def test_words_that_share_a_polynomial(spark):
+    """Long words that a polynomial modulo 2^64 takes for one are two."""
+    bits = [i.bit_count() % 2 for i in range(2048)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    docs = spark.createDataFrame([(1, one), (2, other), (3, one), (4, f"{one} x y z w"), (5, f"{other} x y z w")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
 def test_equals_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     sets, expected = brute({r.doc_id: r.text for r in docs.collect()})

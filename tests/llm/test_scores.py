@@ -1,5 +1,6 @@
 """Scores of the learned operators against plain Python over the same weights."""
 
+import hashlib
 import math
 import re
 import resource
@@ -80,11 +81,12 @@ def test_sample_is_bounded(spark):
     """Rows that repeat a picked id don't widen the sample; nor do long texts."""
     docs = spark.createDataFrame([(i % 20, f"text {i} " * (1 + i % 3)) for i in range(400)] + [(21, "x" * 5000), (22, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, toxic int")
-    rows = toxicity.sample(docs, labels, "toxic", 3, 1, {1: 50, 0: 50}, 1 << 20, 1000).collect()
+    known = toxicity.learning_rows(docs, labels, "toxic", 3, 1, 1000)
+    rows = toxicity.sample(docs, known, {1: 50, 0: 50}, 1 << 20, 1000).collect()
     assert len({r.doc_id for r in rows}) == len(rows) and {r.doc_id for r in rows} <= set(range(20))
-    few = toxicity.sample(docs, labels, "toxic", 3, 1, {1: 50, 0: 50}, 60, 1000).collect()
+    few = toxicity.sample(docs, known, {1: 50, 0: 50}, 60, 1000).collect()
     assert 0 < len(few) < len(rows) and sum(len(r.text) for r in few) <= 60
-    assert len(toxicity.sample(docs, labels, "toxic", 3, 1, {1: 2, 0: 3}, 1 << 20, 1000).collect()) == 5
+    assert len(toxicity.sample(docs, known, {1: 2, 0: 3}, 1 << 20, 1000).collect()) == 5
 
 
 def test_spans_longer_than_a_block():
@@ -94,9 +96,18 @@ def test_spans_longer_than_a_block():
     starts, ends = np.array([0, 5, common._BLOCK - 1, common._BLOCK]), np.array([3, len(raw), common._BLOCK + 9, 2 * common._BLOCK])
     found = common.span_hashes(np.frombuffer(raw, np.uint8), starts, ends)
     assert found[0] == span_hash(raw[:3]) and found[2] == span_hash(raw[common._BLOCK - 1 : common._BLOCK + 9])
-    powers = np.full(len(raw), common._BASE, np.uint64)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
     for i in (1, 3):
-        own = np.frombuffer(raw[starts[i] : ends[i]], np.uint8)
-        assert int(found[i]) == mix(int(np.sum(common._BYTE_VALUE[own] * powers[: len(own)], dtype=np.uint64)) + len(own) & MASK)
+        own = raw[starts[i] : ends[i]]
+        assert int(found[i]) == mix(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little") + len(own) & MASK)
+
+
+def test_labels_of_absent_documents_change_nothing(spark):
+    """100,000 labels of documents that aren't there, or have no text or a too long one, use up no bound and move no share."""
+    rows = [(i, f"word{i % 9} {'bad' if i % 3 == 0 else 'good'} text {i}") for i in range(300)]
+    docs = spark.createDataFrame([*rows, (400, None), (401, "x" * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int, quality int")
+    absent = spark.range(400, 100_400).selectExpr("id as doc_id", "1 as toxic", "1 as quality")
+    settings = toxicity.Settings(positives=60, negatives=120, longest=1000)
+    assert (toxicity.fit(docs, labels, settings) == toxicity.fit(docs, labels.union(absent), settings)).all()
+    settings = quality.Settings(good=60, poor=120, longest=1000)
+    assert (quality.fit(docs, labels, settings) == quality.fit(docs, labels.union(absent), settings)).all()

@@ -45,6 +45,23 @@ def test_odd_texts(library):
         assert [np.frombuffer(b, encoder.kind).tolist() for b in encoder.encode(ODD)] == [library.encode(t, add_special_tokens=False).ids for t in ODD]
 
 
+def morse(n):
+    """The Thue-Morse word of n letters and its complement: polynomials modulo 2^64 have one value for both."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096, 8192])
+def test_words_that_share_a_polynomial(library, n):
+    check([*morse(n), " ".join(morse(n))], library)
+
+
+def test_words_that_share_a_hash(library, monkeypatch):
+    """Whatever the hash, words are told apart by their bytes."""
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    check(ODD, library)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from(string.printable + "éßя日'  \n"), st.characters(exclude_categories=["Cs"])), max_size=60), max_size=6))
 def test_any_texts(texts):
