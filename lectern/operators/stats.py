@@ -63,6 +63,13 @@ def stage_timing(events: DataFrame, groups: list[str], stage: str, elapsed: str)
     return each.withColumns({"mean_ms": F.col("total_ms") / F.col("calls"), "percent": F.floor(F.col("total_ms") * 100 / F.sum("total_ms").over(whole)).cast("int"), "rank": F.rank().over(order)})
 
 
+def throughput(events: DataFrame, groups: list[str], time: str) -> DataFrame:
+    """Items of each group, and items a second between its first and last time; 0 where no time passed."""
+    at = F.col(time).cast("timestamp")
+    each = events.groupBy(*groups).agg(F.count("*").alias("items"), (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))).alias("_us"))
+    return each.withColumn("per_second", F.when(F.col("_us") > 0, F.col("items") * 1_000_000 / F.col("_us")).otherwise(F.lit(0.0))).drop("_us")
+
+
 def outliers(events: DataFrame, elapsed: str, threshold: float = 5000) -> DataFrame:
     """Items that took the threshold or longer."""
     return events.filter(F.col(elapsed) >= threshold)

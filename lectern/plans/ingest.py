@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from functools import reduce
 
@@ -14,10 +15,13 @@ from lectern.functions.text import normalize
 from lectern.operators import model, quality, reconcile, search, stats
 from lectern.operators.quality import Rejected
 from lectern.sources import archives, fb2, inpx
+from lectern.storage import folders
 
 from . import snapshot as store
 
 AVAILABLE, MISSING = "available", "missing_from_index"
+#: Archives that are looked for when a source's folder is inferred.
+ROOT_SAMPLE = 16
 #: Warnings that a scan keeps, and scans whose warnings are kept.
 MOST_WARNINGS, WARNING_SCANS = 1000, 10
 COUNTERS = (
@@ -92,6 +96,19 @@ def archive_states(spark: SparkSession, root: str, names: DataFrame) -> DataFram
     return found.join(files, ["archive", "folder"]).drop("folder")
 
 
+def infer_root(spark: SparkSession, source: str) -> str:
+    """The folder of a source's archives (S12): the source's own or one in it, whichever has most of the first ROOT_SAMPLE archives, the first of equals; its own if none has any."""
+    parent = source.rsplit("/", 1)[0] or "/"
+    names = spark.createDataFrame(list(enumerate(inpx.segment_names(source))), "o int, name string").select("o", archive_name(F.col("name")).alias("archive"))
+    sample = archives.first_names(names, "o", ROOT_SAMPLE)
+    candidates = spark.createDataFrame([(name, k) for k, name in enumerate(["", *folders(spark, parent)])], "candidate string, ord int")
+    base = F.regexp_replace("path", r"^file:/+", "/")
+    below = F.substring(base, F.lit(len(re.sub("^file:/+", "/", parent).rstrip("/")) + 2), F.length(base))
+    listing = archives.file_states(spark, parent).select(F.regexp_extract(below, "^(?:([^/]*)/)?[^/]*$", 1).alias("candidate"), F.regexp_extract(below, "([^/]*)$", 1).alias("archive"), below.alias("b")).filter(~F.col("b").rlike("/.*/"))
+    best = archives.best_root(sample, candidates, listing).first()
+    return f"{parent.rstrip('/')}/{best.candidate}" if best.candidate else parent
+
+
 def plan_segments(spark: SparkSession, source: str, archive_root: str, old: DataFrame | None) -> DataFrame:
     """Segments of the source with what is known of their archives, and what is to be done with each (ST2): change, step.
 
@@ -163,24 +180,25 @@ def broken_rules(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def scan(spark: SparkSession, source: str, archive_root: str, root: str, snapshot: str, scan_time: Column, mode: str = "failfast", genres: Mapping[str, str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, source: str, archive_root: str | None, root: str, snapshot: str, scan_time: Column, mode: str = "failfast", genres: Mapping[str, str] | None = None, cover_budget: int | None = None) -> DataFrame:
     """Brings the catalogue under root to the state of a source and publishes it as `snapshot`; returns the scan's counters, one row.
 
     Only segments whose text or archive is new are parsed; books that the source no longer offers stay, as
     missing_from_index, with their id and time, and come back when it offers them again. genres maps codes to display
     names. A rejected record or payload fails the scan unless mode is permissive; what may not be published never is.
+    Without archive_root it is inferred from the source's place. cover_budget bounds the bytes of covers that books name.
     The scan writes what it changes; all else is named again by the new version. It is refused if another scan published
     meanwhile, or if the source or an archive that it relied on is no longer as it was.
     """
     draft = store.Draft(spark, root, snapshot)
     try:
-        return _scan(draft, source, archive_root, scan_time, mode, genres or {})
+        return _scan(draft, source, archive_root or infer_root(spark, source), scan_time, mode, genres or {}, cover_budget)
     except BaseException:
         draft.drop()
         raise
 
 
-def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column, mode: str, genres: Mapping[str, str]) -> DataFrame:
+def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column, mode: str, genres: Mapping[str, str], cover_budget: int | None) -> DataFrame:
     spark, snapshot, stage = draft.spark, draft.snapshot, draft.stage
     old = None if draft.base is None else {n: draft.old(n) for n in SCHEMAS}
     empty = {n: T._parse_datatype_string(ddl) for n, ddl in SCHEMAS.items()}
@@ -260,6 +278,9 @@ def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column,
     references = stats.cover_references(sized, "cover_path", "size_bytes").select("cover_path", "reference_count", "size_bytes")
     covers = draft.change("covers", "cover_path", reconcile.changed_rows(was["covers"], references, "cover_path"), unused)
 
+    if cover_budget is not None and not (used := stats.budget(covers, cover_budget).first()).within:
+        raise Rejected(f"covers need {used.used} bytes, {cover_budget} are allowed")
+
     scan_no = was["scans"].agg(F.coalesce(F.max("scan_no"), F.lit(0)).alias("m")).first().m + 1
     draft.put("sources", spark.range(1).select(F.lit(1).alias("id"), F.lit(source_print).alias("source_fingerprint"), F.lit(snapshot).alias("scan_id"), scan_time.alias("scan_time")))
     warnings = stage("warnings", _warnings(was["scan_warnings"], parsed, refused, placed, snapshot, scan_no))

@@ -311,6 +311,13 @@ def stage_timing(t: Tables) -> DataFrame:
     return own.select("stage", "calls", F.round("total_ms", 2).alias("total_ms"), F.round("mean_ms", 2).alias("mean_ms"), "rank")
 
 
+@query("select stage, count(*) as items, round(case when epoch_us(max(ts)) > epoch_us(min(ts)) then count(*) * 1000000 / (epoch_us(max(ts)) - epoch_us(min(ts))) else 0 end, 6) as per_second, (sum(round(elapsed_ms)::bigint) * 100 // sum(sum(round(elapsed_ms)::bigint)) over ())::int as percent from v_stages group by 1", "stages")
+def stage_throughput(t: Tables) -> DataFrame:
+    """Items a second, and the whole percent of the time."""
+    shares = stats.stage_timing(t.stages.withColumn("elapsed_ms", F.round("elapsed_ms").cast("long")), [], "stage", "elapsed_ms").select("stage", "percent")
+    return stats.throughput(t.stages, ["stage"], "ts").withColumn("per_second", F.round("per_second", 6)).join(shares, "stage")
+
+
 @query("select archive, stage, count(*) as calls, sum(round(elapsed_ms)::bigint)::bigint as total_ms, (sum(round(elapsed_ms)::bigint) * 100 // sum(sum(round(elapsed_ms)::bigint)) over (partition by archive))::int as percent, rank() over (partition by archive order by sum(round(elapsed_ms)::bigint) desc, stage)::int as rank from v_stages group by 1, 2 having sum(round(elapsed_ms)::bigint) > 0", "stages")
 def archive_stage_timing(t: Tables) -> DataFrame:
     """A17."""

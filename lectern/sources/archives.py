@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zipfile
 import zlib
 
@@ -16,6 +17,8 @@ from .inpx import open_file
 MAX_PAYLOAD = 250 << 20
 #: Archives of more entries, or of more bytes once unpacked, are refused.
 MAX_ENTRIES, MAX_UNPACKED = 1_000_000, 1 << 40
+#: Bytes of payloads that are handed on at once; a larger one is alone.
+BATCH = 16 << 20
 
 
 class _Archive(InputPartition):
@@ -25,7 +28,7 @@ class _Archive(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p for p in options["path"].split(",") if p]
+        self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.entries, self.unpacked = int(options.get("maxEntries", MAX_ENTRIES)), int(options.get("maxBytes", MAX_UNPACKED))
         self.validate = str(options.get("validate", "false")).lower() == "true"
 
@@ -55,7 +58,8 @@ class _Reader(DataSourceReader):
 class ZipManifest(DataSource):
     """format("zip_manifest"): name, size and CRC of each entry from the central directory; a task for each archive.
 
-    Option validate also reads every payload and tells whether its length and CRC hold; maxEntries and maxBytes bound an archive.
+    The archives are the path, or the JSON list in the option paths. Option validate also reads every payload and tells
+    whether its length and CRC hold; maxEntries and maxBytes bound an archive.
     """
 
     @classmethod
@@ -71,7 +75,7 @@ class ZipManifest(DataSource):
 
 def manifests(spark: SparkSession, paths: list[str], validate: bool = False) -> DataFrame:
     spark.dataSource.register(ZipManifest)
-    return spark.read.format("zip_manifest").option("validate", validate).load(",".join(paths))
+    return spark.read.format("zip_manifest").option("validate", validate).option("paths", json.dumps(paths)).load()
 
 
 def file_states(spark: SparkSession, root: str) -> DataFrame:
@@ -80,7 +84,9 @@ def file_states(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _payloads(batches):
+    """Batches of about BATCH bytes; an archive is opened once for the entries that follow each other."""
     opened: tuple[str, zipfile.ZipFile] | None = None
+    held, size = [], 0
     for batch in batches:
         for row in batch.to_pylist():
             if opened is None or opened[0] != row["archive"]:
@@ -91,12 +97,20 @@ def _payloads(batches):
                 raise ValueError(f"{row['archive']} has no entry {row['entry']}") from None
             if info.file_size > MAX_PAYLOAD:
                 raise ValueError(f"{row['entry']} is over {MAX_PAYLOAD} bytes")
-            yield pa.RecordBatch.from_pylist([row | {"content": opened[1].read(info)}])
+            if held and size + info.file_size > BATCH:
+                yield pa.RecordBatch.from_pylist(held)
+                held, size = [], 0
+            held.append(row | {"content": opened[1].read(info)})
+            size += info.file_size
+    if held:
+        yield pa.RecordBatch.from_pylist(held)
 
 
 def payloads(wanted: DataFrame) -> DataFrame:
-    """(archive, entry, content) of (archive, entry). Rows of an archive go to one task in order, so it is opened once."""
-    dealt = wanted.select("archive", "entry").repartition("archive").sortWithinPartitions("archive", "entry")
+    """(archive, entry, content) of (archive, entry). Tasks have runs of entries that follow each other, so a large archive takes several tasks, and each opens it once."""
+    tasks = max(1, int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # with a given number of ranges the plan keeps them apart, small as the names are beside what they stand for
+    dealt = wanted.select("archive", "entry").repartitionByRange(tasks, "archive", "entry").sortWithinPartitions("archive", "entry")
     return dealt.mapInArrow(_payloads, "archive string, entry string, content binary")
 
 

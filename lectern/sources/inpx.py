@@ -87,6 +87,12 @@ def read_segments(spark: SparkSession, path: str, entries: list[str] | None = No
     return (reader if entries is None else reader.option("entries", json.dumps(entries))).load(path)
 
 
+def segment_names(path: str) -> list[str]:
+    """Names of a source's segments in their order, from its directory alone."""
+    with open_file(path) as f, zipfile.ZipFile(f) as z:
+        return [i.filename for i in z.infolist() if i.filename.lower().endswith(".inp")]
+
+
 def source_fingerprint(path: str) -> str:
     """Hash of a source's file, read in blocks."""
     found = hashlib.sha256()

@@ -40,6 +40,13 @@ def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, ascending."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted((f.getPath().getName() for f in found if f.isDirectory()), key=str.encode)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
