@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, new_folder, sliced
+from .common import cut, drop, look_up, map_batches, new_folder, sliced
 
 #: Payloads of fewer bytes are always stored.
 LEAST_SHARED = 1000
@@ -158,12 +158,12 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     known = pages.withColumns({"digest": F.sha1(html.cast("binary")), "shared": F.octet_length(html) >= LEAST_SHARED})
     # only payloads that occur again; the aggregate is combined before it is shuffled, so copies cost a row a task
-    first = known.filter("shared").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = cut(known.filter("shared").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).filter("n > 1"), "copies")
     refers = F.expr("case when page_id <> response or (page_id is null and response is not null) then response end").alias("refers_to")
-    # small payloads, of which very many may be equal, take no part in the join
-    large = known.filter("shared").join(first, "digest", "left").select("page_id", "url", "html", refers)
-    placed = large.unionAll(known.filter("not shared").select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to")))
+    # small payloads, of which very many may be equal, have no key
+    placed = look_up(known.withColumn("digest", F.when(F.col("shared"), F.col("digest"))), first, "digest").select("page_id", "url", "html", refers)
     map_batches(placed, _writer(folder), "file string, records long").write.mode("overwrite").parquet(f"{folder}/manifest")
+    drop(first)
     return pages.sparkSession.read.parquet(f"{folder}/manifest")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import hamming, neardup, sharding, tokenfile, warc
+from lectern.llm.common import cut, look_up
 
 from .test_neardup import brute as groups
 from .test_stores import brute
