@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop, map_batches, mix, sliced, words
+from .common import cut, drop, look_up, map_batches, mix, sliced, words
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -270,8 +270,8 @@ class NearDuplicates:
             # in a struct null comes first, so a flag puts null ids last
             sketch.filter("digest is not null")
             .groupBy("digest")
-            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n_shingles", "regs")).alias("c"))
-            .select("digest", "c.doc_id", "c.n_shingles", "c.regs"),
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n_shingles", "regs")).alias("c"), F.count("*").alias("n"))
+            .select("digest", "c.doc_id", "c.n_shingles", "c.regs", "n"),
             "classes",
         )
         bands = self.classes.select("doc_id", _band_keys()).select(F.col("pos").alias("band"), F.col("col").alias("key"), "doc_id")
@@ -309,8 +309,9 @@ class NearDuplicates:
                 label = components(links)
         self.made.append(label)
         label = label.select(F.col("id").alias("class_id"), "component")
-        place = self.classes.select("digest", F.col("doc_id").alias("class_id")).join(label, "class_id", "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
-        out = sketch.select("doc_id", "n_shingles", "digest").join(place, "digest", "left")
+        place = self.classes.select("digest", "n", F.col("doc_id").alias("class_id")).join(label, "class_id", "left")
+        place = self._cut(place.select("digest", "n", F.coalesce("component", "class_id").alias("component_id")), "place")
+        out = look_up(sketch.select("doc_id", "n_shingles", "digest"), place, "digest")
         own = F.coalesce("component_id", "doc_id")
         result = cut(out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept")), "groups")
         drop(*self.made)
