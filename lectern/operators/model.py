@@ -48,8 +48,13 @@ def resolve_dimension(old: DataFrame, names: DataFrame, order: str) -> DataFrame
 
 def bridge(lists: DataFrame, owner: str, names: str) -> DataFrame:
     """(owner, normalized_name, ord): each name of a list once, at its first place; blanks dropped, places not closed up (K6)."""
-    rows = lists.select(owner, F.posexplode(names).alias("ord", "name")).withColumn("normalized_name", normalize(F.col("name"))).filter("normalized_name <> ''")
-    return rows.groupBy(owner, "normalized_name").agg(F.min("ord").alias("ord"))
+    return bridge_rows(lists.select(owner, F.posexplode(names).alias("pos", "name")), owner)
+
+
+def bridge_rows(each: DataFrame, owner: str) -> DataFrame:
+    """bridge() of lists whose names are rows already: (owner, pos, name)."""
+    rows = each.withColumn("normalized_name", normalize(F.col("name"))).filter("normalized_name <> ''")
+    return rows.groupBy(owner, "normalized_name").agg(F.min("pos").alias("ord"))
 
 
 def cap_log(log: DataFrame, group: str, order: str, most: int = 1000, place: str | None = None) -> DataFrame:

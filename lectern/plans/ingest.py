@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.fields import archive_name, fingerprint, has_replacement, is_anonymous, normalize_language, resolve_genre, warning_message
+from lectern.functions.fields import archive_name, fingerprint, genre_candidates, has_replacement, is_anonymous, normalize_language, warning_message
 from lectern.functions.text import normalize
-from lectern.operators import model, quality, reconcile, search, stats
+from lectern.operators import lookup, model, quality, reconcile, search, stats
 from lectern.operators.quality import Rejected
 from lectern.sources import archives, fb2, inpx
 from lectern.storage import folders
@@ -49,10 +49,10 @@ SCHEMAS = {
 }
 
 
-def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
+def stored_metadata(joined: DataFrame) -> DataFrame:
     """One book of a record and its payload: the payload's fields, the record's where they are unusable, with flags.
 
-    A fallback of the title is one for replacement characters; a payload without a title is a parser's warning, as is a genre without a name.
+    A fallback of the title is one for replacement characters; a payload without a title is a parser's warning. Genres are codes still.
     """
     b, r = F.col("book"), F.col("record")
     clean = F.filter(F.transform(r["authors"], lambda a: a["display"]), lambda x: (x != "") & ~has_replacement(x))
@@ -60,8 +60,7 @@ def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
     bad_title = F.coalesce(has_replacement(b["title"]), F.lit(False)) & (r["title"] != "") & ~has_replacement(r["title"])
     bad_authors = (F.size(clean) > 0) & ((F.size(b["authors"]) == 0) | F.exists(b["authors"], has_replacement) | is_anonymous(b["authors"]))
     bad_language = (b["language"] == "") & (r["language"] != "")
-    names = F.create_map(*[F.lit(x) for pair in genres.items() for x in pair]) if genres else F.create_map().cast("map<string,string>")
-    return joined.withColumn("_genres", F.transform(b["genres"], lambda g: resolve_genre(g, names))).select(
+    return joined.select(
         "segment_id",
         r["lib_id"].alias("lib_id"),
         "line_no",
@@ -70,8 +69,8 @@ def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
         normalize_language(F.when(bad_language, r["language"]).otherwise(b["language"])).alias("language"),
         F.coalesce(F.nullif(b["identifier"], F.lit("")), r["lib_id"]).alias("identifier"),
         *[b[c].alias(c) for c in ("series", "series_index", "publisher", "year", "isbn", "description")],
-        F.transform("_genres", lambda g: g["name"]).alias("genres"),
-        (b["warning_count"] + F.size(F.filter("_genres", lambda g: ~g["known"]))).alias("parser_warnings"),
+        b["genres"].alias("genres"),
+        b["warning_count"].alias("parser_warnings"),
         r["size"].cast("long").alias("declared_size"),
         "actual_size",
         "archive_name",
@@ -85,6 +84,24 @@ def stored_metadata(joined: DataFrame, genres: Mapping[str, str]) -> DataFrame:
     )
 
 
+def genre_table(spark: SparkSession, genres: Mapping[str, str] | DataFrame | None) -> DataFrame:
+    """(alias, name) of a mapping of codes to display names, or of a table whose first two columns are those."""
+    if isinstance(genres, DataFrame):
+        return genres.toDF("alias", "name", *genres.columns[2:]).select("alias", "name")
+    return spark.createDataFrame(list((genres or {}).items()), "alias string, name string")
+
+
+def named_genres(books: DataFrame, names: DataFrame) -> DataFrame:
+    """(book_id, line, pos, name, known) for each genre of books: its display name, '' for a blank code, the code itself if it has none.
+
+    names is the stored table of lookup.resolve_aliases(); a code that a third of the books have is looked up without a shuffle.
+    """
+    each = books.select("book_id", F.struct("segment_order", "line_no").alias("line"), F.posexplode("genres").alias("pos", "code"))
+    blank = genre_candidates(F.col("code"))[1] == ""
+    found = lookup.look_up(each, names, "code")
+    return found.select("book_id", "line", "pos", F.when(blank, F.lit("")).otherwise(F.coalesce("name", "code")).alias("name"), (blank | F.col("name").isNotNull()).alias("known"))
+
+
 def archive_states(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
     """(archive, resolved_archive_path, archive_size, archive_modified) of the archives of names that lie under root."""
     base = F.regexp_replace("path", r"^file:/+", "/")
@@ -180,25 +197,25 @@ def broken_rules(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def scan(spark: SparkSession, source: str, archive_root: str | None, root: str, snapshot: str, scan_time: Column, mode: str = "failfast", genres: Mapping[str, str] | None = None, cover_budget: int | None = None) -> DataFrame:
+def scan(spark: SparkSession, source: str, archive_root: str | None, root: str, snapshot: str, scan_time: Column, mode: str = "failfast", genres: Mapping[str, str] | DataFrame | None = None, cover_budget: int | None = None) -> DataFrame:
     """Brings the catalogue under root to the state of a source and publishes it as `snapshot`; returns the scan's counters, one row.
 
     Only segments whose text or archive is new are parsed; books that the source no longer offers stay, as
     missing_from_index, with their id and time, and come back when it offers them again. genres maps codes to display
-    names. A rejected record or payload fails the scan unless mode is permissive; what may not be published never is.
+    names, or is a table of the two. A rejected record or payload fails the scan unless mode is permissive; what may not be published never is.
     Without archive_root it is inferred from the source's place. cover_budget bounds the bytes of covers that books name.
     The scan writes what it changes; all else is named again by the new version. It is refused if another scan published
     meanwhile, or if the source or an archive that it relied on is no longer as it was.
     """
     draft = store.Draft(spark, root, snapshot)
     try:
-        return _scan(draft, source, archive_root or infer_root(spark, source), scan_time, mode, genres or {}, cover_budget)
+        return _scan(draft, source, archive_root or infer_root(spark, source), scan_time, mode, genres, cover_budget)
     except BaseException:
         draft.drop()
         raise
 
 
-def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column, mode: str, genres: Mapping[str, str], cover_budget: int | None) -> DataFrame:
+def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column, mode: str, genres: Mapping[str, str] | DataFrame | None, cover_budget: int | None) -> DataFrame:
     spark, snapshot, stage = draft.spark, draft.snapshot, draft.stage
     old = None if draft.base is None else {n: draft.old(n) for n in SCHEMAS}
     empty = {n: T._parse_datatype_string(ddl) for n, ddl in SCHEMAS.items()}
@@ -231,7 +248,7 @@ def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column,
     if twice := quality.duplicates(offered.unionAll(reused.select("lib_id")), ["lib_id"]).head(1):
         raise Rejected(f"library id {twice[0].lib_id} has more than one active record")
     payloads = stage("payloads", read_payloads(records, plan))
-    books = stage("books", stored_metadata(payloads.filter("book is not null"), genres).join(plan.select("segment_id", "segment_order"), "segment_id"))
+    books = stage("books", stored_metadata(payloads.filter("book is not null")).join(plan.select("segment_id", "segment_order"), "segment_id"))
     refused = payloads.filter("book is null").select("segment_id", "line_no", "archive_name", "entry", "payload_reject")
     quality.strict(refused, mode, "payloads were rejected")
     if bad := books.filter("declared_size <> 0 and declared_size <> actual_size").head(1):
@@ -242,10 +259,12 @@ def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column,
     placed = stage("placed", _numbered(books, known, scan_time))
     changed, known_books = placed.select("book_id"), placed.filter("not is_new").select("book_id")
     books_now = draft.change("books", "book_id", placed.withColumn("normalized_title", normalize(F.col("title"))).select(empty["books"].names))
-    for name in ("authors", "genres"):
-        ordered = placed.select(F.posexplode(name).alias("pos", "name"), F.struct("segment_order", "line_no").alias("line")).select("name", F.struct("line", "pos").alias("order"))
-        draft.change(name, "normalized_name", model.new_names(was[name], ordered, "order"), replaces=False)
-        draft.change(f"book_{name}", "book_id", model.bridge(placed, "book_id", name), known_books)
+    codes = stage("genre_codes", lookup.resolve_aliases(placed.select(F.explode("genres").alias("code")), "code", genre_candidates(F.col("code")), genre_table(spark, genres)))
+    each_genre = stage("each_genre", named_genres(placed, codes))
+    each_author = placed.select("book_id", F.struct("segment_order", "line_no").alias("line"), F.posexplode("authors").alias("pos", "name"))
+    for name, each in (("authors", each_author), ("genres", each_genre)):
+        draft.change(name, "normalized_name", model.new_names(was[name], each.select("name", F.struct("line", "pos").alias("order")), "order"), replaces=False)
+        draft.change(f"book_{name}", "book_id", model.bridge_rows(each, "book_id"), known_books)
 
     segment_fields = empty["segments"].names
     fresh_segments = fresh_segments.withColumns({"availability": F.lit(AVAILABLE), "requires_archive": F.col("active_record_count") > 0}).select(segment_fields)
@@ -286,7 +305,7 @@ def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column,
     warnings = stage("warnings", _warnings(was["scan_warnings"], parsed, refused, placed, snapshot, scan_no))
     forgotten = was["scan_warnings"].select("scan_id").distinct().join(warnings.select("scan_id"), "scan_id", "left_anti")
     draft.change("scan_warnings", "scan_id", warnings.filter(F.col("scan_id") == snapshot), forgotten, replaces=False)
-    counters = stage("counters", _counters(was, plan, removed, parsed, placed, segments, locations, scan_no, snapshot, scan_time))
+    counters = stage("counters", _counters(was, plan, removed, parsed, placed, each_genre, segments, locations, scan_no, snapshot, scan_time))
     draft.change("scans", "scan_no", counters, replaces=False)
     draft.put("statistics", stats.catalogue_statistics(locations, covers.select("size_bytes")))
     if inpx.source_fingerprint(source) != source_print:
@@ -339,7 +358,7 @@ def _warnings(old: DataFrame, parsed: DataFrame, refused: DataFrame, placed: Dat
     return kept.select("id", "scan_id", "warning_code", "archive_name", "entry_name", "message")
 
 
-def _counters(was: dict[str, DataFrame], plan: DataFrame, removed: DataFrame, parsed: DataFrame, placed: DataFrame, segments: DataFrame, locations: DataFrame, scan_no: int, scan_id: str, scan_time: Column) -> DataFrame:
+def _counters(was: dict[str, DataFrame], plan: DataFrame, removed: DataFrame, parsed: DataFrame, placed: DataFrame, each_genre: DataFrame, segments: DataFrame, locations: DataFrame, scan_no: int, scan_id: str, scan_time: Column) -> DataFrame:
     """One row of counters of a scan."""
     change = lambda kind: F.count_if(F.col("change") == kind)
     requires = segments.select("segment_id", "requires_archive", "record_count")
@@ -349,10 +368,11 @@ def _counters(was: dict[str, DataFrame], plan: DataFrame, removed: DataFrame, pa
         F.coalesce(F.sum("record_count"), F.lit(0)).alias("records_total"), F.coalesce(F.sum(F.when(F.col("change") == "unchanged", F.col("record_count"))), F.lit(0)).alias("records_reused"),
     )
     gone = removed.agg(F.count_if(F.col("availability") == AVAILABLE).alias("segments_removed"))
-    read = placed.agg(F.coalesce(F.sum("parser_warnings"), F.lit(0)).alias("parser_warnings"), F.count("*").alias("records_parsed"), F.count_if("is_new").alias("records_added"), F.count_if(~F.col("is_new")).alias("records_updated"))
+    nameless = each_genre.agg(F.count_if(~F.col("known")).alias("_nameless"))
+    read = placed.agg(F.coalesce(F.sum("parser_warnings"), F.lit(0)).alias("_mended"), F.count("*").alias("records_parsed"), F.count_if("is_new").alias("records_added"), F.count_if(~F.col("is_new")).alias("records_updated"))
     skipped = parsed.agg(F.count_if(F.col("reject_reason").isNotNull()).alias("records_skipped"))
     flips = reconcile.flips(was["locations"].select("lib_id", "availability"), locations.select("lib_id", "availability")).select(F.col("retired").alias("marked_unavailable"), "restored")
     fallbacks = stats.fallback_counters(placed, {n: F.col(f"{n}_fallback") for n in ("title", "author", "language")})
-    row = reduce(DataFrame.crossJoin, [planned, gone, read, skipped, flips, fallbacks])  # one row each
-    row = row.withColumns({"segments_total": F.col("_now") + F.col("segments_removed"), "scan_no": F.lit(scan_no).cast("long"), "scan_id": F.lit(scan_id), "scan_time": scan_time})
+    row = reduce(DataFrame.crossJoin, [planned, gone, read, nameless, skipped, flips, fallbacks])  # one row each
+    row = row.withColumns({"parser_warnings": F.col("_mended") + F.col("_nameless"), "segments_total": F.col("_now") + F.col("segments_removed"), "scan_no": F.lit(scan_no).cast("long"), "scan_id": F.lit(scan_id), "scan_time": scan_time})
     return row.select("scan_no", "scan_id", "scan_time", *[F.col(c).cast("long").alias(c) for c in COUNTERS])

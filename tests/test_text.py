@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fields as X
 from lectern.functions import text as T
+from lectern.operators.lookup import resolve_aliases
+from lectern.plans import ingest
+from lectern.storage import cut
 
 
 def one(spark, column, value, kind="string"):
@@ -121,6 +124,26 @@ def test_genre(spark, raw, name, known):
     assert (r.name, r.known) == (name, known)
 
 
+def test_genres_by_a_table_equal_those_by_a_map(spark):
+    """Every code with noise around it, one of them in half of all rows, blanks, nulls, unknown codes and an alias that occurs twice."""
+    noise = ["{}", " {} ", "({})", "/{}", "{} Моря", "{}Щ", "-{}", "{}("]
+    codes = [n.format(c) for n in noise for c in ("gn", "sea_lore", "sea-lore", "nix", "")] + [None, "Ж"]
+    lists = [[c, "gn"] for c in codes for _ in range(3)] + [[], None]
+    books = spark.createDataFrame([(k, 1, k, x) for k, x in enumerate(lists)], "book_id long, segment_order long, line_no int, genres array<string>")
+    table = spark.createDataFrame([("gn", "Gnomes", 1), ("gn", "Zed", 2), ("sea_lore", "Sea lore", 3)], "alias string, name string, n int")
+    names = F.create_map(*[F.lit(x) for x in ("gn", "Gnomes", "sea_lore", "Sea lore")])
+    found = cut(resolve_aliases(books.select(F.explode("genres").alias("code")), "code", X.genre_candidates(F.col("code")), ingest.genre_table(spark, table)), "codes")
+    got = ingest.named_genres(books, found)
+    plain = books.select("book_id", F.posexplode("genres").alias("pos", "code")).select("book_id", "pos", X.resolve_genre(F.col("code"), names).alias("g"))
+    expected = {(r.book_id, r.pos): (r.g.name, r.g.known) for r in plain.collect() if lists[r.book_id][r.pos] is not None}
+    rows = got.collect()
+    assert {(r.book_id, r.pos): (r.name, r.known) for r in rows if lists[r.book_id][r.pos] is not None} == expected
+    assert len(rows) == sum(len(x or []) for x in lists) and all(r.name is None for r in rows if lists[r.book_id][r.pos] is None)
+    assert "map(" not in got._jdf.queryExecution().optimizedPlan().toString() and found.filter("code = 'gn'").first().n > len(codes) * 3
+    nothing = cut(resolve_aliases(books.limit(0).select(F.explode("genres").alias("code")), "code", X.genre_candidates(F.col("code")), ingest.genre_table(spark, None)), "codes")
+    assert ingest.named_genres(books.limit(0), nothing).count() == 0
+
+
 def test_fields(spark):
     assert one(spark, X.strict_int, "+7") is None and one(spark, X.strict_int, "-7") == -7
     assert one(spark, X.strict_double, "1.5") == 1.5 and one(spark, X.strict_double, " 1.5") is None
