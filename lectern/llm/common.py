@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.operators.lookup import look_up  # noqa: F401
 from lectern.storage import cut, delete, drop, new_folder, shared_dir  # noqa: F401
 
 #: Bytes of text that one numpy pass works on; it bounds a task's memory, not the input.
@@ -171,24 +172,6 @@ def binary_views(column: pa.Array, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(raw[a:b], kind) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-#: A key that more than one in so many rows have is hot.
-HOT_SHARE = 1000
-
-
-def look_up(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """rows, left-joined with found: a stored table with one row for each key, whose n counts the key's rows.
-
-    Hot keys number less than HOT_SHARE whatever the input, so they are broadcast, and their rows stay in their tasks, as
-    do rows without the key. Only the rest is shuffled on the key, of which no key has more than its share.
-    """
-    total = found.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT_SHARE > total
-    often = F.broadcast(found.filter(hot))
-    stay = rows.join(often, key, "left").filter(F.col(key).isNull() | F.col("n").isNotNull())
-    moved = rows.filter(F.col(key).isNotNull()).join(often, key, "left_anti").join(found.filter(~hot), key, "left")
-    return stay.unionByName(moved)
-
-
 def most_frequent(counted: DataFrame, size: int, key: str) -> Column:
     """A condition that holds for about `size` rows of counted (columns key, n) with the largest counts, or for all if there are fewer.
 
