@@ -6,9 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows that a task of a join by segments gets of each side, about.
+TASK_ROWS = 1 << 18
+
+
+def tasks_of(*sides: DataFrame) -> int:
+    """To how many tasks the sides of a join are dealt."""
+    return max(side.count() for side in sides) // TASK_ROWS + 1
+
+
+def dealt(side: DataFrame, key: str, tasks: int) -> DataFrame:
+    """A side of a join, dealt by key. Spark alone cuts tasks by compressed bytes, of which short rows have next to none, so that a task would get millions to sort."""
+    return side.repartition(tasks, key) if tasks > 1 else side
+
+
 def segment_changes(old: DataFrame, new: DataFrame, key: str, fingerprint: str) -> DataFrame:
     """(key, change): added, changed, unchanged or removed."""
-    both = old.select(key, F.col(fingerprint).alias("_old")).join(new.select(key, F.col(fingerprint).alias("_new")), key, "full_outer")
+    tasks = tasks_of(old, new)
+    before, after = (dealt(side.select(key, F.col(fingerprint).alias(name)), key, tasks) for side, name in ((old, "_old"), (new, "_new")))
+    both = before.join(after, key, "full_outer")
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") == F.col("_new"), "unchanged").otherwise("changed")
     return both.select(key, change.alias("change"))
 
@@ -68,9 +84,15 @@ def mark_absent(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame
 
 
 def reconcile(old: DataFrame, new: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows of the next snapshot: unchanged segments keep theirs, added and changed ones have the new (ST1, U2). Removed ones go."""
-    kept = old.join(changes.filter("change = 'unchanged'").select("segment_id"), "segment_id", "left_semi")
-    read = new.join(changes.filter("change in ('added', 'changed')").select("segment_id"), "segment_id", "left_semi")
+    """Rows of the next snapshot: unchanged segments keep theirs, added and changed ones have the new (ST1, U2). Removed ones go.
+
+    A task holds the segments of its share and lets the rows, which are many more, pass by unsorted.
+    """
+    tasks = tasks_of(old, new)
+    # not a semi-join: Spark moves that below the dealing
+    segments = lambda which: dealt(changes.filter(which).select("segment_id"), "segment_id", tasks).distinct().hint("shuffle_hash")
+    kept = dealt(old, "segment_id", tasks).join(segments("change = 'unchanged'"), "segment_id")
+    read = dealt(new, "segment_id", tasks).join(segments("change in ('added', 'changed')"), "segment_id")
     return kept.withColumn("origin", F.lit("reused")).unionByName(read.withColumn("origin", F.lit("parsed")))
 
 
