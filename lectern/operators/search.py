@@ -7,6 +7,9 @@ import json
 from functools import reduce
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +109,37 @@ def posting_blocks(index: DataFrame, key: str) -> DataFrame:
     return grouped.agg(F.array_sort(F.collect_set(F.col(key).cast("long"))).alias("ids"))
 
 
+#: Columns of an index in blocks.
+BLOCKS = "token string, field string, block long, ids array<long>"
+
+
+def text_blocks(books: DataFrame, key: str, columns: list[str], parts: int | None = None) -> DataFrame:
+    """posting_blocks() of the postings of books, without a row for each posting: a book goes to its block with its distinct tokens as one string, and a block is turned round at once. parts: how many tasks the blocks are dealt to."""
+    words = [F.array_join(F.array_distinct(tokens(F.col(c))), " ").alias(f"_{i}") for i, c in enumerate(columns)]
+    rows = books.filter(F.col(key).isNotNull()).select(block_of(F.col(key)).alias("block"), F.col(key).cast("long").alias("_id"), *words)
+    return (rows.repartition(parts, "block") if parts else rows).groupBy("block").applyInArrow(lambda own: turned(own, columns), BLOCKS)
+
+
+def turned(own: pa.Table, columns: list[str]) -> pa.Table:
+    """The rows of an index of one block, which has at most 4,096 ids. own: block, _id and a string of tokens for each column."""
+    block, ids = own["block"][0].as_py(), own["_id"].to_numpy()
+    low, out = (1 << SPAN_BITS) - 1, []
+    for i, name in enumerate(columns):
+        lists = pc.split_pattern(own[f"_{i}"].cast(pa.large_string()), " ").combine_chunks()
+        words, owner = lists.flatten(), pc.list_parent_indices(lists)
+        real = pc.not_equal(words, "")
+        coded = words.filter(real).dictionary_encode()
+        # one number for a token and an id's place in the block: sorted and distinct, it is the lists
+        pairs = np.sort(coded.indices.to_numpy().astype(np.int64) << SPAN_BITS | ids[owner.filter(real).to_numpy()] & low)
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
+        codes = pairs >> SPAN_BITS
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        bounds = pa.array(np.append(starts, len(pairs)), pa.int32())
+        token, n = coded.dictionary.take(pa.array(codes[starts])).cast(pa.string()), len(starts)
+        out.append(pa.table({"token": token, "field": pa.repeat(name, n), "block": pa.repeat(pa.scalar(block, pa.int64()), n), "ids": pa.ListArray.from_arrays(bounds, pa.array(pairs & low | block << SPAN_BITS, pa.int64()))}))
+    return pa.concat_tables(out)
+
+
 def ids_by_block(keys: DataFrame, key: str) -> DataFrame:
     """(block, ids) of the distinct keys."""
     return keys.groupBy(block_of(F.col(key)).alias("block")).agg(F.collect_set(F.col(key).cast("long")).alias("ids"))
@@ -122,8 +156,8 @@ def live_blocks(blocks: DataFrame, gone: DataFrame | None) -> DataFrame:
 
 
 def in_token_order(blocks: DataFrame) -> DataFrame:
-    """Blocks dealt by ranges of (token, block) and sorted: a search reads the row groups of its prefixes alone, and a common token is spread over tasks and files."""
-    return blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block")
+    """Blocks sorted in their tasks, so that a search reads the pages of its prefixes alone. A token's blocks are in many tasks, so a common one is spread over files without being dealt anew."""
+    return blocks.sortWithinPartitions("token", "block")
 
 
 def write_postings(index: DataFrame, key: str, path: str) -> None:
@@ -131,6 +165,12 @@ def write_postings(index: DataFrame, key: str, path: str) -> None:
     in_token_order(posting_blocks(index, key)).write.mode("overwrite").parquet(path)
 
 
+def write_index(books: DataFrame, key: str, columns: list[str], path: str) -> None:
+    """Stores the index of books in blocks. Books are counted, so that a task and a file have those of about one block, whatever the input."""
+    parts = (books.count() >> SPAN_BITS) + 1
+    in_token_order(text_blocks(books, key, columns, parts)).write.mode("overwrite").parquet(path)
+
+
 def search_postings(index: DataFrame, key: str, wanted: list[str], fields: list[str]) -> DataFrame:
     """Distinct keys that have, for every wanted token, a token that starts with it in some of the fields. index: blocks.
 

@@ -287,8 +287,8 @@ def _scan(draft: store.Draft, source: str, archive_root: str, scan_time: Column,
     located = located.drop("availability").join(state, "lib_id").select(location_fields)
     locations = draft.change("locations", "lib_id", reconcile.changed_rows(was["locations"], located, "lib_id"))
 
-    fresh_index = search.postings(_searchable(books_now.join(changed, "book_id", "left_semi"), draft.table("book_authors"), draft.table("authors")), "book_id", list(search.FIELDS))
-    draft.change("postings", "block", search.in_token_order(search.posting_blocks(fresh_index, "book_id")), search.ids_by_block(known_books, "book_id"), blocks=True)
+    fresh = _searchable(books_now.join(changed, "book_id", "left_semi"), draft.table("book_authors"), draft.table("authors"))
+    draft.change("postings", "block", search.in_token_order(search.text_blocks(fresh, "book_id", list(search.FIELDS))), search.ids_by_block(known_books, "book_id"), blocks=True)
 
     pictures = placed.filter("cover is not null").select("cover_path", F.col("cover").alias("content")).dropDuplicates(["cover_path"]).join(was["cover_contents"].select("cover_path"), "cover_path", "left_anti")
     unused = was["cover_contents"].select("cover_path").join(books_now.select("cover_path"), "cover_path", "left_anti")

@@ -36,7 +36,7 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, *file_states(self.spark, f"{self.sf_dir}/documents.parquet"))
         if key not in _INDEXES or not exists(self.spark, f"{_INDEXES[key]}/_SUCCESS"):
             path = new_folder(self.spark, "index")
-            search.write_postings(search.postings(self.books, "book_id", ["title", "description"]), "book_id", path)
+            search.write_index(self.books, "book_id", ["title", "description"], path)
             _INDEXES[key] = path
         return self.spark.read.parquet(_INDEXES[key])
 
