@@ -209,15 +209,15 @@ def facet(rows: DataFrame, value: str, key: str) -> DataFrame:
     return ranked(counted, [nocase(F.col(value)), F.col(value)])
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
-    """df with its place in the order, from 1. Ranks are local to range partitions and shifted by the partitions before, so no task sees all rows.
+def ranked(df: DataFrame, order: list[Column], name: str = "pos", keep: list[str] | None = None) -> DataFrame:
+    """df, or the columns of it to keep, with its place in the order, from 1. Ranks are local to range partitions and shifted by the partitions before, so no task sees all rows.
 
     The dealt rows are written once, as another evaluation may draw other bounds between the partitions. Rows that are
     equal in all of the order get places in no order of their own.
     """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    dealt = cut(dealt, "ranked")
+    dealt = cut(dealt.select("_p", "_m", *(keep or df.columns)), "ranked")
     counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = counts.select("_p", "_first", before.alias("_before"))  # a row for each partition
@@ -229,26 +229,35 @@ def author_keys(book_authors: DataFrame, key: str = "book_id", name: str = "auth
     return book_authors.groupBy(key).agg(F.min(normalize(F.col(name))).alias("author_sort"))
 
 
+#: The normalised title, by which orders go.
+TITLE_KEY = "_title_key"
+
+
+def with_title_key(books: DataFrame, title: str = "title") -> DataFrame:
+    """books with the column that order_of() names. A sort works an expression out for each comparison; a column it only reads."""
+    return books.withColumn(TITLE_KEY, normalize(F.col(title)))
+
+
 def order_of(sort: str, ascending: bool = True, title: str = "title", key: str = "book_id") -> list[Column]:
-    """Sort keys; ties go by normalised title and id, ascending. Nulls are first ascending and last descending."""
-    lead = {"title": normalize(F.col(title)), "author": F.col("author_sort"), "added": F.col("added_at")}[sort]
-    rest = [F.col(title).asc(), F.col(key).asc()] if sort == "title" else [normalize(F.col(title)).asc(), F.col(key).asc()]
+    """Sort keys of rows that have their title key; ties go by it and by id, ascending. Nulls are first ascending and last descending."""
+    lead = F.col({"title": TITLE_KEY, "author": "author_sort", "added": "added_at"}[sort])
+    rest = [F.col(title).asc(), F.col(key).asc()] if sort == "title" else [F.col(TITLE_KEY).asc(), F.col(key).asc()]
     return [lead.asc() if ascending else lead.desc(), *rest]
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """The rows of a page with `pos` from 1. Up to NEAR_PAGES only offset + limit rows are ranked, in one task; pages further on are cut from the whole ranking."""
     if offset + limit > NEAR_PAGES:
-        return ranked(df, order).filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit))
+        return ranked(df, order, keep=[c for c in df.columns if c != TITLE_KEY]).filter((F.col("pos") > offset) & (F.col("pos") <= offset + limit))
     top = df.orderBy(*order).limit(offset + limit)
     place = F.row_number().over(Window.orderBy(*order))
-    return top.withColumn("pos", place).filter(F.col("pos") > offset)
+    return top.withColumn("pos", place).filter(F.col("pos") > offset).drop(TITLE_KEY)
 
 
 def publish_ranking(df: DataFrame, order: list[Column], key: str, snapshot: str, query: CatalogQuery, path: str) -> int:
     """Ranks once and writes (pos, key) under the snapshot and the query's hash; returns the number of rows."""
     out = f"{path}/snapshot_id={snapshot}/query={query.fingerprint()}"
-    ranked(df, order).select("pos", key).write.mode("overwrite").parquet(out)
+    ranked(df, order, keep=[key]).select("pos", key).write.mode("overwrite").parquet(out)
     return df.sparkSession.read.parquet(out).count()
 
 

@@ -90,7 +90,7 @@ class Catalog:
     def _sorted(self, found: DataFrame, q: CatalogQuery) -> tuple[DataFrame, list]:
         if q.sort == "author":  # the join is made only when it is needed
             found = found.join(search.author_keys(self._names("authors"), name="display_name"), "book_id", "left")
-        return found, search.order_of(q.sort, q.ascending)
+        return search.with_title_key(found), search.order_of(q.sort, q.ascending)
 
     def search(self, q: CatalogQuery) -> DataFrame:
         """The rows of a page, with `pos`; only its books get their names."""

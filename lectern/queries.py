@@ -354,33 +354,33 @@ def availability_flips(t: Tables) -> DataFrame:
 @query(f"select book_id, row_number() over (order by {NORM_TITLE}, title, book_id) as pos from v_books", "books")
 def sort_title(t: Tables) -> DataFrame:
     """O1."""
-    return search.ranked(t.books.select("book_id", "title"), search.order_of("title")).select("book_id", "pos")
+    return search.ranked(search.with_title_key(t.books.select("book_id", "title")), search.order_of("title"), keep=["book_id"]).select("book_id", "pos")
 
 
 @query(f"select p.book_id, row_number() over (order by s.author_sort desc nulls last, {sql_normalize('p.title')}, p.book_id) as pos from v_parts p left join (select book_id, min({sql_normalize('author')}) as author_sort from v_book_authors join v_authors using (author_id) group by 1) s using (book_id)", "parts", "book_authors", "authors")
 def sort_author(t: Tables) -> DataFrame:
     """O2."""
     own = t.parts.join(search.author_keys(t.book_authors.join(t.authors, "author_id")), "book_id", "left")
-    return search.ranked(own.select("book_id", "title", "author_sort"), search.order_of("author", False)).select("book_id", "pos")
+    return search.ranked(search.with_title_key(own.select("book_id", "title", "author_sort")), search.order_of("author", False), keep=["book_id"]).select("book_id", "pos")
 
 
 @query("select o_orderkey as book_id, row_number() over (order by o_orderdate desc, lower(o_orderpriority), o_orderkey) as pos from orders")
 def sort_added(t: Tables) -> DataFrame:
     """O3."""
     own = t.orders.select(F.col("o_orderkey").alias("book_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("added_at"))
-    return search.ranked(own, search.order_of("added", False)).select("book_id", "pos")
+    return search.ranked(search.with_title_key(own), search.order_of("added", False), keep=["book_id"]).select("book_id", "pos")
 
 
 @query(f"select * from (select book_id, title, row_number() over (order by {NORM_TITLE}, title, book_id) as pos from v_books) where pos > 50 and pos <= 100", "books")
 def page_offset(t: Tables) -> DataFrame:
     """The second page of fifty."""
-    return search.page(t.books.select("book_id", "title"), search.order_of("title"), 50, 50).withColumn("pos", F.col("pos").cast("long"))
+    return search.page(search.with_title_key(t.books.select("book_id", "title")), search.order_of("title"), 50, 50).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"select * from (select book_id, row_number() over (order by {NORM_TITLE} desc, title, book_id) as pos from v_books where language = 'en') where pos > 100 and pos <= 150", "books")
 def page_cursor(t: Tables) -> DataFrame:
     """A slice of the ranking; operators.search publishes it for a snapshot."""
-    own = search.ranked(t.books.filter("language = 'en'").select("book_id", "title"), search.order_of("title", False))
+    own = search.ranked(search.with_title_key(t.books.filter("language = 'en'").select("book_id", "title")), search.order_of("title", False), keep=["book_id"])
     return own.filter("pos > 100 and pos <= 150").select("book_id", "pos")
 
 
@@ -768,5 +768,5 @@ def search_page(t: Tables) -> DataFrame:
     hits = search.search_postings(t.postings(), "book_id", ["th"], ["description"])
     found = cut(search.filter_languages(t.books, ["en", "de"]).select("book_id", "title", "language").join(hits, "book_id"), "found")
     total = F.broadcast(found.agg(F.count("*").alias("total")))  # one row
-    top = search.page(found, search.order_of("title"), 0, 50)
+    top = search.page(search.with_title_key(found), search.order_of("title"), 0, 50)
     return top.crossJoin(total).select("book_id", "title", "language", F.col("pos").cast("long").alias("pos"), "total")
