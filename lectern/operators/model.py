@@ -47,8 +47,18 @@ def resolve_dimension(old: DataFrame, names: DataFrame, order: str) -> DataFrame
 
 
 def bridge(lists: DataFrame, owner: str, names: str) -> DataFrame:
-    """(owner, normalized_name, ord): each name of a list once, at its first place; blanks dropped, places not closed up (K6)."""
-    return bridge_rows(lists.select(owner, F.posexplode(names).alias("pos", "name")), owner)
+    """(owner, normalized_name, ord): each name of a list once, at its first place; blanks dropped, places not closed up (K6).
+
+    A list is settled in its own row, as equal names are neighbours once it is sorted by name and place. Owners are
+    counted first: only those of several lists have names that must meet in a shuffle.
+    """
+    named = F.transform(names, lambda x, i: F.struct(normalize(x).alias("normalized_name"), i.alias("ord")))
+    placed = lists.select(owner, F.array_sort(F.filter(named, lambda x: x["normalized_name"] != "")).alias("_names"))
+    first = F.filter("_names", lambda x, i: (i == 0) | (F.get("_names", i - 1)["normalized_name"] != x["normalized_name"]))
+    rows = placed.select(owner, F.inline(first))
+    if lists.groupBy(owner).count().filter("count > 1").isEmpty():
+        return rows
+    return rows.groupBy(owner, "normalized_name").agg(F.min("ord").alias("ord"))
 
 
 def bridge_rows(each: DataFrame, owner: str) -> DataFrame:
