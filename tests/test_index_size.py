@@ -37,3 +37,13 @@ def test_the_index_of_the_tables_shuffles_books(spark, monkeypatch):
     index = views.Tables(spark, "/root/testdata/sf0.001").postings()
     assert index.columns == ["token", "field", "block", "ids"] and not index.isEmpty()
     assert "Exchange" in plans[0] and "Generate" not in plans[0]  # no posting is a row before the exchange
+
+
+def test_an_index_has_tasks_by_its_books(spark, folder):
+    rows = spark.range(20_000).select(F.col("id").alias("book_id"), F.concat(F.lit("the x"), F.col("id") % 7).alias("description"))
+    search.write_index(rows, "book_id", ["description"], folder + "/index")
+    index = spark.read.parquet(folder + "/index")
+    assert len(index.inputFiles()) > 1  # of small blocks Spark alone would make one task
+    assert index.filter("token = 'the'").count() == 5
+    assert search.search_postings(index, "book_id", ["th"], ["description"]).count() == 20_000
+    assert search.search_postings(index, "book_id", ["th", "x3"], ["description"]).count() == len(range(3, 20_000, 7))
