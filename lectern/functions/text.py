@@ -5,6 +5,9 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,7 +133,7 @@ def token_table() -> tuple[dict[str, str], str, str]:
 
 
 @lru_cache(maxsize=1)
-def _token_pairs() -> tuple[str, str]:
+def token_pairs() -> tuple[str, str]:
     """The fold of normalize() and the tokeniser's table after it, for one translate(): separators become blanks, dropped marks nothing."""
     folds, separators, dropped = token_table()
     then = folds | dict.fromkeys(separators, " ") | dict.fromkeys(dropped, "")
@@ -142,7 +145,51 @@ def _token_pairs() -> tuple[str, str]:
 
 def tokens(c: Column) -> Column:
     """Words of a text as SQLite's full-text index has them: the tokens of its unicode61 tokeniser in the normalised text."""
-    return F.filter(F.split(F.replace(F.translate(c, *_token_pairs()), F.lit("ß"), F.lit("ss")), " "), lambda x: x != "")
+    return F.filter(F.split(F.replace(F.translate(c, *token_pairs()), F.lit("ß"), F.lit("ss")), " "), lambda x: x != "")
+
+
+#: In code_points(): no character.
+DROPPED = 0xFFFFFFFF
+
+
+@lru_cache(maxsize=1)
+def code_points(pairs: tuple[str, str]) -> np.ndarray:
+    """What each code point becomes by pairs, as translate() has them; line feeds stay."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    table[list(map(ord, pairs[0]))] = [*map(ord, pairs[1]), *[DROPPED] * (len(pairs[0]) - len(pairs[1]))]
+    table[ord("\n")] = ord("\n")
+    return table
+
+
+def arrow_tokens(texts: pa.Array | pa.ChunkedArray, pairs: tuple[str, str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct tokens, row of each token, its number among the distinct ones) of tokens() of a string array, in no order. pairs: token_pairs().
+
+    What ASCII white space parts never is one token, so the texts are cut there and only distinct pieces are looked at
+    character by character.
+    """
+    lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    rows, coded = pc.list_parent_indices(lists).to_numpy(), lists.flatten().dictionary_encode()
+    if not len(rows):
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    # a piece is a line; bytes that are no text become separators, as in a column
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), pa.scalar("\n", pa.large_string()))[0]
+    found = code_points(pairs)[np.frombuffer(lines.as_buffer().to_pybytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)]
+    folded = found[found != DROPPED].astype("<u4").tobytes().decode("utf-32-le").replace("ß", "ss")
+    split = pc.split_pattern(pc.split_pattern(pa.array([folded], pa.large_string()), "\n").flatten(), " ")
+    words, piece = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    real = pc.not_equal(words, "")
+    own = words.filter(real).dictionary_encode()
+    number, piece = own.indices.to_numpy(), piece[real.to_numpy(zero_copy_only=False)]
+    # the tokens of a piece lie together from first on; nearly all pieces have one
+    count = np.bincount(piece, minlength=len(coded.dictionary))
+    first, pieces = np.cumsum(count) - count, coded.indices.to_numpy()
+    single = (count == 1)[pieces]
+    rest = np.flatnonzero(~single)
+    times = count[pieces[rest]]
+    ends = np.cumsum(times)
+    at = np.repeat(first[pieces[rest]] - (ends - times), times) + np.arange(times.sum())
+    return own.dictionary.cast(pa.string()), np.concatenate([rows[single], np.repeat(rows[rest], times)]), number[np.concatenate([first[pieces[single]], at])]
 
 
 def is_valid_utf8(c: Column) -> Column:

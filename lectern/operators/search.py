@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import reduce
+from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.fields import LOWER, UPPER
-from lectern.functions.text import normalize, tokens
+from lectern.functions.text import arrow_tokens, normalize, token_pairs, tokens
 from lectern.storage import cut
 
 #: Rows that one task may rank for a page.
@@ -113,30 +114,77 @@ def posting_blocks(index: DataFrame, key: str) -> DataFrame:
 BLOCKS = "token string, field string, block long, ids array<long>"
 
 
+#: Bytes of an Arrow batch, about, whose words are told apart at once. They bound a task's memory, not the input.
+BATCH_BYTES = 4 << 20
+#: Lists of a block and field from some of the books: tokens in a string, the length of each one's list, the lists' places in the block.
+RUNS = "block long, field int, words string, sizes binary, places binary"
+LOW = (1 << SPAN_BITS) - 1
+
+
 def text_blocks(books: DataFrame, key: str, columns: list[str], parts: int | None = None) -> DataFrame:
-    """posting_blocks() of the postings of books, without a row for each posting: a book goes to its block with its distinct tokens as one string, and a block is turned round at once. parts: how many tasks the blocks are dealt to."""
-    words = [F.array_join(F.array_distinct(tokens(F.col(c))), " ").alias(f"_{i}") for i, c in enumerate(columns)]
-    rows = books.filter(F.col(key).isNotNull()).select(block_of(F.col(key)).alias("block"), F.col(key).cast("long").alias("_id"), *words)
-    return (rows.repartition(parts, "block") if parts else rows).groupBy("block").applyInArrow(lambda own: turned(own, columns), BLOCKS)
+    """posting_blocks() of the postings of books, without a row for each posting: tasks turn the texts that they read into lists, and the lists of a block are put together. parts: how many tasks the blocks are dealt to."""
+    books.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    pairs, fields = token_pairs(), len(columns)
+    texts = books.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    runs = texts.mapInArrow(lambda batches: block_runs(batches, fields, pairs), RUNS)
+    return (runs.repartition(parts, "block") if parts else runs).groupBy("block").applyInArrow(lambda own: joined_runs(own, columns), BLOCKS)
+
+
+def _cut_lists(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys ascending, what they have above the place in a block, where that changes, with the end)."""
+    keys = np.sort(keys)
+    keys = keys[_starts(keys)]
+    above = keys >> SPAN_BITS
+    starts = np.flatnonzero(_starts(above))
+    return keys, above[starts], np.append(starts, len(keys))
+
+
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before it."""
+    out = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
 
 
-def turned(own: pa.Table, columns: list[str]) -> pa.Table:
-    """The rows of an index of one block, which has at most 4,096 ids. own: block, _id and a string of tokens for each column."""
-    block, ids = own["block"][0].as_py(), own["_id"].to_numpy()
-    low, out = (1 << SPAN_BITS) - 1, []
+def _shorts(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary value of 16-bit numbers for each of the ranges."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 2).astype(np.int32)), pa.py_buffer(values.astype("<u2"))])
+
+
+def block_runs(batches: Iterable[pa.RecordBatch], fields: int, pairs: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """RUNS of books: _id and a text for each field."""
+    for own in batches:
+        ids = own["_id"].to_numpy()
+        blocks, block = np.unique(ids >> SPAN_BITS, return_inverse=True)
+        for i in range(fields):
+            known, row, token = arrow_tokens(own[f"_{i}"], pairs)
+            if not len(row):
+                continue
+            keys, lists, bounds = _cut_lists((block * len(known) << SPAN_BITS | ids & LOW)[row] + (token.astype(np.int64) << SPAN_BITS))
+            of, token = np.divmod(lists, len(known))
+            first = np.flatnonzero(_starts(of))
+            ends = np.append(first, len(of))
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), known.take(pa.array(token))), " ")
+            n = len(first)
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array(blocks[of[first]], pa.int64()), "field": pa.array(np.full(n, i, np.int32)), "words": words,
+                "sizes": _shorts(np.diff(bounds), ends), "places": _shorts(keys & LOW, bounds[ends]),
+            })
+
+
+def joined_runs(own: pa.Table, columns: list[str]) -> pa.Table:
+    """The rows of an index of one block, which has at most 4,096 ids, by field and token. own: RUNS."""
+    block, out = own["block"][0].as_py(), []
     for i, name in enumerate(columns):
-        lists = pc.split_pattern(own[f"_{i}"].cast(pa.large_string()), " ").combine_chunks()
-        words, owner = lists.flatten(), pc.list_parent_indices(lists)
-        real = pc.not_equal(words, "")
-        coded = words.filter(real).dictionary_encode()
-        # one number for a token and an id's place in the block: sorted and distinct, it is the lists
-        pairs = np.sort(coded.indices.to_numpy().astype(np.int64) << SPAN_BITS | ids[owner.filter(real).to_numpy()] & low)
-        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
-        codes = pairs >> SPAN_BITS
-        starts = np.flatnonzero(np.diff(codes, prepend=-1))
-        bounds = pa.array(np.append(starts, len(pairs)), pa.int32())
-        token, n = coded.dictionary.take(pa.array(codes[starts])).cast(pa.string()), len(starts)
-        out.append(pa.table({"token": token, "field": pa.repeat(name, n), "block": pa.repeat(pa.scalar(block, pa.int64()), n), "ids": pa.ListArray.from_arrays(bounds, pa.array(pairs & low | block << SPAN_BITS, pa.int64()))}))
+        runs = own.filter(pc.equal(own["field"], i))
+        shorts = lambda column: np.frombuffer(b"".join(runs[column].to_pylist()), "<u2")  # noqa: B023, E731
+        coded = pc.split_pattern(runs["words"].cast(pa.large_string()), " ").combine_chunks().flatten().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        keys, _, bounds = _cut_lists(np.repeat(rank[coded.indices.to_numpy()], shorts("sizes")) << SPAN_BITS | shorts("places"))
+        n, ids = len(order), pa.array(keys & LOW | block << SPAN_BITS, pa.int64())
+        out.append(pa.table({"token": coded.dictionary.take(order).cast(pa.string()), "field": pa.repeat(name, n), "block": pa.repeat(pa.scalar(block, pa.int64()), n), "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), ids)}))
     return pa.concat_tables(out)
 
 
